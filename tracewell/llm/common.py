@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,3 +78,16 @@ def global_rank(df: DataFrame, order: list[str], tag: str) -> DataFrame:
         .withColumn("__rank", F.col("__start") + F.row_number().over(inside) - 1)
         .drop("__part", "__start")
     )
+
+
+@contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    """Within it, shuffle files go when the query that made them ends, as its result is written: a chain of written
+    tables then needs the disk of its largest step, not of all its steps."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

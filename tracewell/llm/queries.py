@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, spotsigs, warc
+from . import exact_dedup, line_dedup, mixing, spotsigs, suffix_dedup, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_spotsigs": spotsigs.op5_spotsigs,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_warc": warc.op7_warc,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
