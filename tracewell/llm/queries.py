@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, spotsigs, suffix_dedup, warc
+from . import exact_dedup, line_dedup, mixing, packing, spotsigs, suffix_dedup, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {
