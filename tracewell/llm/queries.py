@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, spotsigs, suffix_dedup, warc
+from . import exact_dedup, line_dedup, mixing, packing, quality, spotsigs, suffix_dedup, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
