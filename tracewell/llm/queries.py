@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, spotsigs, suffix_dedup, warc
+from . import exact_dedup, html_text, line_dedup, mixing, packing, quality, spotsigs, suffix_dedup, warc
 
 QUERIES = {
+    "op1_main_text": html_text.op1_main_text,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality": quality.op3_quality,
     "op4_mix_sources": mixing.op4_mix_sources,
