@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, line_dedup, mixing, packing, quality, spotsigs, suffix_dedup, warc
+from . import exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality, spotsigs, suffix_dedup, warc
 
 QUERIES = {
     "op1_main_text": html_text.op1_main_text,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
