@@ -6,7 +6,9 @@ by the caller's keys (evidence, channel); no operator joins a table with itself
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,25 +144,47 @@ def overlap(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: (x.offset < y.offset + y.length) & (y.offset < x.offset + x.length)))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First-fit clusters in tier order: a record joins the first cluster with a member it overlaps."""
-    pdf = pdf.sort_values(["tier_rank", "low", "neg_span", "note", "recording_id"], kind="stable", na_position="first")
-    clusters: list[list[list[tuple[int, int]]]] = []
-    heads, where = [], []
-    for recording_id, extents in zip(pdf["recording_id"], pdf["extents"]):
-        spans = [(int(e["offset"]), int(e["offset"]) + int(e["length"])) for e in extents]
-        for k, members in enumerate(clusters):
-            if any(a < d and c < b for m in members for a, b in spans for c, d in m):
-                members.append(spans)
+def _clusters(rows: list[tuple]) -> list:
+    """For records (recording_id, extents) in tier order: the head of the first cluster with a member each overlaps."""
+    clusters: list[tuple[object, list]] = []
+    heads = []
+    for recording_id, extents in rows:
+        spans = [(e["offset"], e["offset"] + e["length"]) for e in extents]
+        for head, members in clusters:
+            if any(a < d and c < b for a, b in spans for c, d in members):
+                members += spans
                 break
         else:
-            k = len(clusters)
-            clusters.append([spans])
-            heads.append(recording_id)
-        where.append(k)
-    out = pdf[["evidence_id", "recording_id", "tier"]].copy()
-    out["kept_id"] = [heads[k] for k in where]
-    return out
+            head = recording_id
+            clusters.append((head, spans))
+        heads.append(head)
+    return heads
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kept_id of each record; rows come sorted by evidence, island and tier order."""
+    key, held = None, []
+
+    def done(kept: list[pa.RecordBatch], heads: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches(kept).select(["evidence_id", "recording_id", "tier"])
+        return table.append_column("kept_id", pa.array(heads, table.schema.field("recording_id").type)).combine_chunks().to_batches()[0]
+
+    waiting: list[pa.RecordBatch] = []
+    heads: list = []
+    for b in batches:
+        waiting.append(b)
+        for evidence, island, recording_id, extents in zip(*(b.column(c).to_pylist() for c in ("evidence_id", "island", "recording_id", "extents"))):
+            if (evidence, island) != key:
+                heads += _clusters(held)
+                key, held = (evidence, island), []
+            held.append((recording_id, extents))
+        while waiting and len(heads) >= waiting[0].num_rows:
+            first = waiting.pop(0)
+            yield done([first], heads[: first.num_rows])
+            heads = heads[first.num_rows :]
+    heads += _clusters(held)
+    if waiting and heads:
+        yield done(waiting, heads)
 
 
 def merge_tiers(recordings: DataFrame) -> DataFrame:
@@ -179,7 +203,9 @@ def merge_tiers(recordings: DataFrame) -> DataFrame:
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kinds = {f.name: f.dataType.simpleString() for f in recordings.schema}
     schema = f"evidence_id {kinds['evidence_id']}, recording_id {kinds['recording_id']}, tier string, kept_id {kinds['recording_id']}"
-    return rows.groupBy("evidence_id", "island").applyInPandas(_greedy, schema)
+    order = ["evidence_id", "island", "tier_rank", "low", "neg_span", "note", "recording_id"]
+    dealt = rows.select(*order, "tier", "extents").repartition("evidence_id", "island").sortWithinPartitions(*order)
+    return dealt.mapInArrow(_greedy, schema)
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_bytes
+
+QUERIES = {**queries_bytes.QUERIES}
+ORACLES = {**queries_bytes.ORACLES}
