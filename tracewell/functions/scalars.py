@@ -56,7 +56,7 @@ def human_bytes(n: Column) -> Column:
     units = ["KiB", "MiB", "GiB", "TiB"]
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for k, unit in enumerate(units, 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", n / F.lit(float(1024**k)))).otherwise(out)
+        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1))).otherwise(out)
     return out
 
 
