@@ -217,7 +217,7 @@ def near_groups(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -
         member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         member = written(member.join(reps.select(F.col("rep").alias("node"), "copies", "a"), "node").withColumnRenamed("node", "rep"), "members")
         # verification: sets travel, each pair of blocks meets once
-        sets = rows.join(member, rows.doc_id == member.rep).select("text", "rep", "copies", "a", "component", "blocks", "block")
+        sets = rows.join(member.hint("merge"), rows.doc_id == member.rep).select("text", "rep", "copies", "a", "component", "blocks", "block")
         sets = sets.mapInArrow(_sets, f"rep {kind}, copies long, component {kind}, blocks int, block int, shingles binary")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         met = sets.select("*", other).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -240,7 +240,7 @@ def near_groups(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs that stand for their class, unchanged."""
     kept = written(near_groups(docs, least).where("kept").select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
