@@ -1,0 +1,50 @@
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tracewell.llm import quality as q
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy_on_the_test_data(spark):
+    got = q.scored(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(rows) > 50
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+    bad = [r.score for r in rows if r.quality == 0]
+    good = [r.score for r in rows if r.quality == 1]
+    assert np.mean([g > b for g in good for b in bad]) > 0.99
+
+
+def test_labels_held_out_or_bad_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    poisoned = labels.withColumn("quality", F.when(q.held_out(F.col("doc_id")), 1 - F.col("quality")).when(F.col("quality") == 0, None).otherwise(F.col("quality")).cast("int"))
+    a, b = ({r.doc_id: r.score for r in q.scored(docs, x).collect()} for x in (labels, poisoned))
+    assert a == b
+
+
+def test_prior_is_found():
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.9):
+        positive = rng.normal(1.5, 1, (3000, 4))
+        n = int(3000 * prior)
+        unlabelled = np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (3000 - n, 4))])
+        assert abs(q.estimated_prior(positive, unlabelled) - prior) < 0.08
+
+
+def test_defined_results(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["a", "b", "the"]) for _ in range(30))) for i in range(20)] + [(50, None), (51, ""), (51, ""), (None, "x"), (52, "y" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    for given in (labels, labels.where("false")):
+        got = q.scored(docs, given).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+        assert all(r.predicted == int(r.score >= 0.7) for r in got)
+    assert q.scored(docs.where("false"), labels).collect() == []
+    assert q.good_documents(docs, labels.where("false")).count() == len(rows)

@@ -170,7 +170,7 @@ def _sampled(rows: DataFrame, sample: int) -> np.ndarray:
     share = min(1.0, sample / max(1, rows.count()))
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(2**32))
     found = rows.where(h < F.lit(int(share * 2**32))).select(h.alias("h"), "features").collect()
-    return np.array(sorted((r.h, *r.features) for r in found), float).reshape(len(found), -1)[:, 1:]
+    return np.array(sorted((r.h, *r.features) for r in found), float).reshape(len(found), FEATURES + 1)[:, 1:]
 
 
 def train(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
