@@ -32,6 +32,8 @@ def fixture(seed):
         if rng.random() < 0.6:
             parts.insert(1, rng.choice(passages))
         docs.append(" ".join(parts))
+    long = prose(26_000)  # read in several parts
+    docs += [long, long[60_000:90_000] + "!" + long[100:140_000], "é" + long, prose(3)]
     docs += [docs[3], docs[3][:400] + "X" + docs[3][401:], "ab" * 300, "a" * 1000, passages[0] * 5, "", None, "short", docs[5][7:]]
     return list(enumerate(docs))
 

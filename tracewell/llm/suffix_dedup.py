@@ -44,8 +44,8 @@ GRAM = 32
 SIDE = LENGTH - GRAM
 #: Up to so many different surroundings of equal 32 bytes are compared in one place.
 FEW = 64
-#: Bytes that are named at once, and bits for a place within them.
-STRETCH, BITS = 1 << 20, 21
+#: Bytes that are named at once (their arrays stay in a core's cache), and bits for a place within them.
+STRETCH, BITS = 1 << 16, 17
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -86,24 +86,18 @@ class Names:
         return _mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
-def anchors(names: Names, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) of runs of window starts with one anchor, in n bytes (LENGTH at least) from
-    start on, counted from there."""
-    at = np.arange(n - GRAM + 1, dtype=np.int64)
+def anchors(names: Names, start: int, n: int) -> np.ndarray:
+    """The anchor of each window in n bytes (LENGTH at least) from start on, counted from there."""
+    at = np.arange(n - GRAM + 1, dtype=np.uint64)
     sums, end = names.sums, start + n - GRAM + 1
     gram = _mix((sums[start + GRAM : end + GRAM] - sums[start:end]) * names.inverse[start:end])
-    key = (gram >> np.uint64(BITS) << np.uint64(BITS)) | at.astype(np.uint64)
-    low, span = key, 1
+    low, span = (gram >> np.uint64(BITS) << np.uint64(BITS)) | at, 1
     while 2 * span <= SIDE + 1:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     rest = SIDE + 1 - span
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    chosen = (low & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    new = np.flatnonzero(np.diff(chosen)) + 1
-    first = np.concatenate(([0], new))
-    last = np.concatenate((new, [len(chosen)])) - 1
-    return chosen[first], first, last
+    return (low & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 def stretches(data: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -112,25 +106,81 @@ def stretches(data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield max(0, start - SIDE), min(len(data), start + STRETCH + 2 * LENGTH), start
 
 
+class Anchors:
+    """Anchors of some texts that lie in one byte array: for each, its text (row), place in the text, place `at` and
+    first and last window in the array, and the text's start (base) in the array."""
+
+    def __init__(self, part: np.ndarray, names: Names, row: np.ndarray, base: np.ndarray, size: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.part, self.names, self.row, self.base, self.size = part, names, row, base, size
+        self.at, self.first, self.last, self.place = at, first, last, at - base
+
+    def gram(self) -> np.ndarray:
+        """The names of the anchors' 32 bytes."""
+        return self.names.of(self.at, self.at + GRAM)
+
+    def around(self) -> np.ndarray:
+        """The names of the bytes from SIDE before to LENGTH after each anchor, cut at the text's ends."""
+        left, right = np.maximum(self.at - SIDE, self.base), np.minimum(self.at + LENGTH, self.base + self.size)
+        lengths = np.uint64(0x9E3779B97F4A7C15) * (self.at - left).astype(np.uint64) + (right - self.at).astype(np.uint64)
+        return _mix(self.names.of(left, right) + lengths)
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[Anchors]:
+    """Anchors of the texts data[offsets[i] : offsets[i + 1]]: of as many as STRETCH bytes hold at once, and of a longer
+    text in parts."""
+    rows = len(offsets) - 1
+    low = 0
+    while low < rows:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + STRETCH, "right")) - 1)
+        start, end = int(offsets[low]), int(offsets[high])
+        if high == low + 1 and end - start > STRETCH:
+            for a, b, first in stretches(data[start:end]):
+                stop = min(first + STRETCH, end - start - LENGTH + 1)
+                part = data[start + a : start + b]
+                names = Names(part)
+                chosen = anchors(names, first - a, stop + LENGTH - 1 - first) + first - a
+                new = np.concatenate(([0], np.flatnonzero(np.diff(chosen)) + 1, [len(chosen)]))
+                n = len(new) - 1
+                yield Anchors(part, names, np.full(n, low), np.full(n, -a), np.full(n, end - start), chosen[new[:-1]], new[:-1] + first - a, new[1:] - 1 + first - a)
+        elif end - start >= LENGTH:
+            part = data[start:end]
+            names = Names(part)
+            chosen = anchors(names, 0, len(part))
+            doc = np.repeat(np.arange(low, high, dtype=np.int32), np.diff(offsets[low : high + 1]))
+            inside = doc[: len(chosen)] == doc[LENGTH - 1 :]  # windows that do not cross into the next text
+            owner = np.where(inside, chosen, -1 - doc[: len(chosen)])
+            new = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
+            first, last = new[:-1], new[1:] - 1
+            keep = inside[first]
+            first, last = first[keep], last[keep]
+            row = doc[first].astype(np.int64)
+            base = offsets[row] - start
+            yield Anchors(part, names, row, base, offsets[row + 1] - offsets[row], chosen[first], first, last)
+        low = high
+
+
 def anchor_rows(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(name of 32 bytes, name of the surroundings, place, first window, last window) of a text's anchors."""
-    n = len(data)
-    if n < LENGTH:
-        return
-    for low, high, start in stretches(data):
-        names = Names(data[low:high])
-        stop = min(start + STRETCH, n - LENGTH + 1)
-        a, first, last = anchors(names, start - low, stop + LENGTH - 1 - start)
-        a, first, last = a + start, first + start, last + start
-        left, right = np.maximum(a - SIDE, 0), np.minimum(a + LENGTH, n)
-        gram = names.of(a - low, a - low + GRAM)
-        around = _mix(names.of(left - low, right - low) + np.uint64(0x9E3779B97F4A7C15) * (a - left).astype(np.uint64) + (right - a).astype(np.uint64))
-        yield gram, around, a, first, last
-
-
-def _bytes(text: pa.Scalar) -> np.ndarray:
-    buffer = text.as_buffer()
-    return np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    """(name of 32 bytes, name of the surroundings, place, first window, last window) of one text's anchors."""
+    for x in anchors_of(data, np.array([0, len(data)])):
+        yield x.gram(), x.around(), x.place, x.first - x.base, x.last - x.base
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, joined, and each one's start in them (and the end)."""
+    values = column.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data, offsets if len(offsets) else np.zeros(1, np.int64)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists of numbers."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), column.flatten().to_numpy()
+
+
+def _keys(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (row.astype(np.int64) << 44) | place
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -142,24 +192,12 @@ def _anchors(with_place: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, held, size = b.column("doc_id"), [], 0
-            for i, text in enumerate(b.column("text").cast(pa.large_binary())):
-                for gram, around, a, _, _ in anchor_rows(_bytes(text)):
-                    held.append((gram, around, a, i))
-                    size += len(a)
-                if size > 200_000:
-                    yield out(held, ids)
-                    held, size = [], 0
-            if held:
-                yield out(held, ids)
-
-    def out(held: list, ids: pa.Array) -> pa.RecordBatch:
-        gram = np.concatenate([x[0] for x in held])
-        if not with_place:
-            return pa.RecordBatch.from_arrays([_signed(gram)], ["gram"])
-        doc = np.repeat(np.array([x[3] for x in held]), [len(x[0]) for x in held])
-        columns = [_signed(gram), _signed(np.concatenate([x[1] for x in held])), ids.take(pa.array(doc)), pa.array(np.concatenate([x[2] for x in held]))]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "around", "doc_id", "place"])
+            for x in anchors_of(*_texts(b.column("text"))):
+                if with_place:
+                    columns = [_signed(x.gram()), _signed(x.around()), b.column("doc_id").take(pa.array(x.row)), pa.array(x.place)]
+                    yield pa.RecordBatch.from_arrays(columns, ["gram", "around", "doc_id", "place"])
+                else:
+                    yield pa.RecordBatch.from_arrays([_signed(x.gram())], ["gram"])
 
     return run
 
@@ -168,33 +206,24 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the anchors in `many`: (a, b, doc_id, first) of each window; for those in `few`: (a: the 32 bytes' name,
     doc_id, first, last, place, left: bytes before it, around)."""
     for b in batches:
-        rows: dict[str, list] = {c: [] for c in ("a", "b", "row", "first", "last", "place", "left", "around")}
-        for i, text in enumerate(b.column("text").cast(pa.large_binary())):
-            data = _bytes(text)
-            few, many = (np.zeros(0, np.int64) if not (x := b.column(c)[i]).is_valid else x.values.to_numpy() for c in ("few", "many"))
-            for gram, _, a, first, last in anchor_rows(data):
-                own = np.flatnonzero(np.isin(a, many))
-                if len(own):
-                    starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in own])
-                    low, high = int(starts[0]), int(starts[-1]) + LENGTH
-                    one, two = (Names(data[low:high], w).of(starts - low, starts - low + LENGTH).view(np.int64) for w in (0, 1))
-                    n = len(starts)
-                    for c, v in (("a", one), ("b", two >> np.int64(32)), ("row", np.full(n, i)), ("first", starts)):
-                        rows[c].append(v)
-                    for c in ("last", "place", "left"):
-                        rows[c].append(np.full(n, -1))
-                    rows["around"] += [None] * n
-                for k in np.flatnonzero(np.isin(a, few)):
-                    at = int(a[k])
-                    left = min(at, SIDE)
-                    for c, v in (("a", gram.view(np.int64)[k]), ("b", 0), ("row", i), ("first", first[k]), ("last", last[k]), ("place", at), ("left", left)):
-                        rows[c].append([v])
-                    rows["around"].append(data[at - left : at + LENGTH].tobytes())
-        if rows["row"]:
-            made = {c: np.concatenate(rows[c]).astype(np.int64) for c in rows if c != "around"}
-            ids = b.column("doc_id").take(pa.array(made["row"]))
-            narrow = [pa.array(made[c]) for c in ("first", "last", "place", "left")]
-            yield pa.RecordBatch.from_arrays([pa.array(made["a"]), pa.array(made["b"].astype(np.int32)), ids, *narrow, pa.array(rows["around"], pa.binary())], ["a", "b", "doc_id", "first", "last", "place", "left", "around"])
+        few, many = (_keys(*_lists(b.column(c))) for c in ("few", "many"))
+        for x in anchors_of(*_texts(b.column("text"))):
+            key, made = _keys(x.row, x.place), []
+            own = np.flatnonzero(np.isin(key, many))
+            if len(own):
+                size = x.last[own] - x.first[own] + 1
+                starts = np.arange(size.sum()) + np.repeat(x.first[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+                two = Names(x.part, 1).of(starts, starts + LENGTH).view(np.int64) >> np.int64(32)
+                none = np.full(len(starts), -1)
+                made.append((x.names.of(starts, starts + LENGTH).view(np.int64), two, np.repeat(x.row[own], size), starts - np.repeat(x.base[own], size), none, none, none, [None] * len(starts)))
+            own = np.flatnonzero(np.isin(key, few))
+            if len(own):
+                left, right = np.maximum(x.at - SIDE, x.base)[own], np.minimum(x.at + LENGTH, x.base + x.size)[own]
+                around = [x.part[s:e].tobytes() for s, e in zip(left.tolist(), right.tolist())]
+                made.append((x.gram().view(np.int64)[own], np.zeros(len(own), np.int64), x.row[own], (x.first - x.base)[own], (x.last - x.base)[own], x.place[own], x.at[own] - left, around))
+            for one, two, row, *numbers, around in made:
+                columns = [pa.array(one), pa.array(two.astype(np.int32)), b.column("doc_id").take(pa.array(row)), *map(pa.array, numbers), pa.array(around, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "doc_id", "first", "last", "place", "left", "around"])
 
 
 def shared_windows(group: list[tuple]) -> Iterator[tuple[object, int, int]]:
@@ -251,40 +280,50 @@ def _ranges(found: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc_id", "first", "last"])
 
 
-def removed_ranges(data: np.ndarray, places: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """[start, end) rows of the bytes covered by repeated anchors' windows (places) and repeated windows (rows of first
-    and last start), joined."""
-    if not len(places) and not len(windows):
-        return np.zeros((0, 2), np.int64)
-    change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, windows[:, 0], 1)
-    np.add.at(change, windows[:, 1] + LENGTH, -1)
-    if len(places):
-        for _, _, a, first, last in anchor_rows(data):
-            own = np.isin(a, places)
-            np.add.at(change, first[own], 1)
-            np.add.at(change, last[own] + LENGTH, -1)
-    covered = np.concatenate(([0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]))
-    edges = np.flatnonzero(np.diff(covered))
-    return edges.reshape(-1, 2)
+def removed_ranges(data: np.ndarray, offsets: np.ndarray, places: tuple, windows: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): the bytes of each text covered by repeated anchors' windows and by repeated windows, joined.
+
+    places: (row, place); windows: (row, first start, last start)."""
+    keys = _keys(*places)
+    spans = [(offsets[windows[0]] + windows[1], offsets[windows[0]] + windows[2] + LENGTH)]
+    if len(keys):
+        for x in anchors_of(data, offsets):
+            own = np.isin(_keys(x.row, x.place), keys)
+            start = (offsets[x.row] - x.base)[own]
+            spans.append((x.first[own] + start, x.last[own] + start + LENGTH))
+    start, end = (np.concatenate([s[k] for s in spans]) for k in (0, 1))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    if not len(start):
+        return start, start, start
+    reach = np.maximum.accumulate(end)
+    row = np.searchsorted(offsets, start, "right") - 1
+    new = np.concatenate(([True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1])))
+    first = np.flatnonzero(new)
+    stop = reach[np.concatenate((first[1:], [len(start)])) - 1]
+    return row[first], start[first] - offsets[row[first]], stop - offsets[row[first]]
 
 
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for i, text in enumerate(b.column("text").cast(pa.large_binary())):
-            data = _bytes(text)
-            places, first, last = (np.zeros(0, np.int64) if not (x := b.column(c)[i]).is_valid else x.values.to_numpy() for c in ("places", "first", "last"))
-            windows = np.stack([first, last], axis=1)
-            ranges = removed_ranges(data, places, windows)
-            raw = data.tobytes()
-            ends = [0, *ranges.ravel().tolist(), len(raw)]
-            kept = b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2]))
-            rows.append((len(raw), len(raw) - len(kept), ranges.tolist(), kept, hashlib.sha256(kept).hexdigest()))
-        n_bytes, n_removed, ranges, kept, digest = zip(*rows) if rows else ([], [], [], [], [])
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
-        made = [pa.array(list(x), k) for x, k in zip((n_bytes, n_removed, ranges, kept, digest), kinds)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], ["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"])
+        data, offsets = _texts(b.column("text"))
+        row, last = _lists(b.column("first"))[0], _lists(b.column("last"))[1]
+        row, start, end = removed_ranges(data, offsets, _lists(b.column("places")), (row, _lists(b.column("first"))[1], last))
+        bounds = np.searchsorted(row, np.arange(b.num_rows + 1))
+        ranges, kept, digests = [], [], []
+        for i in range(b.num_rows):
+            raw = data[offsets[i] : offsets[i + 1]].tobytes()
+            own = np.stack([start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]]], axis=1)
+            if len(own):
+                ends = [0, *own.ravel().tolist(), len(raw)]
+                raw = b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2]))
+            ranges.append(own.tolist())
+            kept.append(raw)
+            digests.append(hashlib.sha256(raw).hexdigest())
+        size = np.diff(offsets)
+        left = np.array([len(k) for k in kept], np.int64)
+        columns = [b.column("doc_id"), pa.array(size), pa.array(size - left), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), pa.array(digests, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"])
 
 
 def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
