@@ -171,3 +171,23 @@ def test_gaps_of_a_stream(spark, tmp_path):
     batches = [[(1, 1, 0, 10 * s, s)], [(1, 1, 30 * s, 40 * s, 0), (1, 2, 0, 5 * s, 0)], [(1, 2, 5 * s, 9 * s, 0)]]
     got = streamed(spark, tmp_path, batches, "evidence_id int, channel int, start_us long, end_us long, uncertainty_us long", sessions.channel_gaps, "gaps")
     assert [(r.channel, r.gap_start_us, r.gap_end_us) for r in got] == [(1, 11 * s, 30 * s)]
+
+
+def test_tender_withholds_what_changed_or_is_gone(spark):
+    from tracewell.operators import certificate as c
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    arts = spark.createDataFrame([(sha(b"a"), "a", "report", 1), (sha(b"b"), "b", "findings", 1), (sha(b"c"), "c", "report", 9), (sha(b"d"), "d", "tool_log", 1)], "sha256 string, path string, kind string, size_bytes long")
+    rows = c.tender_rows(arts, spark.createDataFrame([("a", "a"), ("b", "changed"), ("d", "d")], "path string, content string"))
+    assert {(r.artefact, r.kind) for r in c.tendered(rows).collect()} == {("a", "report")}
+    assert {(r.artefact, r.kind, r.md5, r.size_bytes) for r in c.withheld(rows).collect()} == {("b", "WITHHELD - findings", "", 1), ("c", "WITHHELD - report", "", 9)}
+    dates = spark.sql("select date'2024-06-30' d union all select date'2024-07-01' union all select null").select(c.statute_for(F.col("d"))).collect()
+    assert [r[0] for r in dates] == ["IEA_65B", "BSA_63", "BSA_63"]
+    att = c.attached(spark.createDataFrame([("panchnama", "x"), ("photograph", "y")], "kind string, content string")).collect()
+    assert [r.statute is None for r in att] == [False, True]
+    with pytest.raises(Exception, match="attachment"):
+        c.attached(spark.createDataFrame([("diary", "x")], "kind string, content string")).collect()
+    tz = "evidence_id int, tz_offset_s int"
+    assert {(r.evidence_id, r.tz_offset_s) for r in c.stated_timezones(spark.createDataFrame([(1, 19800), (1, None), (2, None)], tz)).collect()} == {(1, 19800), (2, None)}
+    with pytest.raises(Exception, match="timezones"):
+        c.stated_timezones(spark.createDataFrame([(1, 0), (1, 3600)], tz)).collect()

@@ -238,4 +238,28 @@ def formatted(spark, sf):
     return rows.select("o_orderkey", scalars.iso_local(F.col("o_orderdate")).alias("iso"), scalars.human_bytes(F.col("o_orderkey")).alias("size"))
 
 
+@query("""select doc_id::varchar as artefact, case when doc_id % 4 = 3 or doc_id % 5 = 4 then 'WITHHELD - ' else '' end || case when doc_id % 2 = 0 then 'report' else 'findings' end as kind,
+  case when doc_id % 4 = 3 or doc_id % 5 = 4 then '' else sha256(text) end as sha256, case when doc_id % 4 = 3 then 'gone' when doc_id % 5 = 4 then 'changed' else '' end as why from documents where text is not null and doc_id % 3 != 2""")
+def tender_rows(spark, sf):
+    from ..operators import certificate
+
+    docs = table(spark, sf, "documents").where("text is not null")
+    artefacts = docs.select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").cast("string").alias("path"), F.expr("case when doc_id % 3 = 2 then 'tool_log' when doc_id % 2 = 0 then 'report' else 'findings' end").alias("kind"), F.octet_length("text").cast("long").alias("size_bytes"))
+    files = docs.where("doc_id % 4 != 3").select(F.col("doc_id").cast("string").alias("path"), F.concat("text", F.when(F.col("doc_id") % 5 == 4, "!").otherwise("")).alias("content"))
+    made = certificate.tender_rows(artefacts, files)
+    return made.select("artefact", "kind", "sha256", F.when(F.col("note").contains("not in"), "gone").when(F.col("note") != "", "changed").otherwise("").alias("why"))
+
+
+@query(f"""with {_CASE_SQL}, p as (select item.evidence_id, status, case when family is not null and parses then 'parse' end as support, item.evidence_id in (select evidence_id from cov) as recovered,
+  item.evidence_id in (select evidence_id from rec) as has, item.evidence_id in (select evidence_id from cust) as moved from item left join ident using (evidence_id))
+select evidence_id, 'blocking' as weight, 'identify' as step from p where coalesce(status, '') != 'identified'
+union all select evidence_id, 'serious', 'recover' from p where status = 'identified' and not recovered
+union all select evidence_id, 'serious', 'time' from p where status = 'identified' and has
+union all select evidence_id, 'serious', 'custody' from p where status = 'identified' and not moved""")
+def open_steps(spark, sf):
+    from ..operators import certificate
+
+    return certificate.open_steps(case_progress(spark, sf))
+
+
 del _ANOMALIES, DAY, FRAMES_SQL, MICROS, queries_bytes, _CANDIDATE
