@@ -126,19 +126,22 @@ def test_mixed_documents_hold_the_words_taken(spark):
 # --- spot signatures --------------------------------------------------------------------
 def spots(text):
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    content = [i for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
     found = set()
-    for i, w in enumerate(words):
-        if w in spotsigs.ANCHORS:
-            chain = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]
-            if len(chain) == spotsigs.CHAIN:
-                found.add((w, *chain))
+    for j in range(len(content) - spotsigs.CHAIN + 1):
+        chain = tuple(words[i] for i in content[j : j + spotsigs.CHAIN])
+        found |= {(w, *chain) for w in words[(content[j - 1] + 1 if j else 0) : content[j]]}
+        if j == 0:
+            found.add(("^", *chain))
+        elif j >= spotsigs.RUN and content[j - 1] - content[j - spotsigs.RUN] == spotsigs.RUN - 1:
+            found.add((words[content[j - 1]], *chain))
     return found or ({tuple(words)} if words else set())
 
 
 def test_fingerprints_and_likeness_against_sets(spark):
     rng = random.Random(4)
     words = ["the", "of", "und", "la", "apple", "pear", "plum", "kiwi", "fig", "lime", "Straße"]
-    rows = [(i * 3, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 30, 80])))) for i in range(60)] + [(1000, None), (1001, "no anchors here"), (1002, "no, anchors here!")]
+    rows = [(i * 3, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 30, 80])))) for i in range(60)] + [(900, " | ".join(f"x{i % 17}" for i in range(40))), (1000, None), (1001, "no anchors here"), (1002, "no, anchors here!")]
     got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
     texts = [t or "" for _, t in rows]
     near = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)

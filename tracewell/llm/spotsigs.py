@@ -1,8 +1,9 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 A spot is a common word (an anchor) with the next CHAIN content words after it, other anchors skipped; a fingerprint is
-the set of its spots' 64-bit hashes. A text without a spot has one signature, the hash of all its words (none if it has
-no word). Likeness is the Jaccard value of two sets, and is 0 without comparing them where their sizes alone put it below
+the set of its spots' 64-bit hashes. The start of a text is an anchor too, and where RUN content words stand without a
+common word each further one is, so that lists and tables have spots as prose has. A text without a spot has one
+signature, the hash of all its words (none if it has no word). Likeness is the Jaccard value of two sets, and is 0 without comparing them where their sizes alone put it below
 the threshold asked for. Built-in functions only: a text is split once, bound to a lambda variable, and its spots are
 made with array functions inside the row.
 
@@ -32,6 +33,7 @@ ANCHORS = [
     "el", "los", "las", "y", "con", "se", "del", "lo", "para", "es", "no", "su", "al",
 ]
 CHAIN = 2
+RUN = 8
 
 
 def words_of(text: Column) -> Column:
@@ -49,7 +51,10 @@ def signatures(text: Column) -> Column:
             start = F.when(j > 1, F.element_at(places, F.greatest(j - 1, F.lit(1)))).otherwise(F.lit(0))
             first = F.element_at(places, j)
             chain = [F.element_at(words, F.element_at(places, j + k)) for k in range(CHAIN)]
-            return F.transform(F.slice(words, start + 1, first - start - 1), lambda a: F.xxhash64(a, *chain))
+            common = F.transform(F.slice(words, start + 1, first - start - 1), lambda a: F.xxhash64(a, *chain))
+            bare = F.when(j > RUN, F.element_at(places, F.greatest(j - 1, F.lit(1))) - F.element_at(places, F.greatest(j - RUN, F.lit(1))) == RUN - 1)
+            more = F.when(j == 1, F.array(F.xxhash64(F.lit("^"), *chain))).when(bare, F.array(F.xxhash64(F.element_at(words, F.greatest(start, F.lit(1))), *chain)))
+            return F.when(more.isNull(), common).otherwise(F.concat(common, more))
 
         found = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(places) - CHAIN + 1, F.lit(1))), of_chain)))
         some = F.when(F.size(places) >= CHAIN, found).otherwise(F.array().cast("array<bigint>"))
