@@ -154,8 +154,8 @@ def case_progress(evidence, identification, recording, layouts, observations, cu
 
 def recovery_gain(recordings: DataFrame) -> DataFrame:
     """evidence_id, t1_minutes, recovered_minutes, gain_pct: T2 to T4 against T1; unknown or inverted times count 0."""
-    minutes = F.greatest(F.coalesce((F.col("local_end_us") - F.col("local_start_us")) / 60e6, F.lit(0.0)), F.lit(0.0))
-    of = lambda cond: F.sum(F.when(cond, minutes).otherwise(0.0))
+    micros = F.greatest(F.coalesce(F.col("local_end_us") - F.col("local_start_us"), F.lit(0)), F.lit(0))
+    of = lambda cond: F.sum(F.when(cond, micros).otherwise(0)) / 60e6  # noqa: E731  whole numbers are summed
     sums = recordings.groupBy("evidence_id").agg(of(F.col("tier") == "T1").alias("t1_minutes"), of(F.col("tier") != "T1").alias("recovered_minutes"))
     return sums.withColumn("gain_pct", F.when(F.col("t1_minutes") > 0, F.round(100 * F.col("recovered_minutes") / F.col("t1_minutes"), 1)))
 

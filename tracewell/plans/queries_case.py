@@ -216,7 +216,7 @@ def case_progress(spark, sf):
     return findings.case_progress(evidence, identification, recording, identification, custody.where("false"), custody, coverage)
 
 
-@query(f"""with {_CASE_SQL} select evidence_id, coalesce(sum(case when tier = 'T1' and le > ls then (le - ls) / 60000000.0::double end), 0.0) as t1_minutes, coalesce(sum(case when tier != 'T1' and le > ls then (le - ls) / 60000000.0::double end), 0.0) as recovered_minutes from rec group by 1""")
+@query(f"""with {_CASE_SQL} select evidence_id, coalesce(sum(case when tier = 'T1' and le > ls then le - ls end), 0)::double / 60000000 as t1_minutes, coalesce(sum(case when tier != 'T1' and le > ls then le - ls end), 0)::double / 60000000 as recovered_minutes from rec group by 1""")
 def recovery_gain(spark, sf):
     return findings.recovery_gain(_case(spark, sf)[2]).select("evidence_id", "t1_minutes", "recovered_minutes")
 
