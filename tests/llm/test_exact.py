@@ -14,8 +14,8 @@ DOCS = "doc_id long, text string"
 def test_equal_texts_without_white_space(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh é\n") for _ in range(60_000))
-    rows = [(5, "a b"), (2, "ab"), (3, "a\tb\r\n"), (4, "ab "), (7, None), (8, ""), (9, " \v\f"), (10, "a b"), (11, long), (12, " " + long), (13, long + "x"), (None, "ab"), (6, "solo"), (6, "solo")]
-    got = sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
+    rows = [(5, "a b"), (2, "ab"), (3, "a\tb\r\n"), (4, "ab "), (7, None), (8, ""), (9, " \v\f"), (10, "a b"), (11, long), (12, " " + long), (13, long + "x"), (None, "ab"), (6, "solo"), (6, "solo"), (-(2**63), "low"), (2**63 - 1, "low")]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
     for d, t in rows:
@@ -23,7 +23,7 @@ def test_equal_texts_without_white_space(spark):
     want = []
     for key, members in groups.items():
         best = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
-        want += [(d or -1, best[0], len(members), d == best[0] and len(t) == len(best[1]), hashlib.sha256(key.encode()).hexdigest()) for d, t in members]
+        want += [(-1 if d is None else d, best[0], len(members), d == best[0] and len(t) == len(best[1]), hashlib.sha256(key.encode()).hexdigest()) for d, t in members]
     assert got == sorted(want)
 
 
@@ -178,8 +178,8 @@ def test_likely_pairs_are_all_pairs_of_fingerprints(spark):
 def test_one_row_and_repeats(spark):
     one = spotsigs.fingerprints(spark.createDataFrame([(1, "the red fox ran")], DOCS)).first()
     assert one.near_next == 1.0
-    rows = [(1, "x"), (1, "y"), (1, "y"), (None, "the big dog"), (2**61, "z")]
-    assert spotsigs.fingerprints(spark.createDataFrame(rows, DOCS)).count() == 5
+    rows = [(1, "x"), (1, "y"), (1, "y"), (None, "the big dog"), (2**63 - 1, "z"), (-(2**63), "w")]
+    assert spotsigs.fingerprints(spark.createDataFrame(rows, DOCS)).count() == 6
     assert spotsigs.fingerprints(spark.createDataFrame([], DOCS)).collect() == []
 
 
@@ -199,7 +199,7 @@ def test_archives_read_back(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "CAPTURES_PER_RANGE", 10)
     big = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(5, "http://b.example/x?q=1", big), (3, "http://www.a.example/", big), (9, None, big), (4, "http://a.example/\r\nX: 1%0A", "small"), (6, "http://a.example/", "small"), (7, "", None), (3, "http://again", big), (8, "http://b.example/y", big + "!")]
-    rows += [(100 + i, f"http://h{i % 5}.example/{i}", f"{i}" * 60) for i in range(60)]
+    rows += [(100 + i, f"http://h{i % 5}.example/{i}", f"{i}" * 60) for i in range(60)] + [(2**62, "http://far.example/", "x" * 101), (-5, "http://far.example/", "x" * 102)]
     path = str(tmp_path / "w")
     warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(4), path)
     index = warc.capture_index(spark, path).collect()

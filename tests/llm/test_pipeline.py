@@ -62,3 +62,18 @@ def test_run_gives_the_last_stage(spark):
     got = cp.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert got.count() > 0
+
+
+def test_stages_take_odd_tables(spark):
+    rows = [(1, None, "en", None, 0, "x"), (2, "", None, "a", 0, "y"), (None, "some words here in a row", "en", "a", 24, "z"), (3, "dup words one two three four five", "en", "a", 34, "n"), (3, "dup words one two three four five", "en", "a", 34, "n"), (4, "long " * 60_000, "en", "b", 300_000, "n")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in cp.STAGES:
+            made = stage(spark, docs, SF)
+            n = made.count()
+            if name != "packing":
+                assert made.columns == docs.columns
+            elif docs.count():
+                assert n >= len(rows)
+            else:
+                assert n == 0

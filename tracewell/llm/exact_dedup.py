@@ -112,7 +112,7 @@ def verified_recipes(docs: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs."""
     recipes = verified_recipes(docs)
-    rank = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), -F.col("doc_id"))
+    rank = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"))  # smaller doc_ids rank higher
     groups = recipes.groupBy("recipe").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(rank).alias("__best"), F.max_by("doc_id", rank).alias("keep_id")
     )

@@ -93,7 +93,8 @@ def with_successor(docs: DataFrame) -> DataFrame:
     edges = F.array(*[F.lit(int(b)) for b in bounds])
     coarse = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(1))
     low, high = F.element_at(edges, F.col("__c")), F.element_at(edges, F.least(F.col("__c") + 1, F.lit(len(bounds))))
-    inner = F.when(high > low, F.floor((F.col("doc_id") - low) / (high - low).cast("double") * fine)).otherwise(F.lit(0))
+    as_double = lambda c: c.cast("double")  # noqa: E731  differences of 64-bit numbers may not fit one
+    inner = F.when(high > low, F.floor((as_double(F.col("doc_id")) - as_double(low)) / (as_double(high) - as_double(low)) * fine)).otherwise(F.lit(0))
     inner = F.least(F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0)), F.lit(fine - 1)).cast("long")
     placed = rows.withColumn("__c", F.coalesce(coarse, F.lit(1))).withColumn("__r", F.col("__c") * F.lit(fine) + inner)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]

@@ -33,7 +33,7 @@ END = "\r\n\r\n"
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 2000
 CAPTURES_PER_RANGE = 20_000
-#: Pages carry no capture time; they count as captured a second apart in page_id order from here on.
+#: Pages carry no capture time; they count as captured page_id seconds (modulo 10**9) from here on.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 INDEX = "run long, seq long, url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, length long"
@@ -58,7 +58,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         safe = F.replace(safe, F.lit(ch), F.lit(f"%{ord(ch):02X}"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    stamp = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
