@@ -51,16 +51,16 @@ def runs(frames: DataFrame) -> DataFrame:
     made = rows.groupBy(*SPAN, "run").agg(
         F.min(F.when(kept, F.col("offset"))).alias("offset"),
         F.max_by(F.col("offset") + F.col("length"), F.when(kept, F.col("offset"))).alias("end"),
-        F.countDistinct(F.when(kept, F.col("channel"))).alias("channels"), F.max(F.when(kept, F.col("channel"))).alias("channel"),
-        F.countDistinct(F.when(kept, F.col("codec"))).alias("codecs"), F.max(F.when(kept, F.col("codec"))).alias("codec"),
+        F.min(F.when(kept, F.col("channel"))).alias("a_channel"), F.max(F.when(kept, F.col("channel"))).alias("channel"),
+        F.min(F.when(kept, F.col("codec"))).alias("a_codec"), F.max(F.when(kept, F.col("codec"))).alias("codec"),
         F.min_by("local_us", timed).alias("start_us"), F.max_by("local_us", timed).alias("end_us"),
         F.count_if(kept).alias("frame_count"), F.count_if(kept & (F.col("kind") == "I")).alias("keyframes"),
         F.sum(F.when(~kept, F.col("length")).otherwise(0)).alias("trimmed_bytes"), F.max("ends").alias("ended"),
     )
     return made.select(
         *SPAN, "run", "offset", (F.col("end") - F.col("offset")).alias("length"),
-        F.when(F.col("channels") == 1, F.col("channel")).alias("channel"),
-        F.when(F.col("codecs") == 1, F.col("codec")).otherwise("unknown").alias("codec"),
+        F.when(F.col("a_channel") == F.col("channel"), F.col("channel")).alias("channel"),
+        F.when(F.col("a_codec") == F.col("codec"), F.col("codec")).otherwise("unknown").alias("codec"),
         "start_us", "end_us", "frame_count", "keyframes", "trimmed_bytes", F.coalesce("ended", F.lit("end of span")).alias("ended"),
     )
 

@@ -51,7 +51,7 @@ def subtract(spans: DataFrame, holes: DataFrame, keys: list[str], near: int = SE
             events = one if events is None else events.unionByName(one)
     # two spans that touch stay two pieces: the place where one ends and the next starts is a boundary of its own
     cut = spans.select(*keys, F.col("start").alias("at")).distinct().withColumn("opens", F.lit(True))
-    points = events.groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("h").alias("h")).join(cut, [*keys, "at"], "left")
+    points = events.unionByName(cut, allowMissingColumns=True).repartition(*keys).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("h").alias("h"), F.max("opens").alias("opens"))
     order = Window.partitionBy(*keys).orderBy("at")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     runs = points.select(*keys, "at", "opens", F.lead("at").over(order).alias("next"), F.sum("s").over(running).alias("s"), F.sum("h").over(running).alias("h"))
@@ -59,15 +59,17 @@ def subtract(spans: DataFrame, holes: DataFrame, keys: list[str], near: int = SE
     first = F.when(F.col("opens").isNotNull() | ~F.coalesce(F.lag("in").over(order), F.lit(False)), 1).otherwise(0)
     runs = runs.withColumn("__piece", F.sum(first).over(running)).where("in and next is not null")
     pieces = runs.groupBy(*keys, "__piece").agg(F.min("at").alias("start"), F.max("next").alias("end")).drop("__piece")
+    # a hole lies in the cells of its start and its end, a piece looks in the cells that `near` reaches from its own
     cell = lambda c: F.floor(c / near).cast("long")
-    by_start = holes.select(*keys, F.struct(F.col("start"), F.col("end")).alias("hole"), cell(F.col("start")).alias("cell"))
-    by_end = holes.select(*keys, F.struct(F.col("start"), F.col("end")).alias("hole"), cell(F.col("end")).alias("cell"))
-    cells = lambda c, d: F.explode(F.array(cell(F.col(c)), cell(F.col(c)) + d))
-    after = pieces.withColumn("cell", cells("end", 1)).join(by_start, [*keys, "cell"]).where((F.col("hole.start") - F.col("end")).between(0, near))
-    ahead = pieces.withColumn("cell", cells("start", -1)).join(by_end, [*keys, "cell"]).where((F.col("start") - F.col("hole.end")).between(0, near))
-    bounds = after.unionByName(ahead).groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_set("hole")).alias("bounded_by"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return pieces.join(bounds, [*keys, "start", "end"], "left").withColumn("bounded_by", F.coalesce("bounded_by", none))
+    place = lambda side, c: F.struct(F.lit(side).alias("side"), cell(c).alias("cell"))
+    start, end = F.col("start"), F.col("end")
+    of_hole = F.explode(F.array(place("ahead", start), place("behind", end)))
+    seen = holes.select(*keys, F.struct("start", "end").alias("hole"), of_hole.alias("p")).select(*keys, "hole", "p.side", "p.cell")
+    of_piece = F.explode(F.array(place("ahead", end), place("ahead", end + near), place("behind", start), place("behind", start - near)))
+    looks = pieces.select(*keys, "start", "end", of_piece.alias("p")).select(*keys, "start", "end", "p.side", "p.cell")
+    gap = F.when(F.col("side") == "ahead", F.col("hole.start") - end).otherwise(start - F.col("hole.end"))
+    met = looks.join(seen, [*keys, "side", "cell"], "left").groupBy(*keys, "start", "end")
+    return met.agg(F.array_sort(F.collect_set(F.when(gap.between(0, near), F.col("hole")))).alias("bounded_by"))
 
 
 def coverage_map(images: DataFrame, claims: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def coverage_map(images: DataFrame, claims: DataFrame) -> DataFrame:
     frame = images.where("size > 0").select("evidence_id", F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"))
     events = edge("low", 1).unionByName(edge("high", -1)).unionByName(frame.select("evidence_id", "at", F.lit("").alias("bucket"), F.lit(0).alias("by")))
     depth = [F.sum(F.when(F.col("bucket") == b, F.col("by")).otherwise(0)).alias(b) for b in BUCKETS[:-1]]
-    points = events.groupBy("evidence_id", "at").agg(*depth)
+    points = events.repartition("evidence_id").groupBy("evidence_id", "at").agg(*depth)  # dealt once, for all that follows
     order = Window.partitionBy("evidence_id").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     runs = points.select("evidence_id", "at", F.lead("at").over(order).alias("next"), *[F.sum(b).over(upto).alias(b) for b in BUCKETS[:-1]])
