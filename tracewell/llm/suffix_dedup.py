@@ -183,6 +183,12 @@ def _keys(row: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (row.astype(np.int64) << 44) | place
 
 
+def _among(x: Anchors, keys: np.ndarray) -> np.ndarray:
+    """Which of the anchors are among sorted keys: only those of the anchors' own texts are looked at."""
+    low, high = np.searchsorted(keys, (x.row[0] << 44, (x.row[-1] + 1) << 44)) if len(x.row) else (0, 0)
+    return np.isin(_keys(x.row, x.place), keys[low:high]) if low < high else np.zeros(len(x.row), bool)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -206,17 +212,17 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the anchors in `many`: (a, b, doc_id, first) of each window; for those in `few`: (a: the 32 bytes' name,
     doc_id, first, last, place, left: bytes before it, around)."""
     for b in batches:
-        few, many = (_keys(*_lists(b.column(c))) for c in ("few", "many"))
+        few, many = (np.sort(_keys(*_lists(b.column(c)))) for c in ("few", "many"))
         for x in anchors_of(*_texts(b.column("text"))):
-            key, made = _keys(x.row, x.place), []
-            own = np.flatnonzero(np.isin(key, many))
+            made = []
+            own = np.flatnonzero(_among(x, many))
             if len(own):
                 size = x.last[own] - x.first[own] + 1
                 starts = np.arange(size.sum()) + np.repeat(x.first[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
                 two = Names(x.part, 1).of(starts, starts + LENGTH).view(np.int64) >> np.int64(32)
                 none = np.full(len(starts), -1)
                 made.append((x.names.of(starts, starts + LENGTH).view(np.int64), two, np.repeat(x.row[own], size), starts - np.repeat(x.base[own], size), none, none, none, [None] * len(starts)))
-            own = np.flatnonzero(np.isin(key, few))
+            own = np.flatnonzero(_among(x, few))
             if len(own):
                 left, right = np.maximum(x.at - SIDE, x.base)[own], np.minimum(x.at + LENGTH, x.base + x.size)[own]
                 around = [x.part[s:e].tobytes() for s, e in zip(left.tolist(), right.tolist())]
@@ -284,11 +290,11 @@ def removed_ranges(data: np.ndarray, offsets: np.ndarray, places: tuple, windows
     """(row, start, end): the bytes of each text covered by repeated anchors' windows and by repeated windows, joined.
 
     places: (row, place); windows: (row, first start, last start)."""
-    keys = _keys(*places)
+    keys = np.sort(_keys(*places))
     spans = [(offsets[windows[0]] + windows[1], offsets[windows[0]] + windows[2] + LENGTH)]
     if len(keys):
         for x in anchors_of(data, offsets):
-            own = np.isin(_keys(x.row, x.place), keys)
+            own = _among(x, keys)
             start = (offsets[x.row] - x.base)[own]
             spans.append((x.first[own] + start, x.last[own] + start + LENGTH))
     start, end = (np.concatenate([s[k] for s in spans]) for k in (0, 1))
