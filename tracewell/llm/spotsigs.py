@@ -83,14 +83,14 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 def with_successor(docs: DataFrame) -> DataFrame:
     """doc_id, text and next: the text of the next row by doc_id (the first one's after the last).
 
-    doc_ids are cut into about sqrt(N) ranges: 64 by their quantiles, each of those evenly by value. Each range finds
-    successors on its own, and its last row takes the first row of the next range. Those first rows are sqrt(N) keys of 24
-    bytes (a few MB for 10^11 rows), sent to the scan that fetches their texts.
+    doc_ids are cut into about 4 sqrt(N) ranges (several for each task, so tasks are even): 64 by their quantiles, each
+    of those evenly by value. Each range finds successors on its own, and its last row takes the first row of the next
+    range. Those first rows are keys of 24 bytes (30 MB for 10^11 rows), sent to the scan that fetches their texts.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 10_000).alias("q")).first()
     bounds = sorted(set(facts.q or [0]))
-    fine = max(1, math.isqrt(facts.n) // max(1, len(bounds) - 1))
+    fine = max(1, 4 * math.isqrt(facts.n) // max(1, len(bounds) - 1))
     edges = F.array(*[F.lit(int(b)) for b in bounds])
     coarse = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(1))
     low, high = F.element_at(edges, F.col("__c")), F.element_at(edges, F.least(F.col("__c") + 1, F.lit(len(bounds))))
@@ -103,7 +103,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     seen = placed.select("__r", "doc_id", "text", F.lead("text").over(inside).alias("next"))
     # each range's first row, by its key alone, and the range that comes before it
     heads = placed.groupBy("__r").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"))).alias("h"))
-    around = Window.orderBy("__r")  # a row for each range: sqrt(N)
+    around = Window.orderBy("__r")  # a row for each range: 4 sqrt(N)
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = F.coalesce(F.lead("h").over(around), F.first("h").over(whole))
     firsts = heads.select("__r", after.alias("f")).select("__r", F.col("f.doc_id").alias("__id"), F.col("f.hash").alias("__hash"))
