@@ -96,6 +96,30 @@ def fold_chain(records: DataFrame, key: str, order: str, content: str) -> DataFr
     return rows.mapInPandas(fold, f"{key} {kind}, head string, records long")
 
 
+def stored_chain(records: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """key, order, content, i, prev_digest, digest: each record beside its link and digest, i counting from 1 in its chain.
+
+    Rows stream by as in fold_chain, and no chain is ever held whole."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, head, n = None, GENESIS, 0
+        for pdf in batches:
+            at, before, after = [], [], []
+            for k, text in zip(pdf[key], pdf[content]):
+                if not n or k != now:
+                    now, head, n = k, GENESIS, 0
+                n += 1
+                at.append(n)
+                before.append(head)
+                head = hashlib.sha256((head + text).encode()).hexdigest()
+                after.append(head)
+            yield pdf.assign(i=at, prev_digest=before, digest=after)
+
+    rows = records.select(key, order, content).repartition(key).sortWithinPartitions(key, order)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(link, f"{kinds}, i long, prev_digest string, digest string")
+
+
 def verify_chain(records: DataFrame, key: str = "case_id", digest_of: Column | None = None) -> DataFrame:
     """key, ok, records_checked, broken_at, reason, warnings of stored chains.
 

@@ -34,10 +34,7 @@ chain as (
 
 
 def _contents(spark, sf):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "events").where("user_id < 40").selectExpr("user_id", "event_id", "concat(event_type, ':', cast(event_id as string)) as content")
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("i <= 60")
+    return table(spark, sf, "events").selectExpr("user_id", "event_id", "concat(event_type, ':', cast(event_id as string)) as content")
 
 
 @query(f"with {_CHAIN_SQL} select user_id, arg_max(digest, i) as head, count(*) as records from chain group by user_id")
@@ -47,11 +44,7 @@ def audit_chain_head(spark, sf):
 
 def _records(spark, sf):
     """Stored chains, some spoilt: a content changed in users 1 mod 4, a record missing in users 2 mod 4."""
-    # a chain's digests by the fold over each prefix: aggregate over the sorted contents keeps every step
-    rows = _contents(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "event_id", "content"))).alias("r"))
-    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x.content), 256)))
-    rows = rows.withColumn("d", F.aggregate("r", F.array(F.lit(integrity.GENESIS)), step))
-    rows = rows.select("user_id", "d", F.explode("r").alias("x")).select("user_id", "x.i", "x.event_id", "x.content", F.element_at("d", F.col("x.i")).alias("prev_digest"), F.element_at("d", F.col("x.i") + 1).alias("digest"))
+    rows = integrity.stored_chain(_contents(spark, sf), "user_id", "event_id", "content")
     rows = rows.where("not (user_id % 4 = 2 and i = 11)").selectExpr(
         "user_id as case_id", "cast(i - 1 as bigint) as seq", "case when user_id % 4 = 1 and i = 7 then 'tampered' else content end as content", "prev_digest", "digest",
         "format_string('%06d', event_id - case when i = 5 then 3000 else 0 end) as ts_utc", "case when i = 3 and user_id % 8 = 0 then 'odd' else 'ok' end as result",
