@@ -13,6 +13,10 @@ SF = "/root/testdata/sf0.01"
 CUTS = {
     "audit_chain_head": [(" where user_id < 40 qualify i <= 60", "")],
     "audit_verify": [(" where user_id < 40 qualify i <= 60", "")],
+    "sync_gaps": [(" and recording_id % 40 = evidence_id % 40", "")],
+    "signature_scan": [(" and evidence_id % 5 = 0", "")],
+    "latest_params": [(" and user_id % 3 = 0", "")],
+    "orphan_checks": [("from frame where event_id % 2 = 0)", "from frame)")],
 }
 
 

@@ -62,7 +62,7 @@ def audit_verify(spark, sf):
 
 @query("""select (event_id % 50)::varchar as target, arg_max(event_type, event_id) as params from events where event_type != 'view' and user_id % 3 = 0 group by 1""")
 def latest_params(spark, sf):
-    rows = table(spark, sf, "events").where("event_type != 'view' and user_id % 3 = 0").selectExpr("1 as case_id", "'x' as action", "cast(event_id % 50 as string) as target", "event_type as params", "event_id as seq")
+    rows = table(spark, sf, "events").where("event_type != 'view'").selectExpr("1 as case_id", "'x' as action", "cast(event_id % 50 as string) as target", "event_type as params", "event_id as seq")
     return integrity.latest(rows, "x").select("target", "params")
 
 

@@ -49,7 +49,7 @@ gap as (select span.evidence_id, u, greatest(lo, coalesce((select max(e) from fe
         from span join stop using (evidence_id) where b > lo)
 select distinct evidence_id, x + u as gap_start_us, y - u as gap_end_us, 2 * u as uncertainty_us from gap where (y - u) - (x + u) >= 1000000""")
 def sync_gaps(spark, sf):
-    return timeline.synchronised_gaps(t.segments(spark, sf).where(f"end_us >= start_us and {_FEW}"))
+    return timeline.synchronised_gaps(t.segments(spark, sf).where("end_us >= start_us"))
 
 
 @query(f"""with {SEGMENTS_SQL}, r as (select *, case when evidence_id % 3 = 0 and recording_id % 2 = 0 then s - 60000000 end as rs, case when evidence_id % 3 = 0 and recording_id % 2 = 0 then e - 60000000 end as re from seg),
@@ -236,7 +236,7 @@ def orphan_checks(spark, sf):
         "c_custkey as entry_id", "c_custkey % 8 as evidence_id", _ENTRIES, f"case when c_custkey % 5 != 0 then cast({19723 * DAY} as bigint) end as start_us",
         f"case when c_custkey % 5 in (1, 2) then {19723 * DAY} + (c_custkey % 30) * {DAY} end as end_us", "cast(0.6 as double) as confidence",
     )
-    seen = t.frames(spark, sf).where("event_id % 2 = 0").selectExpr("span_id % 8 as evidence_id", "span_id as entry_id", "offset", "channel", "local_us")
+    seen = t.frames(spark, sf).selectExpr("span_id % 8 as evidence_id", "span_id as entry_id", "offset", "channel", "local_us")
     return frames.orphan_checks(entries, seen).select("entry_id", "structure_check", "channel_check", "time_check", "trusted", "tier")
 
 
