@@ -10,6 +10,14 @@ from tracewell.plans import registry
 
 SF = "/root/testdata/sf0.01"
 
+CASE = [
+    (" from seg where evidence_id < 45", " from seg"),
+    ("l_suppkey as evidence_id", "l_suppkey % 40 as evidence_id"),
+    ("l_suppkey % 3 = 0", "l_suppkey % 40 % 3 = 0"),
+    (" where l_suppkey < 40", ""),
+    ("conv_id % 60 as evidence_id, turn as seq", "conv_id % 45 as evidence_id, conv_id * 3000000 + turn as seq"),
+    (" where conv_id < 60", ""),
+]
 CUTS = {
     "audit_chain_head": [(" where user_id < 40 qualify i <= 60", "")],
     "audit_verify": [(" where user_id < 40 qualify i <= 60", "")],
@@ -17,6 +25,9 @@ CUTS = {
     "signature_scan": [(" and evidence_id % 5 = 0", "")],
     "latest_params": [(" and user_id % 3 = 0", "")],
     "orphan_checks": [("from frame where event_id % 2 = 0)", "from frame)")],
+    "carved_recordings": [(" from runs where evidence_id = span_id", " from runs")],
+} | {
+    name: CASE for name in ("negative_findings", "severity_summary", "case_progress", "custody_breaks", "findings_document", "recovery_gain", "open_steps")
 }
 
 
@@ -41,3 +52,10 @@ def test_query_reads_every_row(spark, con, name):
     assert sorted(names) == columns
     want = Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in rel.fetchall())
     assert Counter(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
+
+
+def test_orders_of_any_number_are_formatted(spark, tmp_path):
+    rows = spark.sql("select * from values (1023L, timestamp_ntz'2024-01-02 03:04:05'), (2000000L, timestamp_ntz'2024-01-02 03:04:05') as v(o_orderkey, o_orderdate)")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.QUERIES["formatted"](spark, str(tmp_path)).collect()
+    assert {(r.o_orderkey, r.iso, r.size) for r in got} == {(1023, "2024-01-02T03:04:05", "1023 B"), (2000000, "2024-01-02T03:04:05", "1.9 MiB")}

@@ -83,8 +83,8 @@ def confidence_note(frame_count: Column, channel: Column, start_us: Column, keyf
 
 
 def carved_recordings(found: DataFrame, unreadable: bool = False) -> DataFrame:
-    """Runs as recordings in physical order: T4 where the image has unreadable ranges, else T3."""
-    order = Window.partitionBy("evidence_id").orderBy("offset", "run")
+    """Runs as recordings in physical order, and of one place by span: T4 where the image has unreadable ranges, else T3."""
+    order = Window.partitionBy("evidence_id").orderBy("offset", "run", *(c for c in found.columns if c == "span_id"))
     what = [F.col(c) for c in ("frame_count", "channel", "start_us", "keyframes")]
     return found.select(
         "evidence_id", F.row_number().over(order).alias("position"), F.lit("T4" if unreadable else "T3").alias("tier"), "offset", "length", "channel", "codec", "start_us", "end_us",

@@ -120,17 +120,20 @@ def identify_policy(spark, sf):
 
 # --- case tables of the driver's tables --------------------------------------------------
 def _case(spark, sf):
-    """evidence and the rest as the findings rules read them: 50 items, from customers and orders."""
+    """evidence and the rest as the findings rules read them: 50 items, from customers and orders.
+
+    Every claim is folded onto 40 of the items and every conversation onto 45, so that some have none; a conversation's
+    turns follow those of the conversations before it."""
     items = table(spark, sf, "customer").selectExpr("c_custkey % 50 as evidence_id").distinct()
     gap = "array(named_struct('offset', cast(0 as bigint), 'length', cast(512 as bigint)))"
     evidence = items.selectExpr("evidence_id", "substr('ABCDE', cast(evidence_id % 5 as int) + 1, 1) as provenance_class", f"case when evidence_id % 9 = 0 then {gap} end as gaps", "case when evidence_id % 11 = 0 then 'stored hash mismatch' end as notes")
     identification = items.where("evidence_id % 6 != 5").selectExpr("evidence_id", "case evidence_id % 4 when 0 then 'unknown' when 1 then 'identified' when 2 then 'ambiguous' else 'identified' end as status", "case when evidence_id % 4 in (1, 3) or evidence_id % 8 = 2 then 'f' end as family", "evidence_id % 4 = 1 as parse_supported")
-    recording = t.segments(spark, sf).where("evidence_id < 45").selectExpr(
+    recording = t.segments(spark, sf).selectExpr(
         "evidence_id", "recording_id", "channel", "concat('T', 1 + recording_id % 4) as tier", "case when recording_id % 13 != 0 then start_us end as local_start_us", "end_us as local_end_us",
         "case when evidence_id % 2 = 0 then 'none' when recording_id % 2 = 0 then 'A_ntp' end as t_method", "case when evidence_id % 2 = 1 and recording_id % 2 = 0 then start_us end as ref_start_us",
     )
-    coverage = t.claims(spark, sf).where("evidence_id < 40").selectExpr("evidence_id", "case when evidence_id % 3 = 0 and bucket = 'unreadable' then 'unaccounted' else bucket end as bucket", "length")
-    custody = table(spark, sf, "conversations").where("conv_id < 60").selectExpr("conv_id % 60 as evidence_id", "turn as seq", "concat(role, ' ') as to_holder", "case when turn % 3 = 0 then upper(role) else 'assistant' end as from_holder", "case when turn % 4 = 1 then 0 when turn % 4 = 2 then null else 1 end as seal_intact")
+    coverage = t.claims(spark, sf).withColumn("evidence_id", F.expr("pmod(evidence_id, 40)")).selectExpr("evidence_id", "case when evidence_id % 3 = 0 and bucket = 'unreadable' then 'unaccounted' else bucket end as bucket", "length")
+    custody = table(spark, sf, "conversations").selectExpr("pmod(conv_id, 45) as evidence_id", "conv_id * 3000000 + turn as seq", "concat(role, ' ') as to_holder", "case when turn % 3 = 0 then upper(role) else 'assistant' end as from_holder", "case when turn % 4 = 1 then 0 when turn % 4 = 2 then null else 1 end as seal_intact")
     attachment = table(spark, sf, "nation").selectExpr("case when n_nationkey = 7 then null else cast(n_nationkey as bigint) end as evidence_id", "case n_nationkey % 3 when 0 then 'panchnama' when 1 then 'authorisation' else 'seizure_video' end as kind")
     return evidence, identification, recording, coverage, custody, attachment
 
@@ -227,7 +230,7 @@ def findings_document(spark, sf):
 
 @query(f"""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso, case when o_orderkey < 1024 then o_orderkey || ' B' else printf('%.1f KiB', o_orderkey / 1024.0::double) end as size from orders where o_orderkey < 1000000""")
 def formatted(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderkey < 1000000")
+    rows = table(spark, sf, "orders")
     return rows.select("o_orderkey", scalars.iso_local(F.col("o_orderdate")).alias("iso"), scalars.human_bytes(F.col("o_orderkey")).alias("size"))
 
 

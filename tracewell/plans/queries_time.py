@@ -196,7 +196,7 @@ def frame_runs(spark, sf):
 @query(_RUNS_SQL + """ select evidence_id, row_number() over (partition by evidence_id order by "offset", run, span_id) as position, 'T3' as tier, frame_count, keyframes,
   case when frame_count <= 1 then 0.2 when start_us is not null and channel is not null and keyframes >= 2 then 0.9 when start_us is not null then 0.7 else 0.4 end::double as confidence from runs where evidence_id = span_id""")
 def carved_recordings(spark, sf):
-    made = frames.carved_recordings(frames.runs(t.frames(spark, sf)).where("evidence_id = span_id"))
+    made = frames.carved_recordings(frames.runs(t.frames(spark, sf)))
     return made.select("evidence_id", F.col("position").cast("long").alias("position"), "tier", "frame_count", "keyframes", "confidence")
 
 
