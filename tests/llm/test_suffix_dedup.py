@@ -65,3 +65,15 @@ def test_long_text_in_stretches(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.suffix_dedup(df).collect() == []
+
+
+def test_anchors_at_the_border_of_stretches(spark):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("ijklmnopqrst ", k=n))
+    phrase, text = letters(90), ""  # shorter than a window, never the same around it
+    for k in range(1, 7):  # workers read their own STRETCH, so the text is as long as it needs
+        text += letters(k * sd.STRETCH - 20 - len(text)) + phrase
+    docs = [(1, text + letters(500)), (2, text[70_000:71_000] + letters(300))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in sd.suffix_dedup(df).collect()}
+    assert got == brute(docs)

@@ -235,7 +235,16 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_windows(group: list[tuple]) -> Iterator[tuple[object, int, int]]:
     """(doc_id, first, last) starts of windows that also lie in an earlier member of the group.
 
-    group: (doc_id, first, last, place, left, around) of anchors with equal 32 bytes, in corpus order."""
+    group: (doc_id, first, last, place, left, around) of anchors with equal 32 bytes, in corpus order. Rows of one anchor
+    that a long text's stretches share are one member."""
+    joined: list[tuple] = []
+    for g in group:
+        if joined and (joined[-1][0], joined[-1][3]) == (g[0], g[3]):
+            doc_id, first, last, *rest = joined[-1]
+            joined[-1] = (doc_id, min(first, g[1]), max(last, g[2]), *rest)
+        else:
+            joined.append(g)
+    group = joined
     m = len(group)
     here = np.zeros((m, SIDE + LENGTH), np.uint8)
     left, right = np.array([g[4] for g in group]), np.array([len(g[5]) - g[4] - GRAM for g in group])
