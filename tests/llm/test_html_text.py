@@ -58,6 +58,24 @@ def test_site_style_tree_removes_what_pages_share(spark, monkeypatch, shared):
     assert (got[101].text, got[101].n_chars, got[102].text) == ("", 0, "odd")
 
 
+def test_nested_wrappers_keep_what_they_wrap(spark):
+    rows = []
+    for i in range(40):
+        words = " ".join(f"w{i}x{j}" for j in range(30))
+        for host, depth in (("ten", 10), ("twenty", 20)):
+            inner = f"{'<div>' * depth}<p>Story {i}.</p><p>{words}</p>{'</div>' * depth}"
+            rows.append((len(rows), f"http://{host}.example/p", f"<body><div>About this site</div>{inner}<div>All rights</div></body>"))
+    got = h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        i = r.page_id // 2
+        assert r.text == f"Story {i}.\n" + " ".join(f"w{i}x{j}" for j in range(30))
+
+
+def test_end_tags_of_elements_too_deep():
+    page = f"<p>yes</p>{'<div>' * 180}<div class=ad>{'<div>' * 40}a{'</div>' * 40}no</div>"
+    assert one(page) == "yes"
+
+
 def test_repeated_articles_stay(spark):
     rows = [(i, "http://one.example/", "<body><nav>n</nav><article><h1>T</h1><p>the same</p></article></body>") for i in range(30)]
     assert {r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"T\nthe same"}

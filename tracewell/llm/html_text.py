@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -87,6 +88,7 @@ def parse(page: str) -> Element:
     """The DOM of a page: elements, and strings for text with character references decoded."""
     root = Element("html")
     stack, at = [root], 0
+    flat: Counter[str] = Counter()  # open elements too deep for the stack
     while m := _MARKUP.search(page, at):
         if m.start() > at:
             stack[-1].children.append(entities.unescape(page[at : m.start()]))
@@ -99,6 +101,9 @@ def parse(page: str) -> Element:
             break
         tag = m[2].lower()
         if m[1]:
+            if len(stack) == DEEPEST and flat[tag]:
+                flat[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -128,8 +133,12 @@ def parse(page: str) -> Element:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < DEEPEST:
-            stack.append(element)
+        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            if len(stack) < DEEPEST:
+                flat.clear()
+                stack.append(element)
+            else:
+                flat[tag] += 1
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
     return root
@@ -278,15 +287,17 @@ def importance(places: DataFrame) -> DataFrame:
     return sums.withColumn("own", F.when(F.col("pages") > 1, entropy).otherwise(1.0)).drop("n_log_n")
 
 
-def composite(own: DataFrame, levels: int = 6) -> DataFrame:
+def composite(own: DataFrame, levels: int = DEEPEST + 1) -> DataFrame:
     """(place, pages, value): a branch's importance, its children's weighed by the pages that have them.
 
-    Leaves keep their own; each round lifts the values of children one level up."""
+    Leaves keep their own, and a place with one child place has that child's importance at least: a wrapper says nothing
+    about what it wraps. Each round lifts the values of children one level up, until none moves."""
     value = written(own.select("place", "parent", "pages", "leaf", "own", F.col("own").alias("value")), "importance")
     for _ in range(levels):
-        up = value.groupBy(F.col("parent").alias("place")).agg((F.sum(F.col("pages") * F.col("value")) / F.sum("pages")).alias("below"))
+        up = value.groupBy(F.col("parent").alias("place")).agg((F.sum(F.col("pages") * F.col("value")) / F.sum("pages")).alias("below"), F.count(F.lit(1)).alias("n"))
         lifted = value.join(spread(up, "place"), "place", "left")
-        mixed = F.when(F.col("below").isNull(), F.col("own")).otherwise(DECAY * F.col("below") + (1 - DECAY) * F.col("own"))
+        mixed = DECAY * F.col("below") + (1 - DECAY) * F.col("own")
+        mixed = F.when(F.col("below").isNull(), F.col("own")).when(F.col("n") == 1, F.greatest("below", mixed)).otherwise(mixed)
         changed = written(lifted.select("place", "parent", "pages", "leaf", "own", mixed.alias("new"), "value"), "importance")
         moved = changed.where(F.abs(F.col("new") - F.col("value")) > 1e-9).limit(1).count()
         value = changed.select("place", "parent", "pages", "leaf", "own", F.col("new").alias("value"))
