@@ -8,19 +8,26 @@ then joined back by rank: pieces are ranked within their length, and a pattern's
 Ranks are counted by (length, hash bucket): about sqrt(N) buckets for N pieces, so a length that a third of all pieces
 share is spread over them. Ids are made once; what is written is a row of numbers for each piece.
 
-tiktoken makes the ids, from the ranks of the same vocabulary (tests hold it against the tokenizers library, which is
-four times slower here). Strings of special tokens in a text are ordinary text.
+The ids are those of the vocabulary's tokenizers file without special tokens added: a special token's string in a text
+is that token, as the file has it. tiktoken makes them from the ranks of the same vocabulary and the file's special
+tokens (tests hold it against the tokenizers library, which is four times slower here).
+
+The table of slots goes to every task. Its size is bounded by `size` alone: a step of the packing fills packs up or
+splits a pattern in two, and a length takes as many steps as there are patterns at most; at 1024 the tables measured hold
+some thousand rows of 32 bytes.
 
 Defined results: null text is empty and its ids are the end id alone; sequences whose length is a power of two need no
-padding, all others are padded to 1024; rows that repeat a doc_id are packed each; an empty table gives an empty table.
+padding, all others are padded to 1024; rows that repeat a doc_id are packed each, a null doc_id too; a text longer than
+a sequence is cut into pieces, in one task; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,17 +44,21 @@ VOCABULARY = "byte_bpe_50k"
 
 
 @cache
-def encoder(ranks_file: str):
+def encoder(ranks_file: str, tokenizer_file: str) -> Callable[[str], list[int]]:
+    """Text to ids: ranks from one file, special tokens from the other."""
     import tiktoken
 
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(tokenizer_file, encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    made = tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: made.encode(text, allowed_special="all")
 
 
-def _pieces(ranks_file: str, size: int):
+def _pieces(files: tuple[str, str], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file).encode_ordinary
+        encode = encoder(*files)
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -114,13 +125,15 @@ def _placed(table: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, size: int = SIZE, ranks_file: str | None = None) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, size: int = SIZE, files: tuple[str, str] | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    files: the vocabulary's ranks and its tokenizers file."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranks_file = ranks_file or public_tokenizers.path(f"{VOCABULARY}.tiktoken")
+    files = files or tuple(public_tokenizers.path(f"{VOCABULARY}.{end}") for end in ("tiktoken", "json"))
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     with cleaned_shuffles(docs.sparkSession):
-        pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(ranks_file, size), columns), "pieces")
+        pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(files, size), columns), "pieces")
         histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
         buckets = max(1, math.isqrt(sum(histogram.values())))
         pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
