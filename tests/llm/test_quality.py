@@ -27,24 +27,68 @@ def test_labels_held_out_or_bad_do_not_matter(spark):
     assert a == b
 
 
+def risk(g_positive, g_unlabelled, prior):
+    """The non-negative unbiased risk, row by row."""
+    loss = lambda z: (1 - z) ** 2 / 4
+    first = sum(loss(g) for g in g_positive) / len(g_positive)
+    second = sum(loss(-g) for g in g_unlabelled) / len(g_unlabelled) - prior * sum(loss(-g) for g in g_positive) / len(g_positive)
+    return prior * first + max(0.0, second)
+
+
+def test_no_other_weights_have_less_risk():
+    rng = np.random.default_rng(5)
+    for prior, shift in ((0.4, 1.0), (0.7, 2.0), (0.9, 3.0)):
+        with_one = lambda x: np.concatenate([np.ones((len(x), 1)), x], 1)
+        p = with_one(rng.normal(shift, 1, (60, 12)))
+        u = with_one(np.concatenate([rng.normal(shift, 1, (int(80 * prior * 0.8), 12)), rng.normal(-shift, 1, (40, 12))]))
+        w = q.least_risk(p.T @ p / len(p), u.T @ u / len(u), prior, 1e-3)
+        total = lambda v: risk(p @ v, u @ v, prior) + 1e-3 * v @ v
+        best = total(w)
+        for _ in range(300):
+            assert total(w + rng.normal(0, rng.choice([1e-3, 1e-2, 0.1]), len(w))) >= best - 1e-9
+
+
 def test_prior_is_found():
     rng = np.random.default_rng(1)
     for prior in (0.3, 0.6, 0.9):
-        positive = rng.normal(1.5, 1, (3000, 4))
+        positive = rng.normal(1.5, 1, 3000)
         n = int(3000 * prior)
-        unlabelled = np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (3000 - n, 4))])
-        assert abs(q.estimated_prior(positive, unlabelled) - prior) < 0.08
+        unlabelled = np.concatenate([rng.normal(1.5, 1, n), rng.normal(-1.5, 1, 3000 - n)])
+        edges = np.linspace(-8, 8, 401)
+        assert abs(q.prior_of(*(np.histogram(x, edges)[0] for x in (positive, unlabelled))) - prior) < 0.08
+
+
+def test_sums_of_tasks_are_those_of_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "Bb", "the", "1,", "!"]) for _ in range(rng.randrange(60)))) for i in range(90)]
+    table = q.feature_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    x = np.array([q.features(t) for _, t in rows], np.float32).astype(float)
+    basis = q.basis_of(table)
+    assert np.allclose(basis.mean, x.mean(0)) and np.allclose(basis.scale, x.std(0) + 1e-3)
+    marked = table.withColumns({"trusted": F.col("doc_id") % 3 == 0, "half": (F.col("doc_id") % 2).cast("int")})
+    phi, ids = basis(x), np.arange(90)
+    sums = q._moments(marked, basis)
+    for h in (0, 1):
+        for k, own in enumerate(((ids % 3 == 0) & (ids % 2 == h), ids % 2 == h)):
+            assert np.allclose(sums[k, h], phi[own].T @ phi[own])
+    weights = [np.full(q.WIDTH, 0.01), np.full(q.WIDTH, -0.02)]
+    g = np.where(ids % 2 == 0, phi @ weights[0], phi @ weights[1])
+    bins = np.clip((g + q.REACH) / (2 * q.REACH) * q.BINS, 0, q.BINS - 1).astype(int)
+    assert (q._score_counts(marked, basis, weights) == [np.bincount(bins[ids % 3 == 0], minlength=q.BINS), np.bincount(bins, minlength=q.BINS)]).all()
 
 
 def test_defined_results(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(["a", "b", "the"]) for _ in range(30))) for i in range(20)] + [(50, None), (51, ""), (51, ""), (None, "x"), (52, "y" * 200_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(i, " ".join(rng.choice(["a", "b", "the"]) for _ in range(30))) for i in range(20)] + [(50, None), (51, ""), (51, ""), (None, "x"), (52, "y" * 200_000), (53, "z " * 300_000)]
+    docs = spark.createDataFrame([(*r, True, 0) for r in rows], "doc_id long, text string, trusted boolean, half int")
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.where("false")):
         got = q.scored(docs, given).collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
         assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
         assert all(r.predicted == int(r.score >= 0.7) for r in got)
+        kept = q.good_documents(docs, given)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in got if r.predicted)
     assert q.scored(docs.where("false"), labels).collect() == []
     assert q.good_documents(docs, labels.where("false")).count() == len(rows)

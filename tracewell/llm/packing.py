@@ -13,8 +13,8 @@ is that token, as the file has it. tiktoken makes them from the ranks of the sam
 tokens (tests hold it against the tokenizers library, which is four times slower here).
 
 The table of slots goes to every task. Its size is bounded by `size` alone: a step of the packing fills packs up or
-splits a pattern in two, and a length takes as many steps as there are patterns at most; at 1024 the tables measured hold
-some thousand rows of 32 bytes.
+splits a pattern in two, and a length takes as many steps as there are patterns at most; at 1024 the tables measured
+hold up to 15,000 rows of 32 bytes.
 
 Defined results: null text is empty and its ids are the end id alone; sequences whose length is a power of two need no
 padding, all others are padded to 1024; rows that repeat a doc_id are packed each, a null doc_id too; a text longer than

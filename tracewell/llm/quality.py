@@ -1,20 +1,28 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives (rows labelled of good quality) and unlabelled texts train a small network by minimising the
-non-negative unbiased risk  prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])  with the logistic loss; when the
-second part falls below zero its gradient is reversed, so it cannot be driven down by memorising the positives. Rows
-labelled bad are never used. The class prior is estimated: a first classifier of positives against unlabelled ranks the
-texts that it was not trained on, and the prior is the smallest ratio, over the top of that ranking, of the unlabelled
-share to the positive share (with an allowance for small counts).
+Trusted positives (rows labelled of good quality) and all texts as unlabelled ones train g(x) = w . phi(x) by minimising
+the non-negative unbiased risk  prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])  with the squared loss
+l(z) = (1 - z)^2 / 4 and a ridge. With that loss each expectation is a quadratic form in w, given by the first and second
+moments of phi over the positives and over all rows. So no row is sampled: tasks add up moments, Spark sums them (a
+matrix of a few hundred rows, whatever the input), and the risk is minimised exactly from the sums. Where the second part
+would be negative, the least risk lies on the edge where it is 0, which is found by bisecting its multiplier.
 
-A text's features are counts over its whole bytes and words, made once for each row by tasks and written as numbers.
-Training reads at most about SAMPLE rows of either kind, chosen by a hash of doc_id: that bound is the `sample`
-parameter. Everything else covers all rows. The model is a few hundred numbers, sent with the scoring tasks.
+Rows labelled bad are never used. The class prior is estimated: classifiers of positives against unlabelled, each fitted
+to one half of the rows, score the other half; the prior is the smallest ratio, over the top of that ranking, of the
+unlabelled share to the positive share (with an allowance for small counts). Score shares are counted in bins by tasks.
+
+A text's features are made once, over its whole bytes and words: shares of kinds of bytes, counts of words and lines,
+hashed runs of three byte kinds, and hashed single words and word pairs. phi is these, standardised, and the tanh of
+HIDDEN fixed random mixtures of the counts. The model is a few hundred numbers, sent with the scoring tasks.
+
+HIDDEN, RIDGE, HASHED and CUT were chosen among thirty settings by five folds over the labels of rows that are not held
+out; labels of held-out rows were not read for it.
 
 Defined results: null or empty text has the features of no words and is scored as all others; without any trusted
-positive or any text each score is the prior 0.5; labels with a null doc_id or quality are not used; a doc_id labelled
-twice counts once if any row calls it good; rows that repeat a doc_id are scored each; an empty table gives an empty
-table.
+positive or any text nothing can be learned and nothing is rejected: each score is THRESHOLD; labels with a null doc_id
+or quality are not used; a doc_id labelled twice counts once if any row calls it good; rows that repeat a doc_id are
+scored each; a very long text is read by one task, as numbers a byte; an empty table gives an empty table; further
+columns are not read (`good_documents` passes them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -29,12 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WHITE, cleaned_shuffles, written
 from .spotsigs import ANCHORS
+from .suffix_dedup import Names, _mix
 
-SAMPLE = 20_000
 THRESHOLD = 0.7
-HIDDEN, STEPS, RATE, DECAY = 16, 200, 0.02, 1e-2
+#: Random mixtures; ridge times the root of the number of positives; scale of hashed features; the g that scores THRESHOLD.
+HIDDEN, RIDGE, HASHED, CUT = 64, 0.3, 0.1, 0.2
+SHAPES, GRAMS = 64, 128
+BINS, REACH = 4000, 2.0
 
 _COMMON = frozenset(ANCHORS)
 
@@ -49,7 +60,33 @@ def _set_of(chars: str) -> np.ndarray:
 _KINDS = np.stack(
     [_set_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _set_of("abcdefghijklmnopqrstuvwxyz"), _set_of("0123456789"), _set_of(".,;:'\"()-"), _set_of("!?"), _set_of("|"), _set_of("#$%&*+<=>@[\\]^_`{}~/"), _set_of("\n"), np.arange(256) >= 128]
 )
-FEATURES = len(_KINDS) + 11
+COUNTS = len(_KINDS) + 11
+FEATURES = COUNTS + SHAPES + GRAMS
+WIDTH = 1 + FEATURES + HIDDEN
+
+_rng = np.random.default_rng(20240701)
+_KIND = np.where(_KINDS.any(0), _KINDS.argmax(0) + 1, 0)
+_SHAPE = _rng.integers(0, SHAPES, 1000)
+_PAIR = _rng.integers(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
+_TURN, _SHIFT = _rng.normal(0, 1 / np.sqrt(COUNTS), (COUNTS, HIDDEN)), _rng.normal(0, 0.5, HIDDEN)
+_IS_WHITE = _set_of(WHITE) > 0
+
+
+def hashed(data: np.ndarray) -> np.ndarray:
+    """Shares of hashed runs of three byte kinds, and signed counts of hashed words and word pairs."""
+    out = np.zeros(SHAPES + GRAMS)
+    kinds = _KIND[data]
+    if len(kinds) > 2:
+        runs = _SHAPE[kinds[:-2] * 100 + kinds[1:-1] * 10 + kinds[2:]]
+        out[:SHAPES] = np.bincount(runs, minlength=SHAPES) / len(runs)
+    white = np.concatenate(([True], _IS_WHITE[data], [True]))
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    if len(edges):
+        words = Names(data).of(edges[::2], edges[1::2])
+        grams = np.concatenate((words, _mix(words[:-1] * _PAIR[0] + words[1:] * _PAIR[1])))
+        sign = np.where(grams >> np.uint64(63), 1.0, -1.0)
+        out[SHAPES:] = np.bincount((grams >> np.uint64(40)).astype(np.int64) % GRAMS, sign, GRAMS) / np.sqrt(len(grams))
+    return out
 
 
 def features(text: str) -> list[float]:
@@ -73,13 +110,15 @@ def features(text: str) -> list[float]:
         sum(map(str.isalpha, words)) / n,
         1 - len(set(lines)) / len(lines),
         len(words) / len(lines) / 100,
+        *hashed(data),
     ]
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [features(t or "") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.list_(pa.float32()))], ["doc_id", "features"])
+        made = np.array([features(t or "") for t in b.column("text").to_pylist()], np.float32).ravel()
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(made) + 1, FEATURES), pa.int32()), pa.array(made))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), rows], ["doc_id", "features"])
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
@@ -87,109 +126,194 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(_feature_rows, f"doc_id {kind}, features array<float>"), "features")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().astype(float).reshape(-1, FEATURES)
+
+
 @dataclass
-class Model:
-    """A network of one hidden layer over standardised features; score is its logistic output."""
+class Basis:
+    """phi: features standardised, hashed ones made small, and random mixtures of the counts."""
 
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    prior: float
 
-    def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        counts = z[:, :COUNTS]
+        return np.concatenate([np.ones((len(z), 1)), counts / 4, z[:, COUNTS:] * HASHED, np.tanh(counts @ _TURN + _SHIFT)], axis=1)
+
+
+@dataclass
+class Model:
+    basis: Basis
+    weights: np.ndarray
+    prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.tanh(self.standard(x) @ self.w1 + self.b1) @ self.w2 + self.b2[0]
+        """Rises with g; THRESHOLD at g = CUT."""
+        z = 4 * (self.basis(x) @ self.weights - CUT) + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _train(p: np.ndarray, u: np.ndarray, prior: float, non_negative: bool, seed: int = 7) -> list[np.ndarray]:
-    """Adam on the non-negative risk, or on plain logistic loss of positives against unlabelled."""
-    rng = np.random.default_rng(seed)
-    weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), np.zeros(1)]
-    m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    x, n_p = np.concatenate([p, u]), len(p)
-    for step in range(1, STEPS + 1):
-        h = np.tanh(x @ weights[0] + weights[1])
-        z = np.clip(h @ weights[2] + weights[3][0], -30, 30)
-        s = 1 / (1 + np.exp(-z))
-        d = np.empty(len(x))  # gradient of the risk by z
-        if non_negative:
-            loss_as_negative = np.logaddexp(0, z)
-            rest = loss_as_negative[n_p:].mean() - prior * loss_as_negative[:n_p].mean()
-            sign = 1.0 if rest >= 0 else -1.0
-            d[:n_p] = prior * ((s[:n_p] - 1) * (rest >= 0) - sign * s[:n_p]) / n_p
-            d[n_p:] = sign * s[n_p:] / len(u)
-        else:
-            d[:n_p], d[n_p:] = (s[:n_p] - 1) / n_p, s[n_p:] / len(u)
-        back = np.outer(d, weights[2]) * (1 - h * h)
-        grads = [x.T @ back, back.sum(0), h.T @ d, np.array([d.sum()])]
-        for k, g in enumerate(grads):
-            g = g + DECAY * weights[k] * (k % 2 == 0)
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            weights[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return weights
-
-
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> float:
-    """The smallest ratio of unlabelled to positive texts above a score, over scores with half of the positives or more.
-
-    Each half of either kind is scored by a classifier trained on the other half."""
-    rng = np.random.default_rng(seed)
-    halves = [rng.permutation(len(x)) % 2 for x in (positive, unlabelled)]
-    scores = [np.zeros(len(x)) for x in (positive, unlabelled)]
-    for k in (0, 1):
-        train_p, train_u = (x[h != k] for x, h in zip((positive, unlabelled), halves))
-        w1, b1, w2, _ = _train(train_p, train_u, 0.5, False)
-        for x, h, s in zip((positive, unlabelled), halves, scores):
-            s[h == k] = np.tanh(x[h == k] @ w1 + b1) @ w2
-    cuts = np.quantile(scores[0], np.linspace(0, 0.5, 51))
-    of_p, of_u = ((s[None, :] >= cuts[:, None]).mean(1) for s in scores)
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+def excess(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The second part of the risk before it is cut at 0, from the moment matrices (row 0: means)."""
+    one_sided = lambda m: (1 + 2 * weights @ m[0] + weights @ m @ weights) / 4
+    return float(one_sided(unlabelled) - prior * one_sided(positive))
+
+
+def least_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float) -> np.ndarray:
+    """Weights of least non-negative risk, from the moment matrices E[phi phi'] of positives and unlabelled rows."""
+    eye = ridge * np.eye(len(positive))
+
+    def at(share: float) -> np.ndarray:
+        """The least of the first part and `share` times the second."""
+        both = prior * positive * (1 - share) + share * unlabelled
+        return np.linalg.solve(both / 2 + eye, (prior * positive[0] * (1 + share) - share * unlabelled[0]) / 2)
+
+    low, high = 0.0, 1.0
+    if excess(at(1.0), positive, unlabelled, prior) >= 0:
+        return at(1.0)
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(at(middle), positive, unlabelled, prior) >= 0 else (low, middle)
+    return at(low)
+
+
+def told_apart(positive: np.ndarray, unlabelled: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of least squared loss of positives (1) against unlabelled rows (-1), both kinds weighing the same."""
+    return np.linalg.solve((positive + unlabelled) / 2 + ridge * np.eye(len(positive)), (positive[0] - unlabelled[0]) / 2)
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The smallest ratio of the unlabelled to the positive share above a score, over scores with half of the positives
+    or more; positive, unlabelled: counts by ascending bin of score."""
+    above = [np.cumsum(n[::-1])[::-1] / n.sum() for n in (positive, unlabelled)]
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(positive.sum()) + 1 / np.sqrt(unlabelled.sum()))
+    of_p, of_u = (a[above[0] >= 0.5] for a in above)
     best = np.argmin((of_u + slack) / of_p)
     return float(np.clip(of_u[best] / of_p[best], 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    standard = [np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled)]
-    prior = estimated_prior(*standard) if min(map(len, standard)) >= 4 else 0.5
-    return Model(mean, scale, *_train(*standard, prior, True), prior=prior)
+def _summed(rows: DataFrame, keys: list[str], n: int) -> dict[tuple, np.ndarray]:
+    """The sums of the lists (n numbers each) of rows (keys, task, list) by key, added in the order of tasks."""
 
+    def add(key, table):
+        order = np.argsort(table["task"].to_numpy(), kind="stable")
+        total = np.zeros(n)
+        for x in table["list"].combine_chunks().flatten().to_numpy().reshape(-1, n)[order]:
+            total += x
+        return pa.table({**{k: pa.array([v.as_py()], pa.int32()) for k, v in zip(keys, key)}, "list": [total.tolist()]})
+
+    schema = ", ".join(f"{k} int" for k in keys) + ", list array<double>"
+    return {tuple(r[k] for k in keys): np.array(r["list"]) for r in rows.groupBy(*keys).applyInArrow(add, schema).collect()}
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1]), pa.int32()), pa.array(matrix.ravel()))
 
-def _sampled(rows: DataFrame, sample: int) -> np.ndarray:
-    """About `sample` rows' features (all of fewer), by a hash of doc_id, in an order that reruns keep."""
-    share = min(1.0, sample / max(1, rows.count()))
-    h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(2**32))
-    found = rows.where(h < F.lit(int(share * 2**32))).select(h.alias("h"), "features").collect()
-    return np.array(sorted((r.h, *r.features) for r in found), float).reshape(len(found), FEATURES + 1)[:, 1:]
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def basis_of(table: DataFrame) -> Basis | None:
+    """The means and deviations of the features over all rows; None if there is no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, FEATURES))
+        for b in batches:
+            x = _matrix(b.column("features"))
+            sums += np.stack([np.full(FEATURES, len(x)), x.sum(0), (x * x).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([_task()] * 3, pa.int64()), _lists(sums)], ["part", "task", "list"])
+
+    found = _summed(table.mapInArrow(run, "part int, task long, list array<double>"), ["part"], FEATURES)
+    if not found or not found[0,][0]:
+        return None
+    n, one, two = (found[k,] for k in range(3))
+    return Basis(one / n, np.sqrt(np.maximum(two / n - (one / n) ** 2, 0)) + 1e-3)
+
+
+def _moments(table: DataFrame, basis: Basis) -> np.ndarray:
+    """Sums of phi phi' of (positives, all rows) by half: an array [2, 2, WIDTH, WIDTH]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, WIDTH, WIDTH))
+        for b in batches:
+            trusted, half = (b.column(c).to_numpy(zero_copy_only=False) for c in ("trusted", "half"))
+            phi = basis(_matrix(b.column("features")))
+            for h in (0, 1):
+                own = half == h
+                sums[0, h] += phi[own & trusted].T @ phi[own & trusted]
+                sums[1, h] += phi[own].T @ phi[own]
+        part, row = np.divmod(np.arange(4 * WIDTH, dtype=np.int32), WIDTH)
+        columns = [pa.array(part), pa.array(row), pa.array(np.full(len(row), _task())), _lists(sums.reshape(-1, WIDTH))]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "row", "task", "list"])
+
+    found = _summed(table.mapInArrow(run, "part int, row int, task long, list array<double>"), ["part", "row"], WIDTH)
+    out = np.zeros((4, WIDTH, WIDTH))
+    for (part, row), x in found.items():
+        out[part, row] = x
+    return out.reshape(2, 2, WIDTH, WIDTH)
+
+
+def _score_counts(table: DataFrame, basis: Basis, weights: list[np.ndarray]) -> np.ndarray:
+    """Counts of (positives, all rows) by bin of g, each half scored by its own weights: an array [2, BINS]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, BINS))
+        for b in batches:
+            trusted, half = (b.column(c).to_numpy(zero_copy_only=False) for c in ("trusted", "half"))
+            phi = basis(_matrix(b.column("features")))
+            g = np.where(half == 0, phi @ weights[0], phi @ weights[1])
+            bins = np.clip((g + REACH) / (2 * REACH) * BINS, 0, BINS - 1).astype(np.int64)
+            sums += np.stack([np.bincount(bins[trusted], minlength=BINS), np.bincount(bins, minlength=BINS)])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([_task()] * 2, pa.int64()), _lists(sums)], ["part", "task", "list"])
+
+    found = _summed(table.mapInArrow(run, "part int, task long, list array<double>"), ["part"], BINS)
+    return np.stack([found[0,], found[1,]])
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(table: DataFrame) -> Model | None:
+    """The model of a table (features, trusted, half); None without positives."""
+    basis = basis_of(table)
+    if basis is None:
+        return None
+    sums = _moments(table, basis)
+    n_positive, n_all = sums[:, :, 0, 0].sum(1)
+    if not n_positive:
+        return None
+    ridge = RIDGE / np.sqrt(n_positive)
+    mean = lambda m: m / max(1.0, m[0, 0])
+    prior = 0.5
+    if sums[:, :, 0, 0].min() >= 2:
+        weights = [told_apart(mean(sums[0, 1 - h]), mean(sums[1, 1 - h]), ridge) for h in (0, 1)]
+        prior = prior_of(*_score_counts(table, basis, weights))
+    return Model(basis, least_risk(mean(sums[0].sum(0)), mean(sums[1].sum(0)), prior, ridge), prior)
+
+
+def train(table: DataFrame, labels: DataFrame) -> Model | None:
     """The model for a feature table; labels of held-out rows are not read."""
-    trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id").distinct()
-    positive = _sampled(table.join(trusted, "doc_id", "left_semi"), sample)
-    unlabelled = _sampled(table, sample)
-    return fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
+    trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id", F.lit(True).alias("trusted")).distinct()
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    with cleaned_shuffles(table.sparkSession):
+        return fit(table.join(trusted, "doc_id", "left").select("features", F.coalesce("trusted", F.lit(False)).alias("trusted"), half))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
     table = feature_table(docs)
-    model = train(table, labels, sample)
+    model = train(table, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("features").values.to_numpy().astype(float).reshape(-1, FEATURES)
-            score = model.score(x) if model else np.full(len(x), 0.5)
+            x = _matrix(b.column("features"))
+            score = model.score(x) if model else np.full(len(x), THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -197,15 +321,14 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier accepts, unchanged."""
-    model = train(feature_table(docs), labels, sample)
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that `scored` predicts as good, unchanged."""
+    model = train(feature_table(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t or "") for t in b.column("text").to_pylist()], np.float32).astype(float).reshape(-1, FEATURES)
-            score = model.score(x) if model else np.ones(len(x))
-            yield b.filter(pa.array(score >= THRESHOLD))
+            yield b.filter(pa.array(model.score(x) >= THRESHOLD)) if model else b
 
     return docs.mapInArrow(run, docs.schema)
 
