@@ -56,6 +56,17 @@ def test_frames_of_files_scan_and_codec(spark):
     assert sorted(r.offset for r in touched.collect()) == [50, 100]
 
 
+def test_a_frame_longer_than_windows_is_validated_whole(spark):
+    body = bytes(range(256)) * 400
+    data = b"x" * 90 + frame(payload=body) + frame()[:-1] + frame(payload=body[:300])
+    for chunk, overlap in ((64, 24), (100, 24), (5000, 64)):
+        df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:5000]))], "evidence_id int, content binary")
+        chunks = df.select("evidence_id", F.explode(carving.windows(F.col("content"), chunk, overlap)).alias("w")).select("evidence_id", "w.offset", "w.bytes")
+        got = sorted((r.evidence_id, r.offset, r.length) for r in carving.scan(chunks, formats.SIGNATURES, chunk).collect())
+        whole = len(frame(payload=body))
+        assert got == [(1, 90, whole), (1, 90 + whole + len(frame()) - 1, len(frame(payload=body[:300])))]
+
+
 def test_occurrences_overlap(spark):
     df = spark.createDataFrame([(bytearray(b"aaaa"),), (bytearray(b"a"),)], "b binary")
     assert [r[0] for r in df.select(carving.occurrences(F.col("b"), b"aa")).collect()] == [[0, 1, 2], []]
@@ -178,7 +189,11 @@ def test_motion_of_a_moving_box(spark):
     assert same(fast)[3] == (3, 30, 3, 5, 9, 10)
     segments = motion.motion_segments(motion.motion_frames(fast, width * height, 10))
     assert [(r.first_frame, r.last_frame, r.motion_frames) for r in segments.collect()] == [(3, 7, 5)]
-    assert motion.annotations(segments).first().label.startswith("motion in 5 frames")
+    shown = motion.annotations(motion.motion_frames(fast, width * height, 10)).orderBy("frame_no").collect()
+    assert [(r.frame_no, r.bbox, r.score, r.note) for r in shown][:2] == [(3, [3, 5, 6, 5], 0.2604, "changed_pixels=30"), (4, [3, 5, 7, 5], 0.0868, "changed_pixels=10")] and len(shown) == 5
+    left = (-4, 6, 8, 100)
+    assert same(motion.frame_differences(df, region=left)) == same(motion.differences(flat, region=left))
+    assert same(motion.frame_differences(df, region=left))[3] == (3, 4, 3, 6, 4, 10)
 
 
 def test_split_images_are_one_space(spark, tmp_path):

@@ -57,7 +57,9 @@ def _neighbours(segments: DataFrame, *order: str) -> DataFrame:
 
 
 def duplicate_windows(segments: DataFrame) -> DataFrame:
-    """Neighbours on one channel that overlap in time with different bytes."""
+    """Neighbours on one channel that overlap in time with different bytes. Recordings that end before they start have no
+    interval and are nobody's neighbours here."""
+    segments = segments.where("start_us <= end_us")
     same = (F.col("extent_key") != "") & (F.col("extent_key") == F.col("n.extent_key"))
     rows = _neighbours(segments, "start_us", "end_us", "recording_id").where((F.col("n.start_us") < F.col("end_us")) & ~F.coalesce(same, F.lit(False)))
     seconds = (F.least("end_us", "n.end_us") - F.col("n.start_us")) / 1e6
@@ -70,27 +72,26 @@ def backwards_sequence(segments: DataFrame) -> DataFrame:
     return _found(rows, "backwards_sequence", F.col("channel"), F.array("recording_id", "n.recording_id"), (F.col("start_us") - F.col("n.start_us")) / 1e6, F.lit(2))
 
 
-def _many(rows: DataFrame, kind: str, seconds) -> DataFrame:
-    """One finding an evidence: the first SHOWN recordings by start and id, how many there are, the largest difference.
-
-    Recordings are numbered before they are gathered, so a list is never longer than SHOWN."""
-    order = Window.partitionBy("evidence_id").orderBy("start_us", "recording_id")
-    rows = rows.withColumns({"__rank": F.row_number().over(order), "__seconds": seconds})
-    shown = F.collect_list(F.when(F.col("__rank") <= SHOWN, F.struct("__rank", "recording_id")))
-    grouped = rows.groupBy("evidence_id").agg(F.array_sort(shown).alias("s"), F.count(F.lit(1)).alias("c"), F.max("__seconds").alias("m"))
-    return _found(grouped, kind, F.lit(None).cast("int"), F.col("s.recording_id"), F.col("m"), F.col("c"))
+def _many(rows: DataFrame, kind: str, seconds, *order: str) -> DataFrame:
+    """One finding an evidence: its first SHOWN recordings in the order given (then by id), their number, the largest
+    difference. Only SHOWN rows of an evidence leave each task for the list; the rest is partial sums."""
+    by = Window.partitionBy("evidence_id").orderBy(*order, "recording_id")
+    first = rows.withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= SHOWN)
+    first = first.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("__rank", "recording_id"))).alias("s"))
+    sums = rows.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("c"), F.max(seconds).alias("m"))
+    return _found(sums.join(first, "evidence_id"), kind, F.lit(None).cast("int"), F.col("s.recording_id"), F.col("m"), F.col("c"))
 
 
 def before_volume_format(segments: DataFrame, volumes: DataFrame) -> DataFrame:
     """Recordings dated before their volume was formatted. volumes: evidence_id, formatted_us, acquired_us."""
     rows = segments.join(volumes, "evidence_id").where(F.col("start_us") < F.col("formatted_us"))
-    return _many(rows, "before_volume_format", (F.col("formatted_us") - F.col("start_us")) / 1e6)
+    return _many(rows, "before_volume_format", (F.col("formatted_us") - F.col("start_us")) / 1e6, "start_us")
 
 
 def future_dated(segments: DataFrame, volumes: DataFrame) -> DataFrame:
     """Recordings dated after the evidence was acquired."""
     rows = segments.join(volumes, "evidence_id").where(F.col("start_us") > F.col("acquired_us"))
-    return _many(rows, "future_dated", (F.col("start_us") - F.col("acquired_us")) / 1e6)
+    return _many(rows, "future_dated", (F.col("start_us") - F.col("acquired_us")) / 1e6, "start_us")
 
 
 def zero_length(segments: DataFrame) -> DataFrame:
@@ -102,10 +103,9 @@ def ends_before_start(segments: DataFrame) -> DataFrame:
 
 
 def detect(segments: DataFrame, volumes: DataFrame) -> DataFrame:
-    """All six, in a total order: kind, channel (missing last), recordings."""
+    """All six. (evidence_id, kind, channel, recording_ids) orders them, where an order is wanted."""
     found = [duplicate_windows(segments), backwards_sequence(segments), before_volume_format(segments, volumes), future_dated(segments, volumes), zero_length(segments), ends_before_start(segments)]
-    every = reduce(DataFrame.unionByName, found)
-    return every.orderBy("evidence_id", "kind", F.col("channel").asc_nulls_last(), "recording_ids")
+    return reduce(DataFrame.unionByName, found)
 
 
 def with_causes(found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,32 +32,77 @@ def occurrences(content: Column, pattern: bytes | str) -> Column:
     return F.when(F.octet_length(content) >= size, F.filter(places, hit)).otherwise(F.array().cast("array<int>"))
 
 
-Validator = Callable[[bytes, int], int | None]
+class Signature(NamedTuple):
+    """A pattern; validate(data, at) -> the length of what starts there, or None; reach(data, at) -> the bytes from there
+    on that validate needs to see (the header, at least, lies in a window's overlap)."""
 
+    pattern: bytes
+    validate: Callable[[bytes, int], int | None] | None = None
+    reach: Callable[[bytes, int], int] | None = None
 
-def scan(chunks: DataFrame, signatures: dict[str, tuple[bytes, Validator | None]], chunk: int = CHUNK) -> DataFrame:
+
+_HITS = ["evidence_id", "offset", "length", "signature"]
+
+
+def _hit_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], _HITS)
+
+
+def slices(chunks: DataFrame, places: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """places (evidence_id, offset, size, ...) with bytes: what the windows hold from offset on, size bytes or up to the
+    image's end. Each place meets the windows that it touches, takes its part of each, and only the parts travel."""
+    cells = F.explode(F.sequence(F.floor(F.col("offset") / chunk), F.floor((F.col("offset") + F.greatest("size", F.lit(1)) - 1) / chunk)))
+    asked = places.withColumns({"__at": F.col("offset"), "__cell": cells})
+    own = chunks.select("evidence_id", F.floor(F.col("offset") / chunk).alias("__cell"), F.col("offset").alias("__base"), "bytes")
+    met = asked.join(own, ["evidence_id", "__cell"])
+    low = F.greatest(F.col("__at") - F.col("__base"), F.lit(0))
+    high = F.least(F.col("__at") + F.col("size") - F.col("__base"), F.lit(chunk))
+    part = F.substring(F.col("bytes"), (low + 1).cast("int"), (high - low).cast("int"))
+    grouped = met.select(*places.columns, "__cell", part.alias("__part")).groupBy(*places.columns)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("__cell", "__part"))), lambda x: x["__part"])
+    return grouped.agg(F.aggregate(parts, F.unhex(F.lit("")), lambda whole, x: F.concat(whole, x)).alias("bytes"))
+
+
+def scan(chunks: DataFrame, signatures: dict[str, Signature | tuple], chunk: int = CHUNK) -> DataFrame:
     """evidence_id, offset, length, signature: validated hits, one an offset (the shortest, then by name).
 
-    chunks: evidence_id, offset, bytes (a window with overlap). A validator takes the window and a place in it and gives
-    the length of what starts there, or None. Hits in a window's overlap belong to the next window, which has them too."""
+    chunks: evidence_id, offset, bytes (a window with overlap). Hits in a window's overlap belong to the next window,
+    which has them too. A hit whose signature reaches beyond its window is read again, from all the windows that it
+    touches, and validated there. A length of 0 or less is no hit."""
+    known = {name: Signature(*s) for name, s in signatures.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            rows: list[tuple] = []
             for evidence, base, data in zip(b.column("evidence_id").to_pylist(), b.column("offset").to_pylist(), b.column("bytes").to_pylist()):
-                for name, (pattern, validate) in signatures.items():
+                for name, (pattern, validate, reach) in known.items():
                     at = data.find(pattern)
                     while 0 <= at < chunk:
-                        length = validate(data, at) if validate else len(pattern)
-                        if length is not None:
-                            for column, value in zip(out, (evidence, base + at, length, name)):
-                                column.append(value)
+                        needs = reach(data, at) if reach else 0
+                        if at + needs > len(data):
+                            rows.append((evidence, base + at, -needs, name))
+                        else:
+                            length = validate(data, at) if validate else len(pattern)
+                            if length and length > 0:
+                                rows.append((evidence, base + at, length, name))
                         at = data.find(pattern, at + 1)
-            kind = b.schema.field("evidence_id").type
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["evidence_id", "offset", "length", "signature"])
+            yield _hit_batch(rows, b.schema.field("evidence_id").type)
 
-    kind = chunks.schema["evidence_id"].dataType.simpleString()
-    hits = chunks.select("evidence_id", "offset", "bytes").mapInArrow(find, f"evidence_id {kind}, offset long, length long, signature string")
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for evidence, offset, name, data in zip(*(b.column(c).to_pylist() for c in ("evidence_id", "offset", "signature", "bytes"))):
+                length = known[name].validate(data, 0)
+                if length and length > 0:
+                    rows.append((evidence, offset, length, name))
+            yield _hit_batch(rows, b.schema.field("evidence_id").type)
+
+    schema = f"evidence_id {chunks.schema['evidence_id'].dataType.simpleString()}, offset long, length long, signature string"
+    hits = chunks.select("evidence_id", "offset", "bytes").mapInArrow(find, schema)
+    if any(s.reach for s in known.values()):
+        far = slices(chunks, hits.where("length < 0").select("evidence_id", "offset", "signature", (-F.col("length")).alias("size")), chunk)
+        hits = hits.where("length > 0").unionByName(far.mapInArrow(again, schema))
     return one_hit_an_offset(hits)
 
 

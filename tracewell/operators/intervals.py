@@ -197,7 +197,9 @@ def merge_tiers(recordings: DataFrame) -> DataFrame:
     different islands of their spans cannot overlap, so each island is filled on its own."""
     low = F.array_min(F.transform("extents", lambda e: e.offset))
     high = F.array_max(F.transform("extents", lambda e: e.offset + e.length))
-    rows = recordings.withColumns({"low": low, "high": high, "tier_rank": F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))})
+    known = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    rank = F.when(known > 0, known).otherwise(len(TIERS) + 1)  # unknown tiers and none come last
+    rows = recordings.withColumns({"low": low, "high": high, "tier_rank": rank})
     rows = rows.withColumn("neg_span", F.col("low") - F.col("high"))
     order = Window.partitionBy("evidence_id").orderBy("low", "high")
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -222,5 +224,5 @@ def fresh_recordings(kept: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def extents_of(recordings: DataFrame) -> DataFrame:
-    """Every extent of the recordings in order: the input of a coverage map."""
-    return recordings.select("evidence_id", F.explode("extents").alias("e")).select("evidence_id", "e.offset", "e.length").orderBy("evidence_id", "offset", "length")
+    """Every extent of the recordings: the input of a coverage map."""
+    return recordings.select("evidence_id", F.explode("extents").alias("e")).select("evidence_id", "e.offset", "e.length")

@@ -13,21 +13,27 @@ SENSITIVITY, MIN_AREA, MIN_EVENT_FRAMES, MAX_GAP_FRAMES = 25, 400, 2, 5
 FULL_SCORE_SHARE = 0.15
 
 
-def clip_roi(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """A region of interest cut to the frame, as a struct of x0, y0, x1, y1."""
-    x0, y0 = F.greatest(x, F.lit(0)), F.greatest(y, F.lit(0))
-    return F.struct(x0.alias("x0"), y0.alias("y0"), F.least(x + w, width).alias("x1"), F.least(y + h, height).alias("y1"))
+Region = tuple[int, int, int, int]
 
 
-def differences(frames: DataFrame, sensitivity: int = SENSITIVITY) -> DataFrame:
-    """recording_id, frame_no, changed, x0, y0, x1, y1: pixels that changed by `sensitivity` or more since the frame
-    before, and their tight box (null where none did).
+def inside(region: Region | None, x: Column, y: Column) -> Column:
+    """Whether a pixel lies in a region of interest (x, y, width, height), which may reach beyond the frame."""
+    if region is None:
+        return F.lit(True)
+    left, top, width, height = region
+    return (x >= left) & (x < left + width) & (y >= top) & (y < top + height)
+
+
+def differences(frames: DataFrame, sensitivity: int = SENSITIVITY, region: Region | None = None) -> DataFrame:
+    """recording_id, frame_no, changed, x0, y0, x1, y1: pixels (of the region) that changed by `sensitivity` or more since
+    the frame before, and their tight box (null where none did).
 
     frames: recording_id, frame_no, width, pixels (array of int). For thumbnails; encoded frames go through
     frame_differences."""
     order = Window.partitionBy("recording_id").orderBy("frame_no")
     rows = frames.withColumn("before", F.lag("pixels").over(order))
     moved = F.filter(F.transform(F.arrays_zip("pixels", "before"), lambda p, i: F.when(F.abs(p["pixels"] - p["before"]) >= sensitivity, i)), lambda i: i.isNotNull())
+    moved = F.filter(moved, lambda i: inside(region, i % F.col("width"), F.floor(i / F.col("width"))))
     rows = rows.withColumn("moved", F.when(F.col("before").isNotNull(), moved).otherwise(F.array().cast("array<int>")))
     x = F.transform("moved", lambda i: i % F.col("width"))
     y = F.transform("moved", lambda i: F.floor(i / F.col("width")).cast("int"))
@@ -37,7 +43,7 @@ def differences(frames: DataFrame, sensitivity: int = SENSITIVITY) -> DataFrame:
     )
 
 
-def frame_differences(frames: DataFrame, sensitivity: int = SENSITIVITY) -> DataFrame:
+def frame_differences(frames: DataFrame, sensitivity: int = SENSITIVITY, region: Region | None = None) -> DataFrame:
     """The same for frames of bytes: recording_id, frame_no, width, height, gray (width * height bytes).
 
     The frame before comes by window; the pixels are compared by numpy in batches."""
@@ -53,7 +59,13 @@ def frame_differences(frames: DataFrame, sensitivity: int = SENSITIVITY) -> Data
                 box = (0, None, None, None, None)
                 if before is not None and len(before) == len(now):
                     moved = np.abs(np.frombuffer(now, np.uint8).astype(np.int16) - np.frombuffer(before, np.uint8)) >= sensitivity
-                    ys, xs = np.nonzero(moved.reshape(height, width))
+                    moved = moved.reshape(height, width)
+                    if region is not None:
+                        left, top, across, down = region
+                        seen = np.zeros_like(moved)
+                        seen[max(0, top) : max(0, top + down), max(0, left) : max(0, left + across)] = True
+                        moved &= seen
+                    ys, xs = np.nonzero(moved)
                     if len(xs):
                         box = (len(xs), int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1)
                 out.append((recording, number, *box))
@@ -67,10 +79,12 @@ def frame_differences(frames: DataFrame, sensitivity: int = SENSITIVITY) -> Data
 
 
 def motion_frames(changes: DataFrame, area: int, min_area: int = MIN_AREA) -> DataFrame:
-    """Adds motion (min_area pixels or more changed) and score (the changed share of the area, full at 0.15 of it)."""
+    """Adds motion (min_area pixels or more changed) and score (the changed share of the area, full at 0.15 of it, to four
+    digits); a frame without motion has no box."""
     motion = (F.col("changed") >= min_area) & (F.col("changed") > 0)
-    score = F.when(motion, F.least(F.lit(1.0), F.col("changed") / (FULL_SCORE_SHARE * area))).otherwise(0.0)
-    return changes.withColumns({"motion": motion, "score": score})
+    score = F.when(motion, F.round(F.least(F.lit(1.0), F.col("changed") / (FULL_SCORE_SHARE * area)), 4)).otherwise(0.0)
+    box = {c: F.when(motion, F.col(c)) for c in ("x0", "y0", "x1", "y1")}
+    return changes.withColumns({"motion": motion, "score": score, **box})
 
 
 def motion_segments(frames: DataFrame, min_event_frames: int = MIN_EVENT_FRAMES, max_gap_frames: int = MAX_GAP_FRAMES) -> DataFrame:
@@ -86,11 +100,14 @@ def motion_segments(frames: DataFrame, min_event_frames: int = MIN_EVENT_FRAMES,
     return made.where(F.col("motion_frames") >= min_event_frames).drop("session")
 
 
-def annotations(segments: DataFrame) -> DataFrame:
-    """Sessions as annotation rows, with the words that they prove nothing by themselves."""
-    label = F.format_string("motion in %d frames, peak score %.2f", "motion_frames", "peak")
-    note = F.lit("an automatic aid to review; absence of motion here is not evidence of absence")
-    return segments.select("recording_id", F.lit("motion").alias("source"), "first_frame", "last_frame", label.alias("label"), F.col("peak").alias("score"), note.alias("disclaimer"))
+def annotations(frames: DataFrame) -> DataFrame:
+    """A row for each frame with motion (see motion_frames): its box as [x, y, width, height], score and changed pixels,
+    with the words that it proves nothing by itself."""
+    box = F.array("x0", "y0", F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    note = F.concat(F.lit("changed_pixels="), F.col("changed").cast("string"))
+    warning = F.lit("an automatic aid to review; absence of motion here is not evidence of absence")
+    shown = frames.where("motion")
+    return shown.select("recording_id", "frame_no", F.lit("motion").alias("label"), box.alias("bbox"), "score", note.alias("note"), warning.alias("disclaimer"))
 
 
 def licensed_models(specs: DataFrame, allowed: list[str], files: DataFrame) -> DataFrame:

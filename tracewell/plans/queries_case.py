@@ -24,8 +24,8 @@ def query(sql: str | None = None):
 
 
 # --- chains -----------------------------------------------------------------------------
-#: Events of users under 40 as chains: content is the event's type and value.
-_CHAIN_SQL = """ev as (select user_id, event_id, event_type || ':' || event_id as content, row_number() over (partition by user_id order by event_id) as i from events where user_id < 40 qualify i <= 60),
+#: Events of each user as a chain: content is the event's type and number.
+_CHAIN_SQL = """ev as (select user_id, event_id, event_type || ':' || event_id as content, row_number() over (partition by user_id order by event_id) as i from events),
 chain as (
   with recursive c(user_id, i, event_id, content, prev, digest) as (
     select user_id, i, event_id, content, repeat('0', 64), sha256(repeat('0', 64) || content) from ev where i = 1
@@ -52,15 +52,21 @@ def _records(spark, sf):
     return rows
 
 
-@query(f"""with {_CHAIN_SQL}, n as (select user_id, max(i) as n from chain group by user_id)
-select user_id as case_id, not (user_id % 4 = 1 and n >= 7) and not (user_id % 4 = 2 and n > 11) as ok,
-       case when user_id % 4 = 1 and n >= 7 then 6 when user_id % 4 = 2 and n > 11 then 10 else n - case when user_id % 4 = 2 and n = 11 then 1 else 0 end end::bigint as records_checked,
-       case when user_id % 4 = 1 and n >= 7 then 6 when user_id % 4 = 2 and n > 11 then 11 end::bigint as broken_at from n""")
+@query(f"""with {_CHAIN_SQL}, n as (select user_id, max(i) as n from chain group by user_id),
+v as (select user_id, n, case when user_id % 4 = 1 and n >= 7 then 6 when user_id % 4 = 2 and n > 11 then 10 else n - case when user_id % 4 = 2 and n = 11 then 1 else 0 end end::bigint as checked,
+  case when user_id % 4 = 1 and n >= 7 then 6 when user_id % 4 = 2 and n > 11 then 11 end::bigint as broken_at from n),
+row as (select user_id, i, i - 1 as seq, printf('%06d', event_id - case when i = 5 then 3000 else 0 end) as ts, i = 3 and user_id % 8 = 0 as odd from chain where not (user_id % 4 = 2 and i = 11)),
+w as (select r.user_id, string_agg(x, '; ' order by x) as warnings from (
+    select user_id, seq, unnest([case when odd then 'record ' || seq || ': unexpected result' end, case when ts < lag(ts) over (partition by user_id order by seq) then 'record ' || seq || ': earlier than the record before it' end]) as x from row) r
+  join v using (user_id) where x is not null and r.seq < v.checked group by r.user_id)
+select v.user_id as case_id, broken_at is null as ok, checked as records_checked, broken_at,
+  case when v.user_id % 4 = 1 and n >= 7 then 'record 6: the digest does not match the content' when v.user_id % 4 = 2 and n > 11 then 'sequence break: expected 10, found 11' end as reason,
+  coalesce(warnings, '') as warnings from v left join w using (user_id)""")
 def audit_verify(spark, sf):
-    return integrity.verify_chain(_records(spark, sf)).select("case_id", "ok", "records_checked", "broken_at")
+    return integrity.verify_chain(_records(spark, sf)).withColumn("warnings", F.array_join("warnings", "; "))
 
 
-@query("""select (event_id % 50)::varchar as target, arg_max(event_type, event_id) as params from events where event_type != 'view' and user_id % 3 = 0 group by 1""")
+@query("""select (event_id % 50)::varchar as target, arg_max(event_type, event_id) as params from events where event_type != 'view' group by 1""")
 def latest_params(spark, sf):
     rows = table(spark, sf, "events").where("event_type != 'view'").selectExpr("1 as case_id", "'x' as action", "cast(event_id % 50 as string) as target", "event_type as params", "event_id as seq")
     return integrity.latest(rows, "x").select("target", "params")
@@ -141,9 +147,9 @@ def _case(spark, sf):
 _CASE_SQL = f"""{SEGMENTS_SQL}, item as (select distinct c_custkey % 50 as evidence_id from customer),
 evid as (select evidence_id, substr('ABCDE', (evidence_id % 5 + 1)::int, 1) as cls from item),
 ident as (select evidence_id, case evidence_id % 4 when 0 then 'unknown' when 1 then 'identified' when 2 then 'ambiguous' else 'identified' end as status, case when evidence_id % 4 in (1, 3) or evidence_id % 8 = 2 then 'f' end as family, evidence_id % 4 = 1 as parses from item where evidence_id % 6 != 5),
-rec as (select evidence_id, recording_id, channel, 'T' || (1 + recording_id % 4) as tier, case when recording_id % 13 != 0 then s end as ls, e as le, case when evidence_id % 2 = 0 then 'none' when recording_id % 2 = 0 then 'A_ntp' end as m, case when evidence_id % 2 = 1 and recording_id % 2 = 0 then s end as rs from seg where evidence_id < 45),
-cov as (select l_suppkey as evidence_id, case when l_returnflag = 'R' then case when l_suppkey % 3 = 0 then 'unaccounted' else 'unreadable' end else 'x' end as bucket, floor(l_quantity)::bigint * 10 as length from lineitem where l_suppkey < 40),
-cust as (select conv_id % 60 as evidence_id, turn as seq, role as holder, case when turn % 3 = 0 then role else 'assistant' end as giver, case when turn % 4 = 1 then 0 when turn % 4 = 2 then null else 1 end as seal from conversations where conv_id < 60),
+rec as (select evidence_id, recording_id, channel, 'T' || (1 + recording_id % 4) as tier, case when recording_id % 13 != 0 then s end as ls, e as le, case when evidence_id % 2 = 0 then 'none' when recording_id % 2 = 0 then 'A_ntp' end as m, case when evidence_id % 2 = 1 and recording_id % 2 = 0 then s end as rs from seg),
+cov as (select l_suppkey % 40 as evidence_id, case when l_returnflag = 'R' then case when l_suppkey % 40 % 3 = 0 then 'unaccounted' else 'unreadable' end else 'x' end as bucket, floor(l_quantity)::bigint * 10 as length from lineitem),
+cust as (select conv_id % 45 as evidence_id, conv_id * 3000000 + turn as seq, role as holder, case when turn % 3 = 0 then role else 'assistant' end as giver, case when turn % 4 = 1 then 0 when turn % 4 = 2 then null else 1 end as seal from conversations),
 att as (select case when n_nationkey = 7 then null else n_nationkey end as evidence_id, case n_nationkey % 3 when 0 then 'panchnama' when 1 then 'authorisation' else 'seizure_video' end as kind from nation),
 brk as (select * from (select *, lag(holder) over (partition by evidence_id order by seq) as expected from cust) where expected != giver),
 want as (select evidence_id, unnest(case when cls in ('A', 'B') then ['panchnama', 'seizure_video', 'authorisation'] when cls = 'C' then ['panchnama', 'authorisation'] when cls = 'D' then ['authorisation'] else [] end) as kind from evid),
@@ -212,9 +218,9 @@ def case_progress(spark, sf):
     return findings.case_progress(evidence, identification, recording, identification, custody.where("false"), custody, coverage)
 
 
-@query(f"""with {_CASE_SQL} select evidence_id, coalesce(sum(case when tier = 'T1' and le > ls then le - ls end), 0)::double / 60000000 as t1_minutes, coalesce(sum(case when tier != 'T1' and le > ls then le - ls end), 0)::double / 60000000 as recovered_minutes from rec group by 1""")
+@query(f"""with {_CASE_SQL} select evidence_id, coalesce(sum(case when tier = 'T1' and le > ls then le - ls end), 0)::double / 60000000 as t1_minutes, coalesce(sum(case when tier != 'T1' and le > ls then le - ls end), 0)::double / 60000000 as recovered_minutes, case when t1_minutes > 0 then round(100 * recovered_minutes / t1_minutes, 1) end as gain_pct from rec group by 1""")
 def recovery_gain(spark, sf):
-    return findings.recovery_gain(_case(spark, sf)[2]).select("evidence_id", "t1_minutes", "recovered_minutes")
+    return findings.recovery_gain(_case(spark, sf)[2])
 
 
 @query(f"""with {_CASE_SQL}, anom as (select 1), b as (select evidence_id, string_agg('{{"expected":"' || expected || ' ","found":"' || case when seq % 3 = 0 then upper(giver) else giver end || '","seq":' || seq || '}}', ',' order by seq) as x from brk group by 1),
@@ -228,7 +234,7 @@ def findings_document(spark, sf):
     return made.select("evidence_id", F.char_length("document").cast("long").alias("size"))
 
 
-@query(f"""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso, case when o_orderkey < 1024 then o_orderkey || ' B' else printf('%.1f KiB', o_orderkey / 1024.0::double) end as size from orders where o_orderkey < 1000000""")
+@query(f"""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso, case when o_orderkey < 1024 then o_orderkey || ' B' when o_orderkey < 1048576 then printf('%.1f KiB', o_orderkey / 1024.0::double) else printf('%.1f MiB', o_orderkey / 1048576.0::double) end as size from orders""")
 def formatted(spark, sf):
     rows = table(spark, sf, "orders")
     return rows.select("o_orderkey", scalars.iso_local(F.col("o_orderdate")).alias("iso"), scalars.human_bytes(F.col("o_orderkey")).alias("size"))

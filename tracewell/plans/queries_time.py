@@ -39,10 +39,7 @@ def covered_gaps(spark, sf):
     return timeline.covered_gaps(t.segments(spark, sf).where("end_us >= start_us"), ["evidence_id"])
 
 
-_FEW = "recording_id % 40 = evidence_id % 40"
-
-
-@query(f"""with {SEGMENTS_SQL}, few as (select * from seg where e >= s and {_FEW}),
+@query(f"""with {SEGMENTS_SQL}, few as (select * from seg where e >= s),
 span as (select evidence_id, count(*) as n, max(a) as lo, min(z) as hi, max(u) as u from (select evidence_id, channel, min(s) as a, max(e) as z, max(u) as u from few group by all) group by evidence_id having count(*) >= 2 and min(z) > max(a)),
 stop as (select evidence_id, s as b from few union select evidence_id, hi from span),
 gap as (select span.evidence_id, u, greatest(lo, coalesce((select max(e) from few f where f.evidence_id = span.evidence_id and f.s < b), lo)) as x, least(b, hi) as y
@@ -68,15 +65,15 @@ def _flat(df):
 
 
 _PAIR = "a.evidence_id, '{kind}' as kind, a.channel, a.recording_id || ',' || b.recording_id as recording_ids, {seconds} / 1000000.0::double as seconds, 2::bigint as count"
-_DUPLICATE = f"select {_PAIR.format(kind='duplicate_window', seconds='(least(a.e, b.e) - b.s)::double')} from n a join n b on a.evidence_id = b.evidence_id and a.channel is not distinct from b.channel and b.i = a.i + 1 where b.s < a.e and not (a.x = b.x and a.x != '')"
+_DUPLICATE = f"select {_PAIR.format(kind='duplicate_window', seconds='(least(a.e, b.e) - b.s)::double')} from d a join d b on a.evidence_id = b.evidence_id and a.channel is not distinct from b.channel and b.i = a.i + 1 where b.s < a.e and not (a.x = b.x and a.x != '')"
 _BACKWARDS = f"select {_PAIR.format(kind='backwards_sequence', seconds='(a.s - b.s)::double')} from k a join k b on a.evidence_id = b.evidence_id and a.channel is not distinct from b.channel and b.i = a.i + 1 where b.s < a.s"
-_MANY = """select evidence_id, '{kind}' as kind, null::int as channel, string_agg(recording_id, ',' order by s, recording_id) filter (where i <= 20) as recording_ids, max({seconds})::double as seconds, count(*) as count
-from (select *, row_number() over (partition by evidence_id order by s, recording_id) as i from seg {join} where {where}) group by evidence_id"""
-_BEFORE = _MANY.format(kind="before_volume_format", seconds="(f - s)::double / 1000000", join="join vol using (evidence_id)", where="s < f")
-_FUTURE = _MANY.format(kind="future_dated", seconds="(s - a)::double / 1000000", join="join vol using (evidence_id)", where="s > a")
-_ZERO = _MANY.format(kind="zero_length", seconds="0.0", join="", where="s = e")
-_ENDS = _MANY.format(kind="ends_before_start", seconds="(s - e)::double / 1000000", join="", where="e < s")
-_ORDERED = f"{_RANKED}, k as (select *, row_number() over (partition by evidence_id, channel order by p, recording_id) as i from seg), {VOLUMES_SQL} "
+_MANY = """select evidence_id, '{kind}' as kind, null::int as channel, string_agg(recording_id, ',' order by {order}recording_id) filter (where i <= 20) as recording_ids, max({seconds})::double as seconds, count(*) as count
+from (select *, row_number() over (partition by evidence_id order by {order}recording_id) as i from seg {join} where {where}) group by evidence_id"""
+_BEFORE = _MANY.format(kind="before_volume_format", order="s, ", seconds="(f - s)::double / 1000000", join="join vol using (evidence_id)", where="s < f")
+_FUTURE = _MANY.format(kind="future_dated", order="s, ", seconds="(s - a)::double / 1000000", join="join vol using (evidence_id)", where="s > a")
+_ZERO = _MANY.format(kind="zero_length", order="", seconds="0.0", join="", where="s = e")
+_ENDS = _MANY.format(kind="ends_before_start", order="", seconds="(s - e)::double / 1000000", join="", where="e < s")
+_ORDERED = f"{_RANKED}, d as (select *, row_number() over (partition by evidence_id, channel order by s, e, recording_id) as i from seg where s <= e), k as (select *, row_number() over (partition by evidence_id, channel order by p, recording_id) as i from seg), {VOLUMES_SQL} "
 
 
 @query(_ORDERED + _DUPLICATE)
@@ -194,7 +191,7 @@ def frame_runs(spark, sf):
 
 
 @query(_RUNS_SQL + """ select evidence_id, row_number() over (partition by evidence_id order by "offset", run, span_id) as position, 'T3' as tier, frame_count, keyframes,
-  case when frame_count <= 1 then 0.2 when start_us is not null and channel is not null and keyframes >= 2 then 0.9 when start_us is not null then 0.7 else 0.4 end::double as confidence from runs where evidence_id = span_id""")
+  case when frame_count <= 1 then 0.2 when start_us is not null and channel is not null and keyframes >= 2 then 0.9 when start_us is not null then 0.7 else 0.4 end::double as confidence from runs""")
 def carved_recordings(spark, sf):
     made = frames.carved_recordings(frames.runs(t.frames(spark, sf)))
     return made.select("evidence_id", F.col("position").cast("long").alias("position"), "tier", "frame_count", "keyframes", "confidence")
@@ -224,7 +221,7 @@ _ENTRIES = f"case when c_custkey % 7 = 0 then null else cast(c_custkey % 3 as in
 
 @query(f"""with {FRAMES_SQL}, ent as (select c_custkey as entry_id, c_custkey % 8 as evidence_id, case when c_custkey % 7 = 0 then null else (c_custkey % 3)::int end as ch,
   case when c_custkey % 5 != 0 then {19723 * DAY}::bigint end as lo, case when c_custkey % 5 in (1, 2) then ({19723 * DAY} + (c_custkey % 30) * {DAY})::bigint end as hi from customer),
-h as (select *, row_number() over (partition by span_id order by o) as i from frame where event_id % 2 = 0),
+h as (select *, row_number() over (partition by span_id order by o) as i from frame),
 f as (select entry_id, count(*) as n, count(distinct channel) as nc, max(channel) as c, count(local_us) as nt, count(*) filter (where local_us < lo or local_us > hi) as bad from ent join h on h.span_id = ent.entry_id and h.i <= 8 group by entry_id),
 c as (select ent.*, n, case when n is null then 'fail' else 'pass' end as structure_check,
   case when n is null then null when nc = 0 or ch is null then 'inapplicable' when nc = 1 and c = ch then 'pass' else 'fail' end as channel_check,
@@ -258,7 +255,7 @@ def remux_problems(spark, sf):
 
 
 # --- motion -----------------------------------------------------------------------------
-_GRAY_SQL = """gray as (select label as recording_id, vec_id, list_transform(embedding, lambda x: floor((x::double + 1) * 400)::int) as px from embeddings),
+_GRAY_SQL = """gray as (select label as recording_id, vec_id, list_transform(embedding, lambda x: floor((x::double + 1) * 100)::int) as px from embeddings),
 adj as (select *, lag(px) over (partition by recording_id order by vec_id) as before from gray),
 moved as (select recording_id, vec_id, list_filter(range(0, 64), lambda i: abs(px[i + 1] - before[i + 1]) >= 25) as m, before is not null as has from adj),
 diff as (select recording_id, vec_id as frame_no, case when has then len(m) else 0 end as changed, case when has then m else [] end as m from moved)"""
@@ -266,7 +263,7 @@ diff as (select recording_id, vec_id as frame_no, case when has then len(m) else
 
 def _gray(spark, sf):
     return table(spark, sf, "embeddings").select(
-        F.col("label").alias("recording_id"), F.col("vec_id").alias("frame_no"), F.lit(8).alias("width"), F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 400).cast("int")).alias("pixels")
+        F.col("label").alias("recording_id"), F.col("vec_id").alias("frame_no"), F.lit(8).alias("width"), F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 100).cast("int")).alias("pixels")
     )
 
 
@@ -276,10 +273,10 @@ def motion_diff(spark, sf):
     return motion.differences(_gray(spark, sf))
 
 
-@query(f"""with {_GRAY_SQL}, f as (select *, changed >= 50 as motion, case when changed >= 50 then least(1.0, changed / (0.15::double * 64)) else 0.0 end as score, row_number() over (partition by recording_id order by frame_no) as i from diff),
+@query(f"""with {_GRAY_SQL}, f as (select *, changed >= 8 as motion, case when changed >= 8 then round(least(1.0, changed / (0.15::double * 64)), 4) else 0.0 end as score, row_number() over (partition by recording_id order by frame_no) as i from diff),
 mo as (select *, case when i - lag(i) over (partition by recording_id order by i) - 1 <= 2 then 0 else 1 end as new from f where motion),
 se as (select *, sum(new) over (partition by recording_id order by i) as s from mo)
 select recording_id, min(frame_no) as first_frame, max(frame_no) as last_frame, count(*) as motion_frames, max(score)::double as peak from se group by recording_id, s having count(*) >= 2""")
 def motion_segments(spark, sf):
     changes = motion.differences(_gray(spark, sf))
-    return motion.motion_segments(motion.motion_frames(changes, 64, 50), 2, 2)
+    return motion.motion_segments(motion.motion_frames(changes, 64, 8), 2, 2)
