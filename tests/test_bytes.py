@@ -103,13 +103,53 @@ def volume(entries, pages=1, cycle=False):
 
 
 @pytest.mark.parametrize("cycle", [False, True])
-def test_volume_index(spark, cycle):
-    entries = [(False, 1, 1_772_720_000, 1_772_721_800, 0x8000), (True, 2, 1_772_720_000, 0x7FFFFFFF, 0x9000), (False, 3, 5, 6, 0)]
-    data = volume(entries, pages=2, cycle=cycle)
-    assert formats.volume_version(data) == "HIK.2011.03.08" and formats.volume_confidence("HIK.2011.03.08", True) == 0.99
-    files = spark.createDataFrame([("v", bytearray(data), 0x1000, 0x5000), ("w", bytearray(data), 0x5000, 0x1000)], "path string, content binary, primary long, backup long")
-    rows = formats.entries_of_volumes(files).collect()
-    assert sorted((r.path, r.tree, r.tier, r.channel, r.end_raw) for r in rows) == sorted((p, t, tier, c, e) for p, t in (("v", "primary"), ("w", "backup")) for tier, c, e in (("T1", 1, 1_772_721_800), ("T2", 2, None)))
+def test_volume_index(spark, tmp_path, cycle):
+    entries = [(False, 1, 1_772_720_000, 1_772_721_800, 0x8000), (True, 2, 1_772_720_000, 0x7FFFFFFF, 0xF000), (False, 3, 5, 6, 0), (False, 0x104, 0x7FFFFFFF, 1_772_720_000, 0x9000)]
+    data = bytearray(volume(entries, pages=2, cycle=cycle))
+    struct.pack_into("<QQ", data, 0x260, 0x7000, 0x100000)  # log
+    struct.pack_into("<QI", data, 0x288, 0x2000, 7)
+    struct.pack_into("<I", data, 0x2F0, 1_700_000_000)
+    sound, backup, none, other = (bytearray(data) for _ in range(4))
+    struct.pack_into("<QIIQI", sound, 0x298, 0x1000, 0x1000, 0, 0x5000, 0)
+    sound[0x5000:0x6000] = sound[0x1000:0x2000]
+    struct.pack_into("<Q", sound, 0x5058, 0x3000)  # the backup's chain begins at the second page
+    struct.pack_into("<QIIQI", backup, 0x298, 0x5000, 0x1000, 0, 0x1000, 0x1000)
+    other[0x230:0x23E] = b"NEW.2031.03.08"
+    images = {"sound": sound, "backup": backup, "none": none, "other": other, "noise": bytearray(0x4000)}
+    for name, content in images.items():
+        (tmp_path / name).write_bytes(content)
+    assert formats.volume_version(bytes(data)) == "HIK.2011.03.08" and formats.volume_confidence("HIK.2011.03.08", True) == 0.99
+    pages = formats.index_pages(spark.createDataFrame([(n, str(tmp_path / n)) for n in images], "evidence_id string, path string"))
+    layouts = formats.volume_layouts(pages)
+    got = {r.evidence_id: r for r in layouts.collect()}
+    assert {n: (r.tree, r.confidence, r.parse_supported, r.entries) for n, r in got.items()} == {
+        "sound": ("primary", 0.99, True, 4), "backup": ("backup", 0.99, True, 4), "none": (None, 0.85, False, None), "other": (None, 0.9, False, None),
+    }
+    r = got["sound"]
+    assert (r.block_size, r.block_count, r.formatted_local.year) == (0x2000, 7, 2023)
+    assert [tuple(e) for e in r.index_extents] == [(0x1000, 0x1000), (0x5000, 0x1000)] and [tuple(e) for e in r.log_extents] == [(0x7000, 0x9000)]
+    assert r.notes == ([] if cycle else ["the copies of the index differ: 4 and 2 entries"])  # a cycle leads the backup to all pages
+    assert got["backup"].notes == ["the primary copy of the index is not valid"]
+    rows = sorted((r.tier, r.channel, r.start_local is None, r.end_local is None, tuple(r.extents[0]), r.evidence_id) for r in formats.volume_recordings(pages, layouts).collect())
+    one = [("T1", 1, False, False, (0x8000, 0x2000)), ("T1", 0x104, True, True, (0x9000, 0x2000)), ("T2", 2, False, True, (0xF000, 0x1000))]
+    assert rows == sorted((*x, e) for x in one for e in ("backup", "sound"))
+    assert formats.volume_recordings(pages, layouts, orphans=False).count() == 4
+
+
+def test_packs_of_an_extent(spark):
+    pack = b"\0\0\1\xba" + bytes([0x44, 0, 0x04, 0, 0x04, 0x01, 0, 0, 0x03, 0xF8])
+    key, other = b"\0\0\1\xe0\0\0\1\x65" + b"k" * 90, b"\0\0\1\xe0\0\0\1\x41" + b"p" * 30
+    data = b"junk" + pack + key + pack + other + b"\0\0\1\xbaodd" + pack + other
+    df = spark.createDataFrame([(1, bytearray(data))], "evidence_id int, content binary")
+    chunks = df.select("evidence_id", F.explode(carving.windows(F.col("content"), 50, 30)).alias("w")).select("evidence_id", "w.offset", "w.bytes")
+    rows = formats.pack_frames(chunks, spark.createDataFrame([(1, 0, len(data) - 5)], "evidence_id int, offset long, length long"), 50).orderBy("sequence").collect()
+    assert [(r.kind, r.offset, r.payload_length) for r in rows] == [("I", 4, len(key)), ("P", 4 + 14 + len(key), len(other)), ("P", 4 + 28 + len(key + other) + 7, len(other) - 5)]
+
+
+def test_export_sets(spark):
+    files = [("a", "1", frame()), ("a", "2", b"DAHUA" + b"." * 50 + frame()), ("b", "1", frame()), ("b", "2", b"text"), ("b", "3", b""), ("c", "1", b"text"), ("c", "2", b"DAHUA" + frame()[:-1])]
+    got = formats.export_set_probe(spark.createDataFrame([(e, p, bytearray(h)) for e, p, h in files], "evidence_id string, path string, head binary"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0.95, 2, 0), ("b", 0.9, 1, 1)]
 
 
 def test_stream_units(spark):

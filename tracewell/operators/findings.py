@@ -174,3 +174,14 @@ def findings_document(sections: dict[str, DataFrame]) -> DataFrame:
     whole = F.concat(F.lit("{"), F.concat_ws(",", *map(text, sorted(sections))), F.lit("}"))
     made = rows.select("evidence_id", canonical_json(whole).alias("document"))
     return made.withColumn("digest", F.sha2("document", 256))
+
+
+#: The sections that follow from the evidence and the analysis alone, so that two examinations can be compared by them.
+CONCLUSIONS = ("identification", "disk_layout", "coverage", "recordings", "time", "device_events", "negative_findings")
+
+
+def conclusions_digest(sections: dict[str, DataFrame]) -> DataFrame:
+    """evidence_id, conclusions_digest: SHA-256 of the findings document of the concluding sections alone. What tells of the
+    examination itself (custody, artefacts, the audit chain, when it ran) changes nothing here."""
+    made = findings_document({name: sections[name] for name in CONCLUSIONS if name in sections})
+    return made.select("evidence_id", F.sha2(F.concat("document", F.lit("\n")), 256).alias("conclusions_digest"))

@@ -32,15 +32,27 @@ def clock_segments(observations: DataFrame) -> DataFrame:
     return rows.withColumn("offset_us", checked).drop("__next", "__last")
 
 
+#: Clock segments (about 100 bytes each) that may be sent to every task; more meet the times by a sweep.
+CLOCKS = 100_000
+
+
 def normalise(times: DataFrame, segments: DataFrame, local: str = "local_us") -> DataFrame:
     """Adds utc_us, uncertainty_s, method ('none' where refused) and reason to rows of (evidence_id, local time).
 
-    Segments of one evidence are disjoint, so at most one covers a time: all boundaries and times are put in one order
-    and each time takes the last segment opened, if it is still open. A segment opens before a time equal to its start."""
-    seg = segments.select("evidence_id", F.coalesce("valid_from_us", F.lit(-(2**62))).alias("__at"), F.lit(0).alias("__kind"), F.struct("offset_us", "uncertainty_s", "method", "valid_to_us").alias("__seg"))
-    rows = times.withColumns({"__at": F.coalesce(local, F.lit(-(2**62) - 1)), "__kind": F.lit(1), "__seg": F.lit(None).cast(seg.schema["__seg"].dataType)})
-    order = Window.partitionBy("evidence_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(seg, allowMissingColumns=True).withColumn("__s", F.last("__seg", True).over(order)).where("__kind = 1")
+    Segments of one evidence are disjoint, so at most one covers a time: the last opened at or before it, if it is still
+    open. Up to CLOCKS segments (counted first) go to every task as a sorted list an evidence, and no time moves; with
+    more, boundaries and times are put in one order. Both give the same rows."""
+    opened = F.coalesce("valid_from_us", F.lit(-(2**62)))
+    seg = segments.select("evidence_id", opened.alias("__at"), F.struct("offset_us", "uncertainty_s", "method", "valid_to_us").alias("__seg"))
+    if segments.limit(CLOCKS + 1).count() <= CLOCKS:
+        lists = seg.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("__at", "__seg"))).alias("__list"))
+        both = times.join(F.broadcast(lists), "evidence_id", "left")  # counted above
+        before = F.filter("__list", lambda s: s["__at"] <= F.coalesce(local, F.lit(-(2**62) - 1)))
+        both = both.withColumn("__s", F.try_element_at(before, F.lit(-1))["__seg"])
+    else:
+        rows = times.withColumns({"__at": F.coalesce(local, F.lit(-(2**62) - 1)), "__kind": F.lit(1), "__seg": F.lit(None).cast(seg.schema["__seg"].dataType)})
+        order = Window.partitionBy("evidence_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+        both = rows.unionByName(seg.withColumn("__kind", F.lit(0)), allowMissingColumns=True).withColumn("__s", F.last("__seg", True).over(order)).where("__kind = 1")
     covered = F.col(local).isNotNull() & F.col("__s").isNotNull() & (F.col("__s.valid_to_us").isNull() | (F.col(local) < F.col("__s.valid_to_us")))
     reason = F.when(F.col(local).isNull(), "no device time on this item").when(~covered, "no offset evidence covers this device time")
     return both.select(
@@ -82,10 +94,11 @@ def placements(recordings: DataFrame) -> DataFrame:
 
 
 def lanes(placed: DataFrame) -> DataFrame:
-    """evidence_id, channel, segments: the placed recordings of each channel in order, channels in order, none last."""
+    """evidence_id, channel, segments: the placed recordings of each channel in order, as one value a lane. For a few chosen
+    lanes; flows.timeline_data gives lanes of any length as rows."""
     segment = F.struct("start_us", "end_us", "recording_id", "uncertainty_us")
     grouped = placed.where("unplaced is null").groupBy("evidence_id", "channel").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
-    return grouped.orderBy("evidence_id", F.col("channel").asc_nulls_last())
+    return grouped
 
 
 def channel_gaps(segments: DataFrame, min_gap_us: int = SECOND, keys: tuple[str, ...] = ("evidence_id",)) -> DataFrame:

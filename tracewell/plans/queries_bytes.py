@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import carving, intervals
+from ..operators import carving, flows, intervals
 from ..sources import evidence, formats
 from . import tables as t
 from .tables import CLAIMS_SQL, table
@@ -142,6 +142,19 @@ def merge_stats(spark, sf):
     return intervals.merge_stats(merge_tiers(spark, sf))
 
 
+def _recovery(spark, sf):
+    """Line items as recordings of 1,000 items: returned ones are stored at T1, the others are what tiers found."""
+    rows = _tiered(spark, sf).withColumns({"local_start_us": F.when(F.col("recording_id") % 3 != 0, F.lit(0)).cast("long"), "local_end_us": F.col("recording_id") % 7 * 60_000_000})
+    stored = rows.where("note = 'R'").withColumn("tier", F.lit("T1"))
+    none = spark.createDataFrame([], "evidence_id long, index_extents array<struct<offset:bigint,length:bigint>>")
+    return flows.recovered(t.images(spark, sf), none, stored, rows.where("note != 'R'"), spark.createDataFrame([], "evidence_id long, offset long, length long"))
+
+
+@query()
+def recovery_summary(spark, sf):
+    return _recovery(spark, sf)["summary"]
+
+
 _CHUNK = 512
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomalies, frames, motion, timeline
+from ..operators import anomalies, flows, frames, motion, timeline
 from ..sources import export
 from . import tables as t
 from .tables import DAY, FRAMES_SQL, MICROS, SEGMENTS_SQL, VOLUMES_SQL, table
@@ -158,12 +158,65 @@ def uncertain_ordering(spark, sf):
     return rows.select("event_id", timeline.ordering(F.col("utc_us"), F.col("u"), F.col("b.utc_us"), F.col("b.u")).alias("ordering"))
 
 
-@query(f"""with {SEGMENTS_SQL}, p as (select *, row_number() over (partition by evidence_id, channel order by s, e, recording_id) as i from seg where e >= s)
-select evidence_id, channel, i as position, recording_id, s as start_us, e as end_us, u as uncertainty_us from p""")
+#: A clock for two items of three, bounded for one of them: recordings that cross its bound lose one side.
+_REC_SQL = f"""{SEGMENTS_SQL}, clk as (select distinct evidence_id, (evidence_id * 37 + 5) * 1000000 as off, 1.0::double + evidence_id % 5 as cu, case when evidence_id % 3 = 1 then {9500 * DAY}::bigint end as z from seg where evidence_id % 3 != 2),
+rn as (select recording_id, seg.evidence_id, channel, case when recording_id % 7 = 0 then null else s end as ls, e as le, off, cu, z from seg left join clk using (evidence_id)),
+ref as (select *, case when ls < coalesce(z, ls + 1) then ls - off end as rs, case when le < coalesce(z, le + 1) then le - off end as re from rn),
+nm as (select *, rs is not null and re is not null as known from ref)"""
+
+
+def _recordings(spark, sf):
+    rows = t.segments(spark, sf).selectExpr("evidence_id", "recording_id", "channel", "case when recording_id % 7 = 0 then null else start_us end as local_start_us", "end_us as local_end_us")
+    clocks = t.segments(spark, sf).select("evidence_id").distinct().where("evidence_id % 3 != 2").selectExpr(
+        "evidence_id", "'A_ntp' as method", "(evidence_id * 37 + 5) * 1000000 as device_local_us", "cast(0 as bigint) as true_utc_us", "cast(1.0 + evidence_id % 5 as double) as uncertainty_s",
+        "cast(null as bigint) as valid_from_us", f"case when evidence_id % 3 = 1 then cast({9500 * DAY} as bigint) end as valid_to_us",
+    )
+    return rows, clocks
+
+
+@query(f"with {_REC_SQL} select recording_id, rs as ref_start_us, re as ref_end_us, case when known then cu end as uncertainty_s, case when known then 'A_ntp' else 'none' end as t_method from nm")
+def renormalised(spark, sf):
+    rows, clocks = _recordings(spark, sf)
+    return flows.set_offset(clocks.where("false"), clocks, rows)[1].select("recording_id", "ref_start_us", "ref_end_us", "uncertainty_s", "t_method")
+
+
+@query(f"with {_REC_SQL} select evidence_id, count(*) filter (where known) as normalised, count(*) filter (where not known) as refused from nm group by evidence_id")
+def offset_summary(spark, sf):
+    rows, clocks = _recordings(spark, sf)
+    return flows.set_offset(clocks.where("false"), clocks, rows)[2]
+
+
+@query(f"""with {_REC_SQL} select evidence_id, channel, row_number() over (partition by evidence_id, channel order by rs, re, recording_id) as position, recording_id, rs as start_us, re as end_us, cu as uncertainty_s
+from nm where known and re >= rs""")
 def correlate_lanes(spark, sf):
-    rows = t.segments(spark, sf).withColumns({"start_u": F.col("uncertainty_us"), "end_u": F.col("uncertainty_us"), "start_reason": F.lit(None).cast("string"), "end_reason": F.lit(None).cast("string")})
-    lanes = timeline.lanes(timeline.placements(rows.drop("uncertainty_us")))
-    return lanes.select("evidence_id", "channel", F.posexplode("segments").alias("at", "s")).select("evidence_id", "channel", (F.col("at") + 1).cast("long").alias("position"), "s.recording_id", "s.start_us", "s.end_us", "s.uncertainty_us")
+    rows, clocks = _recordings(spark, sf)
+    return flows.timeline_data(rows, timeline.clock_segments(timeline.observe(clocks)))[0]
+
+
+@query(f"""with {_REC_SQL} select evidence_id, channel, recording_id, case when ls is null then 'no device time on this item' when rs is null or re is null then 'no offset evidence covers this device time' else 'normalised end is before start' end as reason
+from nm where not known or re < rs""")
+def timeline_unplaced(spark, sf):
+    rows, clocks = _recordings(spark, sf)
+    return flows.timeline_data(rows, timeline.clock_segments(timeline.observe(clocks)))[1]
+
+
+_BASIS_SQL = f"""{_REC_SQL}, bs as (select *, bool_or(rs is not null) over (partition by evidence_id) as has from nm),
+ax as (select *, case when has then 'reference' else 'device' end as basis, case when has then rs else ls end as a, case when has then re else le end as b, case when known then cu * 1000000 else 0 end::bigint as u from bs)"""
+
+
+@query(f"""with {_BASIS_SQL}, o as (select *, row_number() over (partition by evidence_id, channel order by a, b, recording_id) as i from ax where b >= a)
+select p.evidence_id, p.basis, p.channel, p.b + p.u as gap_start_us, q.a - q.u as gap_end_us, p.u + q.u as uncertainty_us, p.recording_id as after_id, q.recording_id as before_id
+from o p join o q on p.evidence_id = q.evidence_id and p.channel is not distinct from q.channel and q.i = p.i + 1 where (q.a - q.u) - (p.b + p.u) >= 1000000""")
+def gap_report(spark, sf):
+    rows, clocks = _recordings(spark, sf)
+    gaps, _ = flows.gap_report(flows.set_offset(clocks.where("false"), clocks, rows)[1])
+    return gaps.where("kind = 'channel'").drop("kind")
+
+
+@query(f"""with {_BASIS_SQL} select evidence_id, recording_id, channel, case when a is null or b is null then 'no ' || basis || ' time on this recording' else 'end is before start' end as reason from ax where a is null or b is null or b < a""")
+def gap_not_placed(spark, sf):
+    rows, clocks = _recordings(spark, sf)
+    return flows.gap_report(flows.set_offset(clocks.where("false"), clocks, rows)[1])[1]
 
 
 @query(f"""with {SEGMENTS_SQL} select recording_id, case when s is null then 'x' when e < s then 'normalised end is before start' end as unplaced from seg where e < s""")
@@ -280,3 +333,10 @@ select recording_id, min(frame_no) as first_frame, max(frame_no) as last_frame,
 def motion_segments(spark, sf):
     changes = motion.differences(_gray(spark, sf))
     return motion.motion_segments(motion.motion_frames(changes, 64, 8), 2, 2)
+
+
+@query(f"""with {_GRAY_SQL} select recording_id, frame_no, 'motion' as label, [list_min(list_transform(m, lambda i: i % 8)), list_min(list_transform(m, lambda i: i // 8)), list_max(list_transform(m, lambda i: i % 8)) + 1 - list_min(list_transform(m, lambda i: i % 8)), list_max(list_transform(m, lambda i: i // 8)) + 1 - list_min(list_transform(m, lambda i: i // 8))]::varchar as bbox,
+  round(least(1.0, changed / (0.15::double * 64)), 4) as score, 'changed_pixels=' || changed as note from diff where changed >= 8""")
+def motion_annotations(spark, sf):
+    changes = motion.motion_frames(motion.differences(_gray(spark, sf)), 64, 8)
+    return motion.annotations(changes).drop("disclaimer").withColumn("bbox", F.concat(F.lit("["), F.array_join(F.transform("bbox", lambda x: x.cast("string")), ", "), F.lit("]")))
