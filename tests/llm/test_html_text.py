@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -76,6 +79,71 @@ def test_end_tags_of_elements_too_deep():
     assert one(page) == "yes"
 
 
+def test_deep_elements_keep_order_and_marks():
+    for depth in (10, 198, 199, 200, 201, 250, 1000):
+        open_, close = "<div>" * depth, "</div>" * depth
+        assert one(f"{open_}<nav>menu</nav><p>yes</p>{close}") == "yes"
+        assert one(f"{open_}a<div>b</div>c<p>d <b>e</b> f</p>g{close}h") == "a\nb\nc\nd e f\ng\nh"
+        assert one(f"{open_}<nav>no<div>no<p>no</div>no</nav>x <i>y</i>{close}") == "x y"
+
+
+def test_names_that_only_contain_a_word_of_noise():
+    assert one("<div class='page has-sidebar'><article><p>yes</article></div>") == "yes"
+    assert one("<div class='content share-enabled'><p>yes</p></div>") == "yes"
+    assert one("<article><div class='post-header'><h1>Title</h1></div><p>yes</p></article>") == "Title\nyes"
+    for name in ("sidebar", "site-footer", "ad banner2", "ad-box-1", "cookie_notice", "reader-comments"):
+        assert one(f"<div class='{name}'>no</div><p>yes</p>") == "yes", name
+
+
+def brute_values(pages):
+    """place -> (pages, importance) by plain dictionaries: entropies of what a place holds, then from the leaves up."""
+    seen, parent_of, leaf = defaultdict(lambda: defaultdict(set)), {}, set()
+    for page_id, url, page in pages:
+        for _, place, parent, content, is_leaf in h.judged(h.host_of(url), h.parse(page or "")):
+            seen[place][content].add(page_id)
+            parent_of[place] = parent
+            leaf |= {place} if is_leaf else set()
+    n, own = {}, {}
+    for place, contents in seen.items():
+        n[place] = sum(map(len, contents.values()))
+        shares = [len(x) / n[place] for x in contents.values()]
+        own[place] = -sum(p * math.log(p) for p in shares) / math.log(n[place]) if n[place] > 1 else 1.0
+    inner = defaultdict(list)
+    for place, parent in parent_of.items():
+        inner[parent].append(place)
+
+    def value(place):
+        below = inner.get(place)
+        if not below:
+            return own[place]
+        mean = sum(n[c] * value(c) for c in below) / sum(n[c] for c in below)
+        mixed = h.DECAY * mean + (1 - h.DECAY) * own[place]
+        return max(mean, mixed) if len(below) == 1 else mixed
+
+    return {place: (n[place], value(place)) for place in seen}
+
+
+def test_importance_is_that_of_a_plain_model_and_decides(spark):
+    rng = random.Random(12)
+    pages = []
+    for i in range(60):
+        story = "".join(f"<p>{' '.join(rng.choice('abcdefgh') * rng.randint(1, 9) for _ in range(20))}</p>" for _ in range(rng.randint(1, 4)))
+        links = "".join(f"<li>{x}</li>" for x in ("Home", "News", "About"))
+        promo = f"<div><div><p>{rng.choice(['Buy now', 'Join us'])}</p></div></div>"
+        pages.append((i, f"http://h{i % 2}.example/{i}", f"<body><div><ul>{links}</ul></div><div><div>{story}</div>{promo}</div><div><p>Terms</p></div></body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    places = df.mapInArrow(h._places, "page_id long, place long, parent long, content long, leaf boolean")
+    got = {r.place: (r.pages, r.value) for r in h.composite(h.importance(places)).collect()}
+    want = brute_values(pages)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    texts = {r.page_id: r.text for r in h.main_text(df).collect()}
+    for i, url, page in pages:
+        story = re.findall(r"<p>([a-h ]+)</p>", page)
+        assert texts[i] == "\n".join(story)
+        assert one(page, url) != texts[i]  # without the tree, menus and promotions stay
+
+
 def test_repeated_articles_stay(spark):
     rows = [(i, "http://one.example/", "<body><nav>n</nav><article><h1>T</h1><p>the same</p></article></body>") for i in range(30)]
     assert {r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"T\nthe same"}

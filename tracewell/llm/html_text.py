@@ -8,8 +8,8 @@ the entropy of its texts over the pages; each to the base of the number of pages
 place. A branch's importance combines its own presentation with its children's importance, weighing inner levels more.
 Branches below THRESHOLD that enough pages share are noise and are removed from every page that has them.
 
-Markup that names itself gives a prior: elements that are navigation, forms, scripts, notices and so on by tag, role,
-class or id have importance 0 wherever they stand, and if a page marks its main content (article, main), text outside
+Markup that names itself gives a prior: elements that are navigation, forms, scripts, notices and so on by tag, role, or
+whole class name or id have importance 0 wherever they stand, and if a page marks its main content (article, main), text outside
 it has importance 0 and its paragraphs and headings inside it are not judged by repetition (a repeated article is an
 article still).
 
@@ -44,7 +44,7 @@ THRESHOLD, LEAST_PAGES, DECAY = 0.3, 5, 0.9
 #: Noise places (8 bytes each) that may be sent to every task.
 SHARED = 200_000
 
-#: Elements nested deeper are read as parts of the element at this depth.
+#: The tree is no deeper than this: blocks nested deeper stand in their order side by side at this depth.
 DEEPEST = 200
 
 #: Elements of HTML by their part in a page.
@@ -63,12 +63,22 @@ NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner banners cookie cookies consent gdpr notice notices notification notifications alert alerts disclaimer popup modal overlay sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search searchform widget widgets toolbar pagination pager copyright skip".split()
 )
 
+#: Words that may stand before such a name in a class or id without changing what it names.
+QUALIFIERS = frozenset("site page main global top bottom left right primary secondary mobile desktop sticky fixed box block bar container wrapper wrap inner outer area section list item link links button icon reader readers user users".split())
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+def names_noise(name: str) -> bool:
+    """Whether a whole class name or id names a part that is no content: every word of it does, or qualifies one that
+    does. (`has-sidebar`, `share-enabled` and `post-header` name something else.)"""
+    words = [w for w in _NAME.split(name) if w]
+    return any(w in NOISE_NAMES for w in words) and all(w in NOISE_NAMES or w in QUALIFIERS or w.isdigit() for w in words)
+
+
 class Element:
     __slots__ = ("children", "noise", "style", "tag")
 
@@ -76,11 +86,11 @@ class Element:
         self.tag, self.children, self.style, self.noise = tag, [], tag, tag in NOISE_TAGS
         if attributes:
             found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-            names = set(_NAME.split(f"{found.get('class', '')} {found.get('id', '')}".lower()))
             if found.get("class"):
                 self.style = f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}"
             hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
-            named = bool(names & NOISE_NAMES) and tag not in ("html", "body", "main", "article", "h1")
+            names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+            named = any(map(names_noise, names)) and tag not in ("html", "body", "main", "article", "h1")
             self.noise = self.noise or hidden or named or found.get("role", "").lower() in NOISE_ROLES
 
 
@@ -88,7 +98,31 @@ def parse(page: str) -> Element:
     """The DOM of a page: elements, and strings for text with character references decoded."""
     root = Element("html")
     stack, at = [root], 0
-    flat: Counter[str] = Counter()  # open elements too deep for the stack
+    is_open: Counter[str] = Counter()
+
+    def enter(element: Element) -> None:
+        if len(stack) >= DEEPEST:
+            element.noise |= stack[-1].noise
+            if element.noise or element.tag in BLOCKS:
+                stack[DEEPEST - 1].children.append(element)
+            else:  # its text is its parent's
+                element.children = stack[-1].children
+        else:
+            stack[-1].children.append(element)
+        stack.append(element)
+        is_open[element.tag] += 1
+
+    def leave(k: int) -> None:
+        """Close all elements from the k-th on."""
+        gone = stack[k:]
+        del stack[k:]
+        is_open.subtract(e.tag for e in gone)
+        if len(stack) > DEEPEST and any(e.children is not stack[-1].children for e in gone):
+            rest = Element(stack[-1].tag)  # what follows comes behind the element closed
+            rest.style, rest.noise = stack[-1].style, stack[-1].noise
+            stack[DEEPEST - 1].children.append(rest)
+            stack[-1] = rest
+
     while m := _MARKUP.search(page, at):
         if m.start() > at:
             stack[-1].children.append(entities.unescape(page[at : m.start()]))
@@ -101,44 +135,36 @@ def parse(page: str) -> Element:
             break
         tag = m[2].lower()
         if m[1]:
-            if len(stack) == DEEPEST and flat[tag]:
-                flat[tag] -= 1
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            else:
-                if tag == "p":  # without a start it stands for an empty paragraph
-                    stack[-1].children.append(Element("p"))
+            if is_open[tag]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            elif tag == "p":  # without a start it stands for an empty paragraph
+                stack[-1].children.append(Element("p"))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:  # an open paragraph ends, with what is open in it
+        if tag in CLOSES_P and is_open["p"]:  # an open paragraph ends, with what is open in it
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    leave(k)
                 if k < len(stack) and stack[k].tag in SCOPES:
                     break
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in CLOSED_BY_ITSELF.get(tag, ()):
-                del stack[k:]
+                leave(k)
                 break
             if stack[k].tag in SCOPES:
                 break
         element = Element(tag, m[3])
-        if tag == "header" and not any(e.tag in MAIN_TAGS for e in stack):  # an article's own header has its title
+        if tag == "header" and not any(is_open[t] for t in MAIN_TAGS):  # an article's own header has its title
             element.noise = True
-        stack[-1].children.append(element)
         if tag in RAW:
+            stack[-1].children.append(element)
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            if len(stack) < DEEPEST:
-                flat.clear()
-                stack.append(element)
-            else:
-                flat[tag] += 1
+        elif tag in VOID or m[3].rstrip().endswith("/"):
+            stack[-1].children.append(element)
+        else:
+            enter(element)
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
     return root
