@@ -15,13 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
 _own_folder: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if the
+    session runs on this machine alone (tests); on a cluster it must be set."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
@@ -32,11 +36,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/tracewell/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """The same rows, read from a table written to the shared folder: lineage ends there, so a lost executor
-    costs no recomputation and nothing that depends on task order is evaluated twice."""
+    costs no recomputation and nothing that depends on task order is evaluated twice. Inside `scratch` the table goes
+    when the block ends; with `keep` it stays for the block around it, or for good."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    frames = _scratch[: len(_scratch) - keep]
+    if frames:
+        frames[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +55,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within it, shuffle files go when the query that made them ends, as its result is written, and at its end the
+    tables written in it go too: a chain of written tables then needs the disk of what is still read."""
+    _scratch.append([])
+    try:
+        with cleaned_shuffles(spark):
+            yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once for each row: a lambda's variable is bound, not substituted."""
     return F.transform(F.array(value), body)[0]
@@ -58,10 +79,13 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(F.xxhash64(F.lit(17), *key))
 
 
-def ranked_parts(df: DataFrame, order: list[str], tag: str, rows_per_part: int = 200_000) -> DataFrame:
-    """The rows with __part, ascending ranges of the order columns; written, so that the ranges are fixed."""
-    parts = max(1, -(-df.count() // rows_per_part))
-    return written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), tag)
+def guarded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns that begin with __ under other names, and the names to give back: those that the operators
+    add for themselves begin so."""
+    names = {c: f"column {i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+    while set(names.values()) & set(docs.columns):
+        names = {c: f"{n} too" for c, n in names.items()}
+    return docs.withColumnsRenamed(names), {n: c for c, n in names.items()}
 
 
 def global_rank(df: DataFrame, order: list[str], tag: str) -> DataFrame:

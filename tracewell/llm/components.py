@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned_shuffles, spread, written
+from .common import scratch, spread, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,8 +18,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round links larger neighbours, then smaller ones, to the smallest neighbour known; the number of rounds grows
     with the logarithm of the longest path. A round's edges are written, so no lineage grows. A hub's edges are split by
     adaptive execution, as its smallest neighbour comes from another exchange."""
-    with cleaned_shuffles(edges.sparkSession):
-        edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    start = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    with scratch(edges.sparkSession):
+        edges = written(start, "edges")
         before = _state(edges)
         for _ in range(rounds):
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,6 +32,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             edges = written(small.select("e.u", F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
             after = _state(edges)
             if after == before:
-                return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+                return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "components", keep=True)
             before = after
     raise RuntimeError(f"components are not stable after {rounds} rounds")

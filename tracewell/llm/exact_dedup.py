@@ -12,7 +12,8 @@ group's side dealt anew, so that a group of a third of all rows is split by adap
 
 Defined results: null text counts as empty; all texts of no characters but white space are equal; of equal texts the
 one with the most code points, then the smallest doc_id stays (a null doc_id sorts last); rows that repeat doc_id and
-text are one document and all marked alike; an empty table gives an empty table.
+text are one document and all marked alike; a text of any length is one task's chunks; an empty table gives an empty
+table; further columns are not read.
 """
 
 from __future__ import annotations

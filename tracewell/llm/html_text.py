@@ -21,7 +21,7 @@ to the pages by page_id. A host of a third of all pages is spread over its place
 Defined results: null html gives empty text; character references are decoded once; the six ASCII white space
 characters collapse, others are text; a page whose every branch would go keeps what its tags and classes let stand;
 rows that repeat a page_id are treated as one page's places and are returned each; a null or odd url has the empty
-host; an empty table gives an empty table.
+host; a page of any length is one task's tree; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned_shuffles, spread, written
+from .common import scratch, spread, written
 
 #: Importance below which a branch is noise, pages that must share it, and the weight of inner levels.
 THRESHOLD, LEAST_PAGES, DECAY = 0.3, 5, 0.9
@@ -336,17 +336,18 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int =
     """page_id, url, text, n_chars for each row of pages."""
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", "html")
-    with cleaned_shuffles(pages.sparkSession):
+    with scratch(pages.sparkSession):
         places = written(rows.mapInArrow(_places, f"page_id {kind}, place long, parent long, content long, leaf boolean"), "places")
         values = composite(importance(places))
         noise = written(values.where((F.col("value") < threshold) & (F.col("pages") >= least_pages)).select("place"), "noise")
         few = noise.count() <= SHARED
+        known = frozenset(r.place for r in noise.collect()) if few else None
         if not few:
             found = places.select("page_id", "place").join(spread(noise, "place"), "place")
-            found = written(found.groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("place").alias("noise")), "noise-of-page")
+            found = written(found.groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("place").alias("noise")), "noise-of-page", keep=True)
     schema = f"page_id {kind}, url string, text string, n_chars long"
     if few:  # counted above: at most SHARED numbers go to each task, and pages stay where they are
-        return rows.mapInArrow(_texts(frozenset(r.place for r in noise.collect())), schema)
+        return rows.mapInArrow(_texts(known), schema)
     both = rows.join(found, F.col("page_id").eqNullSafe(F.col("__id")), "left").select("page_id", "url", "html", "noise")
     return both.mapInArrow(_texts(None), schema)
 

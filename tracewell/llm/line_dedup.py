@@ -8,8 +8,8 @@ counted, and its join is left to adaptive skew splitting.
 
 Defined results: a null text is one empty line; an empty key (white space only) is never dropped unless
 min_chars is 0; rows that repeat a doc_id are one document when documents are counted, and each such row is still
-returned; a null doc_id counts as one document; an empty table gives an empty table. Further columns pass through,
-whatever their names (only names that begin with __ are taken).
+returned; a null doc_id counts as one document; a text of any length is split in its row; an empty table gives an empty
+table. Further columns pass through, whatever their names (n_lines and n_dropped are replaced by those counted).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, spread
+from .common import WHITE, guarded, spread
 
 
 def line_key(line: Column) -> Column:
@@ -45,6 +45,7 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with text replaced by the lines that stay, and n_lines, n_dropped of each document."""
+    docs, back = guarded(docs)
     found = dropped_lines(docs.select("doc_id", "text"), min_docs, min_chars).withColumnRenamed("doc_id", "__id")
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -56,7 +57,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
         *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.col("__lines").alias("n_lines"),
         F.when(out.isNull(), F.lit(0)).otherwise(F.col("__lines") - F.size("__stay")).cast("long").alias("n_dropped"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

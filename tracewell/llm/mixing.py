@@ -11,7 +11,9 @@ aggregations that return two numbers each.
 
 Defined results: size is the number of words (0 for null or empty text); a null source is a source of its own, ordered
 last; rows of no words take nothing; if all sizes are 0 all targets are 0; rows that repeat a doc_id are rows of their
-own (among equal rows the order is immaterial); an empty table gives an empty table; further columns pass through.
+own (among equal rows the order is immaterial); a text of any length is counted and cut in its row; an empty table gives
+an empty table; further columns pass through, whatever their names (one that has the name of a column added is replaced
+by it).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, WORD, global_rank, written
+from .common import NOT_WORD, WORD, global_rank, guarded, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -53,6 +55,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs with __size, __source_size, __target and __taken (words of this row in the mix, repeats counted)."""
+    docs, back = guarded(docs.drop("__size", "__source_size", "__target", "__taken"))
     rows = docs.withColumns(
         {
             "__size": n_words(F.col("text")),
@@ -81,11 +84,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     rest = budget - epochs * F.col("__source_size")
     part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__ahead")))
     kept = [F.col(c) for c in docs.columns]
-    return rows.select(*kept, "__size", "__source_size", "__target", (epochs * F.col("__size") + part).cast("long").alias("__taken"))
+    taken = (epochs * F.col("__size") + part).cast("long").alias("__taken")
+    return rows.select(*kept, "__size", "__source_size", "__target", taken).withColumnsRenamed(back)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows repeated for whole epochs, and cut after the words that a partial epoch takes."""
+    docs, back = guarded(docs)
     rows = mix(docs, **how)
     whole = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(0)).cast("int")
     part = (F.col("__taken") - whole * F.col("__size")).cast("int")
@@ -94,7 +99,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(part > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
     return rows.withColumn("__copy", F.explode(copies)).select(
         *[F.col("__copy").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    )
+    ).withColumnsRenamed(back)
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

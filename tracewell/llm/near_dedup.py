@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cleaned_shuffles, spread, written
+from .common import WHITE, scratch, spread, written
 from .components import components
 from .suffix_dedup import Names, _mix
 
@@ -358,8 +358,8 @@ def near_groups(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -
     """(doc_id, class_id, n_links, kept) for each row of docs; kept marks one document of each class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
-    with cleaned_shuffles(docs.sparkSession):
-        signed = written(rows.mapInArrow(_signed, f"doc_id {kind}, n long, a long, b long, labels binary"), "signatures")
+    with scratch(docs.sparkSession):
+        signed = written(rows.mapInArrow(_signed, f"doc_id {kind}, n long, a long, b long, labels binary"), "signatures", keep=True)
         named = signed.where("n > 0 and doc_id is not null")
         reps = named.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "labels")).alias("r"), F.count(F.lit(1)).alias("copies"))
         reps = written(reps.select("a", "b", "n", F.col("r.doc_id").alias("rep"), "copies", "r.labels"), "representatives")
@@ -380,7 +380,7 @@ def near_groups(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -
         classes = written(counted.join(whole.unionByName(parts).withColumnRenamed("node", "rep"), "rep", "left"), "classes")
         told = reps.select("a", "b", "n", "rep", "copies").join(classes, "rep", "left")
         told = told.select("a", "b", "n", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        told = written(told, "told")
+        told = written(told, "told", keep=True)
     out = signed.select("doc_id", "n", "a", "b").withColumn("usable", F.col("n").cast("boolean") & F.col("doc_id").isNotNull())
     out = out.join(spread(told.withColumn("usable", F.lit(True)), "a", "b"), ["a", "b", "n", "usable"], "left")
     class_id = F.coalesce("class_id", "doc_id")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cleaned_shuffles, spread, written
+from .common import scratch, spread, written
 
 SIZE = 1024
 END_ID = 0
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, size: int = SIZE, files: tuple[str, str] | None = None
     kind = docs.schema["doc_id"].dataType.simpleString()
     files = files or tuple(public_tokenizers.path(f"{VOCABULARY}.{end}") for end in ("tiktoken", "json"))
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    with cleaned_shuffles(docs.sparkSession):
+    with scratch(docs.sparkSession):
         pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(files, size), columns), "pieces")
         histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
         buckets = max(1, math.isqrt(sum(histogram.values())))
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, size: int = SIZE, files: tuple[str, str] | None = None
         starts = starts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
         inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
         ranked = pieces.join(spread(starts, "length", "bucket"), ["length", "bucket"])
-        ranked = written(ranked.withColumn("rank", F.col("base") + F.row_number().over(inside) - 1).drop("bucket", "base"), "ranked")
+        ranked = written(ranked.withColumn("rank", F.col("base") + F.row_number().over(inside) - 1).drop("bucket", "base"), "ranked", keep=True)
     table = slots(shortest_pack_first(histogram, size))
     return ranked.mapInArrow(_placed(table), columns + ", sequence_id long, offset long")
 

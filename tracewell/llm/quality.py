@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cleaned_shuffles, written
+from .common import WHITE, cleaned_shuffles, scratch, written
 from .spotsigs import ANCHORS
 from .suffix_dedup import Names, _mix
 
@@ -323,7 +323,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that `scored` predicts as good, unchanged."""
-    model = train(feature_table(docs), labels)
+    with scratch(docs.sparkSession):
+        model = train(feature_table(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

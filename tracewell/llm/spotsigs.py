@@ -13,7 +13,8 @@ with any set similar enough), and the pairs found are compared once. Equal sets
 
 Defined results: null text counts as empty; two empty fingerprints are alike (1.0) and an empty and a non-empty one are
 not (0.0); the successor of a document is the next row by doc_id, the last one's is the first (a single row follows
-itself); rows that repeat a doc_id follow one another by the hash of their text; an empty table gives an empty table.
+itself); rows that repeat a doc_id follow one another by the hash of their text; a text of any length is one row's
+arrays; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations

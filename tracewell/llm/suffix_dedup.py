@@ -24,7 +24,7 @@ third of all documents) are counted with partial aggregates, and the joins that
 
 Defined results: a null text is empty; matches may overlap; texts under 100 bytes lose nothing; of rows that repeat a
 doc_id (which the contract does not foresee) the places are ordered by doc_id, then start, and a place that occurs twice
-counts once; null doc_ids order first; an empty table gives an empty table.
+counts once; null doc_ids order first; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned_shuffles, spread, written
+from .common import scratch, spread, written
 
 LENGTH = 100
 GRAM = 32
@@ -380,14 +380,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (byte ranges), kept (the remaining bytes), kept_sha256 for each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    with cleaned_shuffles(docs.sparkSession):
+    with scratch(docs.sparkSession):
         places, windows = repeated_places(rows)
         found = places.groupBy("doc_id").agg(F.collect_set("place").alias("places")).withColumn("pairs", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
         found = found.unionByName(
             windows.groupBy("doc_id").agg(F.lit(None).cast("array<bigint>").alias("places"), F.collect_list(F.struct("first", "last")).alias("pairs"))
         )
         found = found.groupBy("doc_id").agg(F.first("places", True).alias("places"), F.first("pairs", True).alias("pairs"))
-        found = written(found.select(F.col("doc_id").alias("__id"), "places", F.col("pairs.first").alias("first"), F.col("pairs.last").alias("last")), "removed")
+        found = written(found.select(F.col("doc_id").alias("__id"), "places", F.col("pairs.first").alias("first"), F.col("pairs.last").alias("last")), "removed", keep=True)
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "places", "first", "last")
     return both.mapInArrow(_removal, f"doc_id {kind}, n_bytes long, n_removed long, removed array<array<long>>, kept binary, kept_sha256 string")
 

@@ -11,8 +11,8 @@ of captures whatever their URL, since time and page break ties; files hold a bou
 
 Defined results: null html is an empty payload; a null url has no target header and reads back as null; control
 characters in a url are percent-encoded in the archive and read back decoded; rows that repeat a page_id are written
-and returned each, and a repeat of the smallest page_id of a group is a response as well; an empty table gives an empty
-index.
+and returned each, and a repeat of the smallest page_id of a group is a response as well; a page of any length is one
+record; an empty table gives an empty index; further columns are not read.
 """
 
 from __future__ import annotations
