@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cleaned_shuffles, scratch, written
+from .common import WHITE, scratch, written
 from .spotsigs import ANCHORS
 from .suffix_dedup import Names, _mix
 
@@ -123,7 +123,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def feature_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", "text").mapInArrow(_feature_rows, f"doc_id {kind}, features array<float>"), "features")
+    return docs.select("doc_id", "text").mapInArrow(_feature_rows, f"doc_id {kind}, features array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -297,18 +297,21 @@ def fit(table: DataFrame) -> Model | None:
     return Model(basis, least_risk(mean(sums[0].sum(0)), mean(sums[1].sum(0)), prior, ridge), prior)
 
 
-def train(table: DataFrame, labels: DataFrame) -> Model | None:
-    """The model for a feature table; labels of held-out rows are not read."""
+def marked_table(docs: DataFrame, labels: DataFrame, keep: bool) -> DataFrame:
+    """doc_id, features, trusted, half of each row of docs, written; labels of held-out rows are not read.
+
+    Labels may be as many as documents, so neither side is broadcast: features (about 200 numbers a row) meet them once."""
     trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id", F.lit(True).alias("trusted")).distinct()
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
-    with cleaned_shuffles(table.sparkSession):
-        return fit(table.join(trusted, "doc_id", "left").select("features", F.coalesce("trusted", F.lit(False)).alias("trusted"), half))
+    both = feature_table(docs).join(trusted.hint("merge"), "doc_id", "left")
+    return written(both.select("doc_id", "features", F.coalesce("trusted", F.lit(False)).alias("trusted"), half), "features", keep)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
-    table = feature_table(docs)
-    model = train(table, labels)
+    with scratch(docs.sparkSession):
+        table = marked_table(docs, labels, keep=True)
+        model = fit(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,14 +320,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = table.mapInArrow(run, f"doc_id {kind}, score double")
+    rows = table.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that `scored` predicts as good, unchanged."""
     with scratch(docs.sparkSession):
-        model = train(feature_table(docs), labels)
+        model = fit(marked_table(docs, labels, keep=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
