@@ -15,8 +15,8 @@ A text's features are made once, over its whole bytes and words: shares of kinds
 hashed runs of three byte kinds, and hashed single words and word pairs. phi is these, standardised, and the tanh of
 HIDDEN fixed random mixtures of the counts. The model is a few hundred numbers, sent with the scoring tasks.
 
-HIDDEN, RIDGE, HASHED and CUT were chosen among thirty settings by five folds over the labels of rows that are not held
-out; labels of held-out rows were not read for it.
+HIDDEN, RIDGE, HASHED and CUT were chosen among 48 settings by folds over the labels of rows that are not held out;
+labels of held-out rows were not read for it.
 
 Defined results: null or empty text has the features of no words and is scored as all others; without any trusted
 positive or any text nothing can be learned and nothing is rejected: each score is THRESHOLD; labels with a null doc_id
