@@ -220,10 +220,23 @@ def test_archives_read_back(spark, tmp_path, monkeypatch):
 def test_a_changed_archive_is_refused():
     body = b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx"
     good = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
-    assert [(o, n) for o, n, _, _ in warc.parse_warc(good + good)] == [(0, len(good)), (len(good), len(good))]
-    for bad in (good[:-1] + b"x", b"x" + good):
-        with pytest.raises(ValueError):
-            list(warc.parse_warc(bad))
+    cut = lambda data, n: [data[i : i + n] for i in range(0, len(data), n)]
+    for n in (1, 3, 7, 1000):
+        for rest in (b"", b"\r\n\r\n"):
+            assert [(o, k, b) for o, k, _, b in warc.records(cut(good + good + rest, n))] == [(0, len(good), body), (len(good), len(good), body)]
+        for bad in (good[:-1] + b"x", b"x" + good, good[:-5] + b"xx\r\n\r\n", good[:-6] + b"\r\n\r\n", good[:30], good[:50], good + b"\r\n\r\n" * 2):
+            with pytest.raises(ValueError):
+                list(warc.records(cut(bad, n)))
+
+
+def test_archives_of_many_long_records(spark, tmp_path, monkeypatch):
+    """Pages of up to 3 MB, of nothing but blank lines, and ends that look like a record's: read back in pieces."""
+    long = ["\r\n\r\n" * 50_000, "é\n" * 1_000_000, "x\r\n\r", "y" * 200 + "\r\n\r\n", "\r\n" * 101, "\n\r\n\r\n\r" * 30, " " * 3_000_000]
+    rows = [(i, f"http://h.example/{i}", t) for i, t in enumerate(long)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.capture_index(spark, path).collect()}
+    assert got == {i: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), "response") for i, t in enumerate(long)}
 
 
 def test_empty_pages(spark, tmp_path):

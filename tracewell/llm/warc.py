@@ -4,8 +4,9 @@ Writing: equal payloads of at least 100 bytes are found by digest; the smallest
 others as revisits that refer to it. A record is one value of Spark's text writer, whose line separator is the blank
 lines that end a WARC record, so any file system Spark can write holds the archive.
 
-Reading: each archive file is parsed by the lengths its records state, digests are checked, and the file's captures
-are sorted: a run. Runs are then cut by ranges of (URL key, time, page) and each range merges its slices of all runs
+Reading: Spark's text reader streams each archive in pieces between blank lines, and records are cut from the joined
+pieces by the lengths they state, so a task holds a batch of pieces, one record and the index rows of its captures,
+whatever the archive's size. Digests are checked, and the file's captures are sorted: a run. Runs are then cut by ranges of (URL key, time, page) and each range merges its slices of all runs
 with a loser tree: concatenated ranges are the capture histories in global order. A range holds about a fixed number
 of captures whatever their URL, since time and page break ties; files hold a bounded number of records.
 
@@ -17,10 +18,11 @@ record; an empty table gives an empty index; further columns are not read.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -82,20 +84,32 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (u.path or "/").lower() + ("?" + u.query.lower() if u.query else "")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record, by the lengths stated."""
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.index(end, at)
-        lines = data[at:stop].decode().split("\r\n")
+def records(chunks: Iterable[bytes]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, block) of each record, by the lengths stated. The chunks are an archive's bytes in order,
+    cut anywhere; a blank line too many at its end is let pass, since a reader of lines can't tell it."""
+    chunks, held, at, end = iter(chunks), bytearray(), 0, END.encode()
+
+    def filled(size: int) -> bool:
+        while len(held) < size:
+            if (chunk := next(chunks, None)) is None:
+                return False
+            held.extend(chunk)
+        return True
+
+    while filled(1) and (filled(len(end) + 1) or held != end):
+        while (stop := held.find(end)) < 0 and filled(len(held) + 1):
+            pass
+        lines = held[: max(stop, 0)].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record starts at byte {at}")
         headers = dict(x.split(": ", 1) for x in lines[1:])
-        body, size = stop + 4, int(headers["Content-Length"])
-        if data[body + size : body + size + 4] != end:
+        body, size = stop + len(end), int(headers["Content-Length"])
+        length = body + size + len(end)
+        if not filled(length) or held[body + size : length] != end:
             raise ValueError(f"the record at byte {at} does not end where it states")
-        yield at, body + size + 4 - at, headers, data[body : body + size]
-        at = body + size + 4
+        yield at, length, headers, bytes(held[body : body + size])
+        del held[:length]
+        at += length
 
 
 def _page(name: str | None) -> int | None:
@@ -103,26 +117,26 @@ def _page(name: str | None) -> int | None:
     return int(digits) if digits else None
 
 
+def _capture(path: str, offset: int, length: int, h: dict[str, str], block: bytes) -> tuple:
+    """A record's index row, without run and seq. A response whose payload is not what its head states is refused."""
+    head, _, payload = block.partition(END.encode())
+    size = int(head.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
+    digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
+    if h["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"{path}: the payload at byte {offset} is not what its header states")
+    url = h.get("WARC-Target-URI")
+    url = None if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%00", "\0").replace("%25", "%")
+    return url_key(url), h["WARC-Date"], _page(h["WARC-Record-ID"]), url, h["WARC-Type"], _page(h.get("WARC-Refers-To")), size, digest, offset, length
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A run for each archive file: its captures, sorted."""
+    """A run for each archive file: its captures, sorted. A file's pieces come in their order, file after file."""
     kinds = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in INDEX.split(", "))])
-    for b in batches:
-        for path, data in zip(b.column("path").to_pylist(), b.column("content")):
-            raw = gzip.decompress(data.as_py())
-            run = int.from_bytes(hashlib.blake2b(path.encode(), digest_size=7).digest(), "big")
-            rows = []
-            for offset, length, h, block in parse_warc(raw):
-                head, _, payload = block.partition(END.encode())
-                size = int(head.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
-                digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
-                if h["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"{path}: the payload at byte {offset} is not what its header states")
-                url = h.get("WARC-Target-URI")
-                url = None if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%00", "\0").replace("%25", "%")
-                rows.append((url_key(url), h["WARC-Date"], _page(h["WARC-Record-ID"]), url, h["WARC-Type"], _page(h.get("WARC-Refers-To")), size, digest, offset, length))
-            rows.sort(key=_order)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate([[run] * len(rows), range(len(rows)), *zip(*rows)])], schema=kinds)
+    pieces = ((path, piece.as_py()) for b in batches for path, piece in zip(b.column("path").to_pylist(), b.column("piece")))
+    for path, of_file in groupby(pieces, itemgetter(0)):
+        run = int.from_bytes(hashlib.blake2b(path.encode(), digest_size=7).digest(), "big")
+        rows = sorted((_capture(path, *record) for record in records(piece + END.encode() for _, piece in of_file)), key=_order)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate([[run] * len(rows), range(len(rows)), *zip(*rows)])], schema=kinds)
 
 
 def _order(row: tuple) -> tuple:
@@ -179,9 +193,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_index(spark, path: str) -> DataFrame:
-    """The captures in the archives at path, globally ordered by URL key, time and page."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    runs = written(files.mapInArrow(_runs, INDEX), "runs")
+    """The captures in the archives at path (gzipped, so that a file is read by one task), globally ordered by URL key,
+    time and page."""
+    text = spark.read.option("lineSep", END).option("recursiveFileLookup", "true").text(path)
+    pieces = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    runs = written(pieces.mapInArrow(_runs, INDEX), "runs")
     ranges = max(1, -(-runs.count() // CAPTURES_PER_RANGE))
     cut = runs.repartitionByRange(ranges, "url_key", "captured", "page_id")
     return cut.sortWithinPartitions("run", "seq").mapInArrow(_merge, INDEX)
