@@ -191,3 +191,36 @@ def test_tender_withholds_what_changed_or_is_gone(spark):
     assert {(r.evidence_id, r.tz_offset_s) for r in c.stated_timezones(spark.createDataFrame([(1, 19800), (1, None), (2, None)], tz)).collect()} == {(1, 19800), (2, None)}
     with pytest.raises(Exception, match="timezones"):
         c.stated_timezones(spark.createDataFrame([(1, 0), (1, 3600)], tz)).collect()
+
+
+def test_operations_appended_verify_and_manifests_follow(spark):
+    kind = "case_id string, n long, ts_utc string, ended_utc string, operator string, action string, target string, params string, outcome string, error_type string, error string, hash_before string, hash_after string"
+    rows = [("a", 1, "1", "2", "x", "scan", "t", '{"b": 1, "a": -0.0}', '{"hits": 2}', None, None, None, "h"), ("a", 2, "3", "4", "x", "export", None, None, None, "IOError", "gone", "g", "h"), ("b", 1, "1", "2", "x", "scan", "é", "{}", "{}", None, None, None, None)]
+    none = spark.createDataFrame([], "case_id string, seq long, digest string")
+    first = spark.createDataFrame(integrity.append_records(none, integrity.operation_records(spark.createDataFrame(rows[:1], kind))).collect(), "case_id string, seq long, ts_utc string, operator string, action string, target string, params string, result string, hash_before string, hash_after string, prev_digest string, digest string")
+    all_ = first.unionByName(integrity.append_records(first, integrity.operation_records(spark.createDataFrame(rows[1:], kind))))
+    got = {(r.case_id, r.seq): (r.action, r.result, r.params, r.hash_after) for r in all_.collect()}
+    assert got == {
+        ("a", 0): ("scan.start", "started", '{"a":0.0,"b":1}', None), ("a", 1): ("scan.complete", "ok", '{"hits":2,"start_seq":0}', "h"),
+        ("a", 2): ("export.start", "started", "{}", None), ("a", 3): ("export.error", "error", '{"error":"gone","error_type":"IOError","start_seq":2}', None),
+        ("b", 0): ("scan.start", "started", "{}", None), ("b", 1): ("scan.complete", "ok", '{"start_seq":0}', None),
+    }
+    checked = integrity.verify_chain(all_, digest_of=integrity.record_digest(integrity.body_json())).collect()
+    assert {(r.case_id, r.ok, r.records_checked, tuple(r.warnings)) for r in checked} == {("a", True, 4, ()), ("b", True, 2, ())}
+
+    evidence = spark.createDataFrame([("a", "e2", None, "s", 5), ("a", "e1", "m", None, None)], "case_id string, evidence_id string, md5 string, sha256 string, capacity_bytes long")
+    old = integrity.case_manifests(integrity.chain_heads(first), evidence, evidence.select("case_id"), 2)
+    digest = first.where("seq = 1").first().digest
+    assert old.first().manifest == '{"artifact_count":2,"audit":{"head_digest":"%s","head_seq":1},"case_id":"a","evidence":[{"id":"e1","md5":"m","sha256":null,"size":null},{"id":"e2","md5":null,"sha256":"s","size":5}],"schema_version":2}' % digest
+    assert [tuple(r) for r in integrity.manifest_heads(old, all_).collect()] == [("a", None, "the manifest is behind the chain, which ends at 3")]
+    new = integrity.case_manifests(integrity.chain_heads(all_), evidence, evidence.select("case_id"), 2)
+    assert {r.case_id: r.problem for r in integrity.manifest_heads(new, first).collect()} == {"a": "the manifest's head 3 is not in the chain", "b": "the manifest's head 1 is not in the chain"}
+    assert integrity.manifest_heads(spark.createDataFrame([("a", "{")], "case_id string, manifest string"), all_).first().problem == "the manifest states no head"
+
+
+def test_forms_name_what_the_form_does_not_list(spark):
+    from tracewell.operators import certificate
+
+    rows = [("DVR", ["Owned", "Operated"], 1), ("Tape", ["Owned", "Lent"], 0), (None, None, None)]
+    got = [r.problems for r in certificate.form_problems(spark.createDataFrame(rows, "source_type string, control_modes array<string>, instance int")).collect()]
+    assert got == [[], ["the form has no such source", "the form has no such control: Lent", "submissions are numbered from 1"], ["the form has no such source", "submissions are numbered from 1"]]

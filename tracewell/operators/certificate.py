@@ -15,6 +15,10 @@ STATUTES = {
     "authorisation": "BNSS 2023 s. 94 / s. 185 (authorisation to search and seize)",
 }
 CHANGE_OF_STATUTE = "2024-07-01"
+#: Sources and ways of control that the form lists, and the labels of a disk's particulars.
+SOURCE_TYPES = ["Computer / Storage Media", "DVR", "Mobile", "Flash Drive", "CD/DVD", "Server", "Cloud", "Other"]
+CONTROL_MODES = ["Owned", "Maintained", "Managed", "Operated"]
+DISK_LABELS = {"disk_make": "Disk make", "disk_model": "Disk model", "disk_serial": "Disk serial", "capacity_bytes": "Capacity (bytes)", "provenance_class": "Provenance class"}
 
 
 def statute_for(instituted: Column) -> Column:
@@ -74,3 +78,49 @@ def stated_timezones(observations: DataFrame) -> DataFrame:
     grouped = observations.groupBy("evidence_id").agg(F.min("tz_offset_s").alias("low"), F.max("tz_offset_s").alias("high"))
     one = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNotNull(), F.raise_error("conflicting stated timezones").cast("int"))
     return grouped.select("evidence_id", one.alias("tz_offset_s"))
+
+
+def form_problems(forms: DataFrame) -> DataFrame:
+    """forms with problems: values that the form does not list, and a submission's number below 1.
+
+    forms: source_type, control_modes (array), instance."""
+    odd = F.array_except(F.coalesce("control_modes", F.array().cast("array<string>")), F.array(*map(F.lit, CONTROL_MODES)))
+    found = F.array(
+        F.when(~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False)), "the form has no such source"),
+        F.when(F.size(odd) > 0, F.concat(F.lit("the form has no such control: "), F.array_join(odd, ", "))),
+        F.when(F.coalesce(F.col("instance") < 1, F.lit(True)), "submissions are numbered from 1"),
+    )
+    return forms.withColumn("problems", F.array_compact(found))
+
+
+def ticked(md5: Column, sha1: Column, sha256: Column) -> Column:
+    """The algorithms of the form for which a digest is there."""
+    return F.array_compact(F.array(*[F.when(c != "", n) for n, c in (("SHA1", sha1), ("SHA256", sha256), ("MD5", md5))]))
+
+
+def enclosures(evidence: DataFrame, tenders: DataFrame) -> DataFrame:
+    """case_id, artefact, kind, size_bytes, md5, sha1, sha256, note: each image by its stored digests (no SHA-1 was taken of
+    it), with the case's tender rows (case_id and the columns of tender_rows)."""
+    stored = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    images = evidence.select(
+        "case_id", F.coalesce("source_path", "evidence_id").alias("artefact"), F.lit("evidence_image").alias("kind"), F.col("capacity_bytes").alias("size_bytes"),
+        stored("md5"), F.lit("").alias("sha1"), stored("sha256"), F.lit("").alias("note"),
+    )
+    return images.unionByName(tenders.select(*images.columns))
+
+
+def certificates(evidence: DataFrame, enclosure: DataFrame, recordings: DataFrame) -> DataFrame:
+    """A certificate for each item, with what was measured; who affirms it stays open.
+
+    evidence: case_id, evidence_id, instance, instituted, md5, sha256 and the disk's particulars; enclosure: as above;
+    recordings: evidence_id, channel. Gives case_id, evidence_id, statute, ticked, tendered, withheld, recordings, channels,
+    disk. Counts of the enclosure are the case's; an image without a digest counts as withheld there."""
+    items = enclosure.groupBy("case_id").agg(F.count_if(F.col("sha256") != "").alias("tendered"), F.count_if(F.col("sha256") == "").alias("withheld"))
+    counts = recordings.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("recordings"), F.countDistinct("channel").alias("channels"))
+    rows = evidence.join(items, "case_id", "left").join(counts, "evidence_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    disk = F.concat_ws("; ", *[F.when(~F.col(c).cast("string").isin("", "0"), F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))) for c, label in DISK_LABELS.items()])
+    return rows.select(
+        "case_id", "evidence_id", statute_for(F.col("instituted")).alias("statute"), ticked(F.col("md5"), F.lit(""), F.col("sha256")).alias("ticked"),
+        zero("tendered"), zero("withheld"), zero("recordings"), zero("channels"), disk.alias("disk"),
+    )

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
-RESULTS = ("start", "complete", "error", "ok")
+#: What a record may state as its result.
+RESULTS = ("started", "ok", "error")
 
 
 def canonical(value: Any) -> str:
@@ -156,6 +157,58 @@ def verify_chain(records: DataFrame, key: str = "case_id", digest_of: Column | N
     )
 
 
+def operation_records(operations: DataFrame) -> DataFrame:
+    """The two records of each operation for append_records: it started; then that it is complete, or its error.
+
+    operations: case_id, n, ts_utc, ended_utc, operator, action, target, params, outcome, error_type (null: no error), error,
+    hash_before, hash_after; params and outcome hold JSON text."""
+    failed, none = F.col("error_type").isNotNull(), F.lit(None).cast("string")
+    record = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("part", "ts_utc", "action", "result", "params", "extra", "hash_after"))])
+    error = F.when(failed, F.to_json(F.struct("error_type", "error"), {"ignoreNullFields": "false"}))
+    start = record(F.lit(0), F.col("ts_utc"), F.concat("action", F.lit(".start")), F.lit("started"), F.col("params"), none, none)
+    end = record(
+        F.lit(1), F.col("ended_utc"), F.concat("action", F.when(failed, ".error").otherwise(".complete")), F.when(failed, "error").otherwise("ok"),
+        F.col("outcome"), error, F.when(~failed, F.col("hash_after")),
+    )
+    rows = operations.select("case_id", "n", "operator", "target", "hash_before", F.explode(F.array(start, end)).alias("r"))
+    return rows.select("case_id", (F.col("n") * 2 + F.col("r.part")).alias("n"), "operator", "target", "hash_before", "r.*", (F.col("r.part") == 1).alias("ends"))
+
+
+def append_records(stored: DataFrame, new: DataFrame, key: str = "case_id", order: str = "n") -> DataFrame:
+    """The new records as they go to the end of their chains: with seq, prev_digest and digest, params in canonical form.
+
+    stored: key, seq, digest. new: key, order, ts_utc, operator, action, target, params (JSON text), result, hash_before,
+    hash_after; with `ends`, a record that ends the operation started by the record before it and says so by start_seq,
+    and `extra`, more params. A result that no record may state, or params without a canonical form, raise and nothing
+    is appended. Chains go on in parallel, each as its rows stream by; two appends to one chain must not overlap."""
+    for name, absent in (("ends", F.lit(False)), ("extra", F.lit(None).cast("string"))):
+        new = new if name in new.columns else new.withColumn(name, absent)
+    told = F.when(F.col("result").isin(*RESULTS), F.col("result")).otherwise(F.raise_error("a record's result is one of " + ", ".join(RESULTS)).cast("string"))
+    heads = chain_heads(stored, key).select(key, F.col("seq").alias("last_seq"), F.col("head").alias("last_digest"))
+    rows = new.withColumn("result", told).join(heads, key, "left")
+    rows = rows.withColumns({"last_seq": F.coalesce("last_seq", F.lit(-1).cast("long")), "last_digest": F.coalesce("last_digest", F.lit(GENESIS))})
+    plain = [c for c in BODY if c not in ("seq", "params", "prev_digest")]
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seq, head = link, -1, GENESIS
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if now is link or r[key] != now:
+                    now, seq, head = r[key], r["last_seq"], r["last_digest"]
+                started = {"start_seq": seq} if r["ends"] else {}
+                params = started | json.loads(r["params"] or "{}") | json.loads(r["extra"] or "{}")
+                seq += 1
+                body = {c: r[c] for c in plain} | {"seq": seq, "params": params, "prev_digest": head}
+                head = hashlib.sha256(canonical(body).encode()).hexdigest()
+                out.append((now, *({**body, "params": canonical(params)}[c] for c in BODY), head))
+            yield pd.DataFrame(out, columns=[key, *BODY, "digest"])
+
+    kinds = ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in BODY)
+    rows = rows.select(key, order, *plain, "params", "ends", "extra", "last_seq", "last_digest").repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInPandas(link, f"{key} {new.schema[key].dataType.simpleString()}, {kinds}, digest string")
+
+
 def chain_heads(records: DataFrame, key: str = "case_id") -> DataFrame:
     return records.groupBy(key).agg(F.max("seq").alias("seq"), F.max_by("digest", "seq").alias("head"))
 
@@ -180,6 +233,39 @@ def manifest_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem is not null")
 
 
+#: What is read back of a manifest.
+MANIFEST = "case_id string, audit struct<head_seq:bigint,head_digest:string>"
+
+
+def case_manifests(heads: DataFrame, evidence: DataFrame, artefacts: DataFrame, version: int) -> DataFrame:
+    """case_id, manifest: each case's chain head, evidence with its digests, and number of artefacts, as canonical JSON.
+
+    heads: case_id, seq, head; evidence: case_id, evidence_id, md5, sha256, capacity_bytes; artefacts: case_id."""
+    item = F.struct(F.col("evidence_id").alias("id"), "md5", "sha256", F.col("capacity_bytes").alias("size"))
+    items = evidence.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    counts = artefacts.groupBy("case_id").agg(F.count(F.lit(1)).alias("artifact_count"))
+    rows = heads.join(items, "case_id", "left").join(counts, "case_id", "left").withColumn("artifact_count", F.coalesce("artifact_count", F.lit(0)))
+    audit = F.struct(F.col("seq").alias("head_seq"), F.col("head").alias("head_digest")).alias("audit")
+    none = F.array().cast(items.schema["evidence"].dataType)
+    body = F.struct("case_id", F.lit(version).alias("schema_version"), audit, F.coalesce("evidence", none).alias("evidence"), "artifact_count")
+    return rows.select("case_id", canonical_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("manifest"))
+
+
+def manifest_heads(manifests: DataFrame, records: DataFrame) -> DataFrame:
+    """case_id, problem, warning of manifests against the chains: one that cannot be read, a chain cut short, another digest;
+    a manifest behind its chain is a warning. manifests: case_id, manifest; records: case_id, seq, digest."""
+    stated = manifests.select("case_id", F.from_json("manifest", MANIFEST).alias("m")).select("case_id", F.col("m.audit.head_seq").alias("seq"), F.col("m.audit.head_digest").alias("stated"))
+    heads = chain_heads(records).select("case_id", F.col("seq").alias("last"))
+    both = stated.join(records.select("case_id", "seq", "digest"), ["case_id", "seq"], "left").join(heads, "case_id", "left")
+    problem = (
+        F.when(F.col("seq").isNull() | F.col("stated").isNull(), "the manifest states no head")
+        .when(F.col("digest").isNull(), F.concat(F.lit("the manifest's head "), F.col("seq").cast("string"), F.lit(" is not in the chain")))
+        .when(F.col("digest") != F.col("stated"), F.concat(F.lit("the digest of record "), F.col("seq").cast("string"), F.lit(" is not the manifest's")))
+    )
+    warning = F.when(problem.isNull() & (F.col("seq") < F.col("last")), F.concat(F.lit("the manifest is behind the chain, which ends at "), F.col("last").cast("string")))
+    return both.select("case_id", problem.alias("problem"), warning.alias("warning"))
+
+
 def case_verified(chains: DataFrame, problems: DataFrame, manifest_records: DataFrame) -> DataFrame:
     """case_id, ok, problems: the chain, the record count its manifest states, and its artefacts, together.
 

@@ -66,6 +66,23 @@ def audit_verify(spark, sf):
     return integrity.verify_chain(_records(spark, sf)).withColumn("warnings", F.array_join("warnings", "; "))
 
 
+@query("""with recursive ev as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_type != 'view', event_id) - 1 as seq from events),
+body as (select user_id, seq, '{"action":"' || event_type || '","hash_after":null,"hash_before":null,"operator":"examiner","params":{"event":' || event_id || '},"prev_digest":"' as head,
+  '","result":"ok","seq":' || seq || ',"target":"' || user_id || '","ts_utc":"' || printf('%06d', event_id) || '"}' as tail from ev),
+c(user_id, seq, digest) as (select user_id, seq, sha256(head || repeat('0', 64) || tail) from body where seq = 0
+  union all select b.user_id, b.seq, sha256(head || c.digest || tail) from c join body b on b.user_id = c.user_id and b.seq = c.seq + 1)
+select user_id as case_id, seq, digest from c""")
+def audit_append(spark, sf):
+    """Views are appended to empty chains, all other events to what these then hold."""
+    rows = table(spark, sf, "events").selectExpr(
+        "user_id as case_id", "event_id as n", "format_string('%06d', event_id) as ts_utc", "'examiner' as operator", "event_type as action", "cast(user_id as string) as target",
+        "concat('{\"event\": ', event_id, '}') as params", "'ok' as result", "cast(null as string) as hash_before", "cast(null as string) as hash_after",
+    )
+    none = spark.createDataFrame([], "case_id long, seq long, digest string")
+    first = integrity.append_records(none, rows.where("action = 'view'"))
+    return first.unionByName(integrity.append_records(first, rows.where("action != 'view'"))).select("case_id", "seq", "digest")
+
+
 @query("""select (event_id % 50)::varchar as target, arg_max(event_type, event_id) as params from events where event_type != 'view' group by 1""")
 def latest_params(spark, sf):
     rows = table(spark, sf, "events").where("event_type != 'view'").selectExpr("1 as case_id", "'x' as action", "cast(event_id % 50 as string) as target", "event_type as params", "event_id as seq")
@@ -264,4 +281,27 @@ def open_steps(spark, sf):
     return certificate.open_steps(case_progress(spark, sf))
 
 
+@query(f"""with {SEGMENTS_SQL}, d as (select doc_id, doc_id % 50 as evidence_id, doc_id % 7 = 3 as gone from documents where text is not null),
+n as (select count(*) filter (where not gone) as tendered, count(*) filter (where gone) as withheld from d), r as (select evidence_id, count(*) as recordings, count(distinct channel) as channels from seg group by 1)
+select evidence_id, case when evidence_id % 3 = 0 then 'IEA_65B' else 'BSA_63' end as statute, case when evidence_id % 4 = 0 then 'SHA256' when evidence_id % 4 = 1 then 'MD5' when evidence_id % 4 = 2 then 'SHA256,MD5' else '' end as ticked,
+  tendered + (select count(distinct c_custkey % 50) from customer where c_custkey % 50 % 2 = 0) as tendered, withheld + (select count(distinct c_custkey % 50) from customer where c_custkey % 50 % 2 != 0) as withheld,
+  coalesce(recordings, 0) as recordings, coalesce(channels, 0) as channels, 'Disk make: M' || evidence_id || case when evidence_id % 5 != 0 then '; Disk serial: S' || evidence_id else '' end || '; Provenance class: A' as disk
+from (select distinct c_custkey % 50 as evidence_id from customer) left join r using (evidence_id), n""")
+def certificates(spark, sf):
+    from ..operators import certificate
+
+    evidence = table(spark, sf, "customer").selectExpr("c_custkey % 50 as evidence_id").distinct().selectExpr(
+        "1 as case_id", "evidence_id", "cast(null as string) as source_path", "date'2024-06-30' + cast(case when evidence_id % 3 = 0 then 0 else 1 end as int) as instituted",
+        "case when evidence_id % 4 in (1, 2) then 'm' end as md5", "case when evidence_id % 2 = 0 then 's' end as sha256", "concat('M', evidence_id) as disk_make", "'' as disk_model",
+        "case when evidence_id % 5 != 0 then concat('S', evidence_id) end as disk_serial", "cast(0 as bigint) as capacity_bytes", "'A' as provenance_class",
+    )
+    docs = table(spark, sf, "documents").where("text is not null")
+    artefacts = docs.select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").cast("string").alias("path"), F.lit("report").alias("kind"), F.octet_length("text").cast("long").alias("size_bytes"))
+    files = docs.where("doc_id % 7 != 3").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    tenders = certificate.tender_rows(artefacts, files).withColumn("case_id", F.lit(1))
+    images = evidence.withColumn("evidence_id", F.col("evidence_id").cast("string"))
+    made = certificate.certificates(evidence, certificate.enclosures(images, tenders), t.segments(spark, sf).select("evidence_id", "channel"))
+    return made.drop("case_id").withColumn("ticked", F.array_join("ticked", ","))
+
+
 del _ANOMALIES, DAY, FRAMES_SQL, MICROS, queries_bytes, _CANDIDATE
