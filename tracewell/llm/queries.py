@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality, spotsigs, suffix_dedup, warc
+from . import exact_dedup, exact_topk, html_text, line_dedup, mixing, near_dedup, packing, quality, spotsigs, suffix_dedup, warc
 
 QUERIES = {
     "op1_main_text": html_text.op1_main_text,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op13_exact_topk": exact_topk.op13_exact_topk,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op13_exact_topk": exact_topk.ORACLE,
 }
