@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, exact_topk, html_text, line_dedup, mixing, near_dedup, packing, quality, source_audit, spotsigs, suffix_dedup, warc
+from . import exact_dedup, exact_topk, html_text, line_dedup, mixing, near_dedup, packing, quality, source_audit, spelling, spotsigs, suffix_dedup, warc
 
 QUERIES = {
     "op1_main_text": html_text.op1_main_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_source_audit": source_audit.op11_source_audit,
+    "op12_spelling": spelling.op12_spelling,
     "op13_exact_topk": exact_topk.op13_exact_topk,
 }
 ORACLES = {
