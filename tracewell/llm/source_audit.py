@@ -171,6 +171,7 @@ def vocabulary(counts: DataFrame, least: int) -> DataFrame:
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("total").alias("all_occurrences"))
     langs = langs.withColumn("blocks", F.ceil(F.col("n_terms") / BLOCK).cast("int"))
     dealt = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    dealt = dealt.repartition("lang", "block")  # else the window below takes a language's terms as the join dealt them
     of_block = Window.partitionBy("lang", "block")
     return dealt.withColumns({"number": F.row_number().over(of_block.orderBy("term")).cast("long") - 1, "size": F.count(F.lit(1)).over(of_block)})
 
