@@ -56,6 +56,105 @@ def test_frames_of_files_scan_and_codec(spark):
     assert sorted(r.offset for r in touched.collect()) == [50, 100]
 
 
+def image(rng, n):
+    """Frames, some with frames in their payload, some noise, some spoilt."""
+    out = bytearray()
+    for i in range(n):
+        inner = frame(0xFC, channel=7, sequence=i, payload=rng.randbytes(rng.randrange(30)))
+        payload = rng.choice([b"p" * rng.randrange(50), inner, inner + b"DHAV" + inner, b"dhav" + rng.randbytes(9), b"q" * rng.randrange(1500)])
+        made = frame(rng.choice([0xFD, 0xFC, 0xF0, 0xF1]), i % 3, i, payload=payload, extension=b"" if i % 2 else b"\x81\0\x0c\x19")
+        out += rng.choice([made] * 6 + [made[:-1], made[:24] + made, b"noise" + made, b"DHAV"])
+    return bytes(out)
+
+
+def windows_of(data, chunk, overlap=320, evidence=1):
+    return [(evidence, at, bytearray(data[at : at + chunk + overlap])) for at in range(0, len(data), chunk)]
+
+
+@pytest.mark.parametrize("chunk", [400, 5000])
+def test_frames_of_windows_are_those_of_the_walk(spark, monkeypatch, chunk):
+    from tracewell.operators import chains
+
+    monkeypatch.setattr(chains, "RANGE", 30)
+    rng = random.Random(chunk)
+    images = {1: image(rng, 120), 2: image(rng, 40), 3: b"", 4: frame()[:-1]}
+    chunks = spark.createDataFrame([w for k, d in images.items() for w in windows_of(d, chunk, evidence=k)], "evidence_id int, offset long, bytes binary").repartition(3)
+    made = formats.frames_of_windows(chunks, chunk=chunk).collect()
+    fields = ("length", "kind", "channel", "sequence", "codec", "fps", "date", "tick")
+    got = sorted((r.evidence_id, r.offset, *(r[f] for f in fields), r.payload_offset, r.payload_length) for r in made)
+    want = [(k, at, *(f[x] for x in fields), f["payload"], at + f["length"] - 8 - f["payload"]) for k, d in images.items() for at, f in formats.walk_frames(d)]
+    assert got == want
+    assert any(r[4] == 7 for r in got)  # frames inside spoilt ones are found
+    # in pieces: as the walk between their bounds
+    cuts = {1: [(0, 1000), (1000, 1500), (1700, len(images[1]))], 2: [(13, len(images[2]) - 5)]}
+    pieces = spark.createDataFrame([(k, a, b) for k, cs in cuts.items() for a, b in cs], "evidence_id int, start long, end long")
+    made = formats.frames_of_windows(chunks, pieces, chunk).collect()
+    assert sorted((r.evidence_id, r.piece, r.offset) for r in made) == [(k, a, at) for k, cs in cuts.items() for a, b in cs for at, _ in formats.walk_frames(images[k], a, b)]
+
+
+def plain_recordings(data, holes, max_gap=0):
+    """Reassembly by loops over one image."""
+    hits = [(at, f["length"]) for at in range(len(data)) if data.startswith(b"DHAV", at) and (f := formats.frame_at(data, at))]
+    spans = []
+    for at, n in hits:
+        if spans and at - spans[-1][1] <= max_gap:
+            spans[-1][1] = max(spans[-1][1], at + n)
+        else:
+            spans.append([at, at + n])
+    out = []
+    for low, high in spans:
+        edges = [low, *(x for o, n in holes for x in (o, o + n) if low < o + n and o < high), high]
+        for a, b in zip(edges[::2], edges[1::2]):
+            chain, codecs = [], {}
+            for at, f in formats.walk_frames(data, a, b) if a < b else ():
+                video = f["kind"] in ("I", "P", "B")
+                if video and f["codec"]:
+                    codecs[f["channel"]] = f["codec"]
+                codec = codecs.get(f["channel"]) if video else None
+                if chain and (f["channel"] != chain[-1][2] or f["date"] < chain[-1][3] or f["sequence"] < chain[-1][4] or at > chain[-1][0] + chain[-1][1]):
+                    out.append(chain)
+                    chain = []
+                chain.append((at, f["length"], f["channel"], f["date"], f["sequence"], f["kind"], codec))
+            out.append(chain)
+    kept = []
+    for chain in out:
+        while chain and chain[0][5] != "I":
+            chain = chain[1:]
+        if chain:
+            codecs = {c[6] for c in chain if c[6]}
+            kept.append((chain[0][0], chain[-1][0] + chain[-1][1] - chain[0][0], len(chain), sum(c[5] == "I" for c in chain), codecs.pop() if len(codecs) == 1 else "unknown"))
+    return sorted(kept)
+
+
+def test_reassembly_equals_loops(spark):
+    from tracewell.operators import reassembly
+
+    rng = random.Random(8)
+    images = {k: image(rng, 60) for k in range(4)}
+    holes = {0: [], 1: [(512, 512)], 2: [(1024, 512), (2048, 1024)], 3: [(0, 512), (3000, 1)]}
+    chunks = spark.createDataFrame([w for k, d in images.items() for w in windows_of(d, 700, evidence=k)], "evidence_id int, offset long, bytes binary").repartition(3)
+    gaps = spark.createDataFrame([(k, *h) for k, hs in holes.items() for h in hs], "evidence_id int, offset long, length long")
+    made = reassembly.reassembled(chunks, gaps, 700).collect()
+    for k in images:
+        rows = sorted((r for r in made if r.evidence_id == k), key=lambda r: r.position)
+        assert [(r.offset, r.length, r.frame_count, r.keyframes, r.codec) for r in rows] == plain_recordings(images[k], holes[k])
+        assert [r.position for r in rows] == [*range(1, len(rows) + 1)] and {r.tier for r in rows} <= {"T4" if holes[k] else "T3"}
+        assert all(n.startswith("bounded") == (i == 3 and bool(r.bounded_by)) for r in rows for i, n in enumerate(r.notes))
+
+
+def test_surviving_ranges_of_an_overwritten_recording(spark):
+    """An image as of fixture S-03: a recording at 65536, overwritten from 67616 on for 16384 bytes."""
+    from tracewell.operators import reassembly
+
+    one = frame(payload=b"v" * 28)  # 64 bytes
+    data = bytearray(bytes(65536) + one * 32 + frame(payload=b"w" * 400) * 40)
+    data[67616 : 67616 + 16384] = b"\xee" * 16384
+    chunks = spark.createDataFrame(windows_of(bytes(data), 65536), "evidence_id int, offset long, bytes binary")
+    made = reassembly.reassembled(chunks, spark.createDataFrame([], "evidence_id int, offset long, length long"), 65536).collect()
+    assert [(r.tier, r.offset, r.length, r.frame_count) for r in made if r.offset < 67616] == [("T3", 65536, 2048, 32)]
+    assert all(r.offset >= 67616 + 16384 for r in made[1:])
+
+
 def test_a_frame_longer_than_windows_is_validated_whole(spark):
     body = bytes(range(256)) * 400
     data = b"x" * 90 + frame(payload=body) + frame()[:-1] + frame(payload=body[:300])

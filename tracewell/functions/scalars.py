@@ -24,6 +24,11 @@ def packed_datetime(raw: Column) -> Column:
     )
 
 
+def micros(moment: Column) -> Column:
+    """A timestamp without zone as microseconds since 1970."""
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), moment)
+
+
 #: Unix times accepted as device times, and the mark of a recording in progress.
 UNIX_LOW, UNIX_HIGH, RECORDING_NOW = 946_684_800, 4_102_444_800, 0x7FFFFFFF
 

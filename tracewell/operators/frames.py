@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweeps
+
 SPAN = ["evidence_id", "span_id"]
 VIDEO = ("I", "P", "B")
 SECOND = 1_000_000
@@ -22,18 +24,19 @@ def with_runs(frames: DataFrame) -> DataFrame:
     """Adds run (1 upwards in a span) and breaks: why the chain breaks before this frame, the first reason that holds.
 
     The channel changes, time or sequence number run backwards, or bytes are missing; unknown values break nothing."""
-    order = Window.partitionBy(*SPAN).orderBy("offset")
-    p = {c: F.lag(c).over(order) for c in ("channel", "local_us", "sequence")}
-    end = F.lag(F.col("offset") + F.col("length")).over(order)
+    rows = sweeps.dealt(frames, SPAN, ["offset"])
+    before = {f"__{c}": ("lag", c) for c in ("channel", "local_us", "sequence")}
+    rows = sweeps.swept(rows, SPAN, ["offset"], **before, __end=("lag", F.col("offset") + F.col("length")))
+    p, end = {c: F.col(f"__{c}") for c in ("channel", "local_us", "sequence")}, F.col("__end")
     why = (
         F.when(F.col("channel") != p["channel"], F.concat(F.lit("channel changed "), p["channel"].cast("string"), F.lit(" -> "), F.col("channel").cast("string")))
         .when(F.col("local_us") < p["local_us"], "timestamp ran backwards")
         .when(F.col("sequence") < p["sequence"], "sequence number ran backwards")
         .when(F.col("offset") > end, F.concat(F.lit("byte gap of "), (F.col("offset") - end).cast("string")))
     )
-    rows = frames.withColumn("breaks", why)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("run", 1 + F.sum(F.when(F.col("breaks").isNotNull(), 1).otherwise(0)).over(upto))
+    rows = rows.withColumn("breaks", why).withColumn("__breaks", F.when(F.col("breaks").isNotNull(), 1).otherwise(0))
+    rows = sweeps.swept(rows, SPAN, ["offset"], __runs=("sum", "__breaks")).withColumn("run", 1 + F.col("__runs"))
+    return rows.drop(*before, "__end", "__breaks", "__runs")
 
 
 def runs(frames: DataFrame) -> DataFrame:
@@ -42,11 +45,11 @@ def runs(frames: DataFrame) -> DataFrame:
     Columns: offset, length, channel and codec (where all frames that state one agree), start_us, end_us, frame_count,
     keyframes, trimmed_bytes, ended."""
     rows = with_runs(frames)
-    rows = rows.withColumn("ends", F.lead("breaks").over(Window.partitionBy(*SPAN).orderBy("offset")))
-    of_run = Window.partitionBy(*SPAN, "run")  # within a span's order: no further exchange
-    first_key = F.min(F.when(F.col("kind") == "I", F.col("offset"))).over(of_run)
-    rows = rows.withColumns({"kept": F.col("offset") >= first_key, "has_key": first_key.isNotNull()}).where("has_key")
-    kept = F.col("kept")
+    # a frame is kept if its run has had a keyframe: the latest one is not before the latest break
+    rows = sweeps.swept(
+        rows, SPAN, ["offset"], ends=("lead", "breaks"), __key=("last", F.when(F.col("kind") == "I", F.col("offset"))), __opened=("last", F.when(F.col("breaks").isNotNull(), F.col("offset")))
+    )
+    kept = F.col("__key").isNotNull() & (F.col("__opened").isNull() | (F.col("__key") >= F.col("__opened")))
     timed = F.when(kept & F.col("local_us").isNotNull(), F.col("offset"))
     made = rows.groupBy(*SPAN, "run").agg(
         F.min(F.when(kept, F.col("offset"))).alias("offset"),
@@ -56,7 +59,7 @@ def runs(frames: DataFrame) -> DataFrame:
         F.min_by("local_us", timed).alias("start_us"), F.max_by("local_us", timed).alias("end_us"),
         F.count_if(kept).alias("frame_count"), F.count_if(kept & (F.col("kind") == "I")).alias("keyframes"),
         F.sum(F.when(~kept, F.col("length")).otherwise(0)).alias("trimmed_bytes"), F.max("ends").alias("ended"),
-    )
+    ).where("frame_count > 0")
     return made.select(
         *SPAN, "run", "offset", (F.col("end") - F.col("offset")).alias("length"),
         F.when(F.col("a_channel") == F.col("channel"), F.col("channel")).alias("channel"),

@@ -1,7 +1,8 @@
 """Interval operators over byte ranges and time: islands, complements, subtraction, coverage and tier merging.
 
 Intervals are half open, `start` included and `end` not, as integers (bytes or microseconds). Every window is partitioned
-by the caller's keys (evidence, channel); no operator joins a table with itself on a range.
+by the caller's keys (evidence, channel), and one key's boundaries are swept by many tasks where a key is hot (see sweeps);
+no operator joins a table with itself on a range.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweeps import dealt, is_hot, ranges, swept
+
 #: What a byte can be, the first one winning where claims overlap.
 BUCKETS = ("unreadable", "structural", "parsed", "carved", "unaccounted")
 TIERS = ("T1", "T2", "T3", "T4")
@@ -20,10 +23,9 @@ SECTOR = 512
 
 def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
     """keys, start, end, members: intervals that overlap, touch or lie within max_gap of each other, joined."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) - reach > max_gap), 1).otherwise(0)
-    marked = df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = swept(dealt(df.select(*keys, start, end), keys, [start, end]), keys, [start, end], __reach=("max_before", end))
+    new = F.when(F.col("__reach").isNull() | (F.col(start) - F.col("__reach") > max_gap), 1).otherwise(0)
+    marked = swept(rows.withColumn("__new", new), keys, [start, end], __island=("sum", "__new"))
     joined = marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("members"))
     return joined.drop("__island")
 
@@ -34,8 +36,7 @@ def complement(df: DataFrame, keys: list[str], bounds: DataFrame, low: str = "lo
     clipped = inside.select(*keys, F.greatest(start, low).alias(start), F.least(end, high).alias(end))
     edges = bounds.select(*keys, F.col(low).alias(start), F.col(low).alias(end)).unionByName(bounds.select(*keys, F.col(high).alias(start), F.col(high).alias(end)))
     every = islands(clipped.unionByName(edges), keys, start, end)
-    before = F.lag(end).over(Window.partitionBy(*keys).orderBy(start))
-    gaps = every.select(*keys, before.alias("__from"), F.col(start).alias("__to")).where("__from < __to")
+    gaps = swept(dealt(every, keys, [start]), keys, [start], __from=("lag", end)).select(*keys, "__from", F.col(start).alias("__to")).where("__from < __to")
     return gaps.select(*keys, F.col("__from").alias(start), F.col("__to").alias(end))
 
 
@@ -51,13 +52,14 @@ def subtract(spans: DataFrame, holes: DataFrame, keys: list[str], near: int = SE
             events = one if events is None else events.unionByName(one)
     # two spans that touch stay two pieces: the place where one ends and the next starts is a boundary of its own
     cut = spans.select(*keys, F.col("start").alias("at")).distinct().withColumn("opens", F.lit(True))
-    points = events.unionByName(cut, allowMissingColumns=True).repartition(*keys).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("h").alias("h"), F.max("opens").alias("opens"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = points.select(*keys, "at", "opens", F.lead("at").over(order).alias("next"), F.sum("s").over(running).alias("s"), F.sum("h").over(running).alias("h"))
-    runs = runs.withColumn("in", (F.col("s") > 0) & (F.col("h") == 0))
-    first = F.when(F.col("opens").isNotNull() | ~F.coalesce(F.lag("in").over(order), F.lit(False)), 1).otherwise(0)
-    runs = runs.withColumn("__piece", F.sum(first).over(running)).where("in and next is not null")
+    events = events.unionByName(cut, allowMissingColumns=True)
+    hot = is_hot(events, keys)
+    points = (events if hot else events.repartition(*keys)).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("h").alias("h"), F.max("opens").alias("opens"))
+    points = ranges(points, keys, ["at"]) if hot else points
+    runs = swept(points.withColumnsRenamed({"s": "__s", "h": "__h"}), keys, ["at"], next=("lead", "at"), s=("sum", "__s"), h=("sum", "__h"))
+    runs = swept(runs.withColumn("in", (F.col("s") > 0) & (F.col("h") == 0)), keys, ["at"], __was=("lag", "in"))
+    first = F.when(F.col("opens").isNotNull() | ~F.coalesce("__was", F.lit(False)), 1).otherwise(0)
+    runs = swept(runs.withColumn("__first", first), keys, ["at"], __piece=("sum", "__first")).where("in and next is not null")
     pieces = runs.groupBy(*keys, "__piece").agg(F.min("at").alias("start"), F.max("next").alias("end")).drop("__piece")
     # a hole lies in the cells of its start and its end, a piece looks in the cells that `near` reaches from its own
     cell = lambda c: F.floor(c / near).cast("long")
@@ -76,21 +78,22 @@ def coverage_map(images: DataFrame, claims: DataFrame) -> DataFrame:
     """evidence_id, offset, length, bucket: a tiling of each image [0, size) by the strongest claim on each byte.
 
     images: evidence_id, size. claims: evidence_id, offset, length, bucket. Claims are clipped; an image of size 0 has
-    no runs. One boundary sweep: a shuffle by evidence, whatever the size of the image."""
+    no runs. One boundary sweep: a shuffle by evidence, or by ranges of offsets where one image has most of the claims."""
     high = F.least("size", F.col("offset") + F.col("length"))
     clipped = claims.join(images, "evidence_id").select("evidence_id", "bucket", F.greatest(F.lit(0), "offset").alias("low"), high.alias("high")).where("high > low")
     edge = lambda at, by: clipped.select("evidence_id", F.col(at).alias("at"), "bucket", F.lit(by).alias("by"))
     frame = images.where("size > 0").select("evidence_id", F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"))
     events = edge("low", 1).unionByName(edge("high", -1)).unionByName(frame.select("evidence_id", "at", F.lit("").alias("bucket"), F.lit(0).alias("by")))
     depth = [F.sum(F.when(F.col("bucket") == b, F.col("by")).otherwise(0)).alias(b) for b in BUCKETS[:-1]]
-    points = events.repartition("evidence_id").groupBy("evidence_id", "at").agg(*depth)  # dealt once, for all that follows
-    order = Window.partitionBy("evidence_id").orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = points.select("evidence_id", "at", F.lead("at").over(order).alias("next"), *[F.sum(b).over(upto).alias(b) for b in BUCKETS[:-1]])
+    hot, keys = is_hot(events, ["evidence_id"]), ["evidence_id"]
+    points = (events if hot else events.repartition("evidence_id")).groupBy("evidence_id", "at").agg(*depth)  # dealt once, for all that follows
+    points = ranges(points, keys, ["at"]) if hot else points
+    runs = swept(points.withColumnsRenamed({b: f"__{b}" for b in BUCKETS[:-1]}), keys, ["at"], next=("lead", "at"), **{b: ("sum", f"__{b}") for b in BUCKETS[:-1]})
     won = F.coalesce(*[F.when(F.col(b) > 0, F.lit(b)) for b in BUCKETS[:-1]], F.lit(BUCKETS[-1]))
-    runs = runs.where("next is not null").select("evidence_id", "at", "next", won.alias("bucket"))
-    changed = F.when(F.lag("bucket").over(order).eqNullSafe(F.col("bucket")), 0).otherwise(1)
-    runs = runs.withColumn("new", changed).withColumn("run", F.sum("new").over(upto))
+    runs = runs.where("next is not null").withColumn("bucket", won)
+    runs = swept(runs, keys, ["at"], __was=("lag", "bucket"))
+    changed = F.when(F.col("__was").eqNullSafe(F.col("bucket")), 0).otherwise(1)
+    runs = swept(runs.withColumn("__new", changed), keys, ["at"], run=("sum", "__new"))
     tiled = runs.groupBy("evidence_id", "run", "bucket").agg(F.min("at").alias("offset"), (F.max("next") - F.min("at")).alias("length"))
     return tiled.select("evidence_id", "offset", "length", "bucket")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import carving, flows, intervals
+from ..operators import reassembly as carved
 from ..sources import evidence, formats
 from . import tables as t
 from .tables import CLAIMS_SQL, table
@@ -171,13 +172,17 @@ def signature_scan(spark, sf):
     return carving.scan(chunks, {"<p>": (b"<p>", None), "</p>": (b"</p>", None)}, _CHUNK)
 
 
+def _le32(n):
+    number = F.lpad(F.hex(n), 8, "0")
+    return F.unhex(F.concat(*[F.substring(number, k, 2) for k in (7, 5, 3, 1)]))
+
+
 @query("""select page_id as evidence_id, page_id % 300 as "offset", 32 + strlen(coalesce(html, ''))::bigint as length, 'frame' as signature from pages where page_id % 3 != 1""")
 def frame_scan(spark, sf):
     """Each page as an image: some filler, then a frame with the page's bytes as payload (its trailer spoilt in every
     third), scanned in windows smaller than most frames."""
     page = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    number = F.lpad(F.hex(F.octet_length(page) + 32), 8, "0")
-    stated = F.unhex(F.concat(*[F.substring(number, k, 2) for k in (7, 5, 3, 1)]))  # little-endian
+    stated = _le32(F.octet_length(page) + 32)
     head = F.concat(F.lit(b"DHAV\xfd\0\1\0" + bytes(4)), stated, F.lit(bytes(8)))
     tail = F.concat(F.when(F.col("page_id") % 3 == 1, F.lit(b"dhaV")).otherwise(F.lit(b"dhav")), stated)
     filler = F.encode(F.expr("repeat('.', cast(page_id % 300 as int))"), "UTF-8")
@@ -186,6 +191,74 @@ def frame_scan(spark, sf):
     return carving.scan(chunks, {"frame": formats.SIGNATURES["frame"]}, _CHUNK)
 
 
+# Each document as a disk image: a frame for each line, with the line as payload, or with a frame of the line as payload.
+_CHUNK_OF_DISK = 4096
+
+
+def _disks(spark, sf):
+    """Windows of the images, and their unreadable ranges."""
+    lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    i = F.col("k") + 1
+    at = (5 << 17) + (3 << 22) + (26 << 26) + F.floor(i / 3600) % 24 * 4096 + F.floor(i / 60) % 60 * 64 + i % 60
+    sequence = i - F.when(i % 64 == 0, 5).otherwise(0)
+
+    def frame(kind, channel, records, payload):
+        size = 32 + F.octet_length(records) + F.octet_length(payload)
+        head = F.concat(F.lit(b"DHAV"), kind, F.lit(b"\0"), F.substring(_le32(channel), 1, 1), F.lit(b"\0"), _le32(sequence), _le32(size), _le32(at), F.lit(b"\0\0"), F.substring(_le32(F.octet_length(records)), 1, 1), F.lit(b"\0"))
+        return F.concat(head, records, payload, F.lit(b"dhav"), _le32(size))
+
+    none, payload, channel = F.lit(b""), F.encode("line", "UTF-8"), F.floor(i / 40) % 3
+    payload = F.when(i % 3 == 0, frame(F.lit(b"\xfc"), F.lit(7), none, payload)).otherwise(payload)
+    kind = F.when(i % 5 == 1, F.lit(b"\xfd")).when(i % 11 == 0, F.lit(b"\xf0")).otherwise(F.lit(b"\xfc"))
+    records = F.when(i % 5 == 1, F.when(channel == 1, F.lit(b"\x81\0\x0c\x19")).otherwise(F.lit(b"\x81\0\x02\x19"))).otherwise(none)
+    framed = lines.select(F.col("doc_id").alias("evidence_id"), F.struct("k", frame(kind, channel, records, payload).alias("bytes")).alias("f"))
+    parts = F.transform(F.array_sort(F.collect_list("f")), lambda f: f.bytes)
+    images = framed.groupBy("evidence_id").agg(F.aggregate(parts, F.lit(b""), lambda whole, x: F.concat(whole, x)).alias("content"))
+    chunks = images.select("evidence_id", F.explode(carving.windows(F.col("content"), _CHUNK_OF_DISK, 512)).alias("w")).select("evidence_id", "w.offset", "w.bytes")
+    size = F.octet_length("content").cast("long")
+    middle = F.when(F.col("evidence_id") % 4 < 2, 512 * F.floor(size / 1024))
+    holes = F.array_compact(F.array(middle, F.when((F.col("evidence_id") % 4 == 1) & (size >= 4096), F.lit(0).cast("long"))))
+    return chunks, images.select("evidence_id", F.explode(holes).alias("offset"), F.lit(512).cast("long").alias("length"))
+
+
+_DISK_SQL = """with ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
+f as (select doc_id, i, strlen(line) as n, case when i % 5 = 1 then 'I' when i % 11 = 0 then 'audio' else 'P' end as kind, ((i // 40) % 3)::int as channel, i - case when i % 64 = 0 then 5 else 0 end as sequence,
+  epoch_us(timestamp '2026-03-05') + (i % 86400) * 1000000 as t from ln),
+g as (select *, 24 + case when kind = 'I' then 4 else 0 end as head, 24 + case when kind = 'I' then 4 else 0 end + n + case when i % 3 = 0 then 32 else 0 end + 8 as l from f),
+d as (select *, (sum(l) over (partition by doc_id order by i) - l)::bigint as o, (sum(l) over (partition by doc_id))::bigint as size from g),
+disk as (select distinct doc_id, size from d),
+hole as (select doc_id, 512 * (size // 1024) as a, 512 * (size // 1024) + 512 as b from disk where doc_id % 4 < 2 union all select doc_id, 0, 512 from disk where doc_id % 4 = 1 and size >= 4096),
+cand as (select doc_id, o, l, kind, channel, sequence, t, case when kind = 'audio' then null when channel = 1 then 'h265' else 'h264' end as codec, o as oo, l as ol from d
+  union all select doc_id, o + head, 32 + n, 'P', 7, sequence, t, null, o, l from d where i % 3 = 0)"""
+
+_PIECE_SQL = _DISK_SQL + """, low as (select doc_id, 0 as a from disk union select doc_id, b from hole),
+piece as (select low.doc_id, low.a, least(size, coalesce((select min(h.a) from hole h where h.doc_id = low.doc_id and h.a >= low.a), size)) as b from low join disk using (doc_id)),
+walk as (select c.*, p.a as pa, p.b as pb from cand c join piece p on p.doc_id = c.doc_id and c.o >= p.a and c.o + c.l <= p.b where c.o = c.oo or not (c.oo >= p.a and c.oo + c.ol <= p.b))"""
+
+
+@query(_DISK_SQL + """ select doc_id as evidence_id, o as "offset", l as length, kind, channel, sequence from cand where o = oo""")
+def frame_walk(spark, sf):
+    return formats.frames_of_windows(_disks(spark, sf)[0], chunk=_CHUNK_OF_DISK).select("evidence_id", "offset", "length", "kind", "channel", "sequence")
+
+
+@query(_PIECE_SQL + """,
+w as (select *, lag(channel) over w as pc, lag(t) over w as pt, lag(sequence) over w as ps, lag(o + l) over w as pe from walk window w as (partition by doc_id, pa order by o)),
+y as (select *, case when channel != pc then 'channel changed ' || pc || ' -> ' || channel when t < pt then 'timestamp ran backwards' when sequence < ps then 'sequence number ran backwards' when o > pe then 'byte gap of ' || (o - pe) end as why from w),
+r as (select *, sum(case when why is not null then 1 else 0 end) over (partition by doc_id, pa order by o) as run from y),
+k as (select *, min(case when kind = 'I' then o end) over (partition by doc_id, pa, run) as key from r),
+ended as (select doc_id, pa, run - 1 as run, why from r where why is not null),
+x as (select doc_id, pa, any_value(pb) as pb, run, min(o) filter (where o >= key) as o, max(o + l) as e, max(channel) as channel, min(t) filter (where o >= key) as s, max(t) filter (where o >= key) as z,
+  count(*) filter (where o >= key) as n, count(*) filter (where kind = 'I') as keys, coalesce(sum(l) filter (where o < key), 0)::bigint as trimmed from k where key is not null group by doc_id, pa, run)
+select x.doc_id as evidence_id, row_number() over (partition by x.doc_id order by o) as position, case when x.doc_id % 4 < 2 then 'T4' else 'T3' end as tier, o as "offset", e - o as length, channel,
+  case when channel = 1 then 'h265' else 'h264' end as codec, s as start_us, z as end_us, n as frame_count, keys as keyframes, (case when n <= 1 then 0.2 when keys >= 2 then 0.9 else 0.7 end)::double as confidence,
+  trimmed as trimmed_bytes, coalesce(why, 'end of span') as ended,
+  coalesce((select string_agg(h.a || '+' || (h.b - h.a), ', ' order by h.a) from hole h where h.doc_id = x.doc_id and (h.a - pb between 0 and 512 or pa - h.b between 0 and 512)), '') as bounded_by
+from x left join ended using (doc_id, pa, run)""")
+def reassembly(spark, sf):
+    made = carved.reassembled(*_disks(spark, sf), _CHUNK_OF_DISK).drop("notes", "confidence_note")
+    return made.withColumn("bounded_by", F.array_join(F.transform("bounded_by", lambda h: F.concat_ws("+", h.start.cast("string"), (h.end - h.start).cast("string"))), ", "))
+
+
 @query("""select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents""")
 def triple_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalars.digests(F.col("text")).alias("d")).select("doc_id", "d.*")
