@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
 _own_folder: dict[str, str] = {}
-_scratch: list[list[str]] = []
+#: The open `scratch` blocks of this thread or task, each the paths of its tables.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+_cleaning = {"lock": threading.Lock(), "open": 0, "before": None}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +45,11 @@ def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     costs no recomputation and nothing that depends on task order is evaluated twice. Inside `scratch` the table goes
     when the block ends; with `keep` it stays for the block around it, or for good."""
     path = new_path(df.sparkSession, tag)
+    blocks = _scratch.get()
+    blocks = blocks[: len(blocks) - keep]
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
-    frames = _scratch[: len(_scratch) - keep]
-    if frames:
-        frames[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,12 +64,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession):
     """Within it, shuffle files go when the query that made them ends, as its result is written, and at its end the
     tables written in it go too: a chain of written tables then needs the disk of what is still read."""
-    _scratch.append([])
+    made: list[str] = []
+    token = _scratch.set((*_scratch.get(), made))
     try:
         with cleaned_shuffles(spark):
             yield
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(token)
+        for path in made:
             drop_path(spark, path)
 
 
@@ -109,9 +116,16 @@ def cleaned_shuffles(spark: SparkSession):
     """Within it, shuffle files go when the query that made them ends, as its result is written: a chain of written
     tables then needs the disk of its largest step, not of all its steps."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    with _cleaning["lock"]:  # the setting is the session's: the first block sets it, the last gives it back
+        if not _cleaning["open"]:
+            _cleaning["before"] = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _cleaning["open"] += 1
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        with _cleaning["lock"]:
+            _cleaning["open"] -= 1
+            before = _cleaning["before"]
+            if not _cleaning["open"]:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
