@@ -10,7 +10,8 @@ share is spread over them. Ids are made once; what is written is a row of number
 
 The ids are those of the vocabulary's tokenizers file without special tokens added: a special token's string in a text
 is that token, as the file has it. tiktoken makes them from the ranks of the same vocabulary and the file's special
-tokens (tests hold it against the tokenizers library, which is four times slower here).
+tokens (tests hold it against the tokenizers library, which is four times slower here). A text with BLANKS white-space
+characters in a row goes through the tokenizers library, with the same ids: tiktoken's pattern overflows on such runs.
 
 The table of slots goes to every task. Its size is bounded by `size` alone: a step of the packing fills packs up or
 splits a pattern in two, and a length takes as many steps as there are patterns at most; at 1024 the tables measured
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -41,6 +43,9 @@ from .common import scratch, spread, written
 SIZE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
+#: White space in a row from which on the tokenizers library makes the ids: tiktoken's pattern gives up on 1,000,000.
+BLANKS = 100_000
+_BLANK_RUN = re.compile(rf"\s{{{BLANKS}}}")
 
 
 @cache
@@ -53,7 +58,15 @@ def encoder(ranks_file: str, tokenizer_file: str) -> Callable[[str], list[int]]:
     with open(tokenizer_file, encoding="utf-8") as file:
         special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
     made = tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= BLANKS and _BLANK_RUN.search(text):
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(tokenizer_file).encode(text, add_special_tokens=False).ids
+        return made.encode(text, allowed_special="all")
+
+    return encode
 
 
 def _pieces(files: tuple[str, str], size: int):
