@@ -2,7 +2,8 @@
 
 Lines are exploded, normalised and hashed (two 64-bit hashes); distinct documents are counted for each hash; the
 documents then drop the hashes over the threshold and are put together again in line order. All of it is built-in
-functions. Only hashes and places travel for the count; a text travels once, to meet the places of its dropped lines.
+functions. Only hashes travel for the count; a text travels once, to meet its document's list of dropped hashes, where its
+lines are looked up by binary search.
 A line that a third of all documents share is one row for each document, dealt by hash and document before it is
 counted, and its join is left to adaptive skew splitting.
 
@@ -34,43 +35,40 @@ def _hashed(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b")))
 
 
-def _lines() -> Column:
-    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
+def _steps(size: Column) -> Column:
+    """The powers of two up to size, the largest first."""
+    return F.transform(F.sequence(F.floor(F.log2(size)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
 
 
-def _text_hash() -> Column:
-    """With doc_id, what tells rows apart: rows that share both have the same lines."""
-    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text").alias("b"))
+def _among(dropped: Column, h: Column) -> Column:
+    """Whether a hash is in a sorted list, by binary search: a step for each digit of the list's size."""
+    last = F.aggregate(dropped.steps, F.lit(-1), lambda at, step: F.when(F.get(dropped.sorted, at + step) <= h, at + step).otherwise(at))
+    return F.coalesce((last >= 0) & (F.get(dropped.sorted, last) == h), F.lit(False))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """(doc_id, __text, __dropped): for each document with any, the places of its lines to drop."""
-    hashed = F.transform(_lines(), lambda x, i: F.struct(_hashed(x, min_chars).alias("h"), i.alias("at")))
-    of_doc = docs.select("doc_id", _text_hash().alias("__text"), F.inline(F.filter(hashed, lambda x: x.h.isNotNull())))
-    # a row for each document and key, with the places where the document has it
-    pairs = of_doc.groupBy("doc_id", "h").agg(F.collect_list(F.struct("__text", "at")).alias("places"))
-    common = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
-    placed = pairs.join(spread(common, "h"), "h").select("doc_id", F.inline("places"))
-    return placed.groupBy("doc_id", "__text").agg(F.collect_set("at").alias("__dropped"))  # equal rows say it twice
+    """(doc_id, __dropped): for each document with any, the hashes of its lines to drop."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    of_doc = docs.select("doc_id", F.explode(F.transform(lines, lambda x: _hashed(x, min_chars))).alias("h"))  # array_distinct of structs takes every pair
+    pairs = of_doc.where("h is not null").select("doc_id", "h.a", "h.b").distinct()
+    common = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    return pairs.join(spread(common, "a", "b"), ["a", "b"]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("__dropped"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with text replaced by the lines that stay, and n_lines, n_dropped of each document."""
     docs, back = guarded(docs)
-    found = dropped_lines(docs.select("doc_id", "text"), min_docs, min_chars).withColumnsRenamed({"doc_id": "__id", "__text": "__of"})
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__of")), "left")
+    found = dropped_lines(docs.select("doc_id", "text"), min_docs, min_chars).withColumnRenamed("doc_id", "__id")
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     out = F.col("__dropped")
-
-    def stay(lines: Column) -> Column:
-        """Places are told apart by hash, so time is linear in the lines."""
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
-        return F.array_join(F.transform(kept, lambda at: lines[at]), "\n")
-
-    kept = F.when(out.isNull(), F.coalesce("text", F.lit(""))).otherwise(let(_lines(), stay))
+    stay = let(F.struct(F.array_sort(out).alias("sorted"), _steps(F.size(out)).alias("steps")), lambda s: F.filter(lines, lambda x: ~let(_hashed(x, min_chars), lambda h: _among(s, h))))
+    both = both.withColumn("__lines", F.size(lines).cast("long")).withColumn("__stay", F.when(out.isNotNull(), stay))
+    kept = F.when(out.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("__stay", "\n"))
     return both.select(
-        *[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
-        F.size(_lines()).cast("long").alias("n_lines"),
-        F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_dropped"),
+        *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
+        F.col("__lines").alias("n_lines"),
+        F.when(out.isNull(), F.lit(0)).otherwise(F.col("__lines") - F.size("__stay")).cast("long").alias("n_dropped"),
     ).withColumnsRenamed(back)
 
 
