@@ -99,6 +99,39 @@ def test_random_merges_follow_the_model(spark):
     assert got == want
 
 
+def test_merge_notes_name_what_was_absorbed(spark):
+    rows = [(1, 1, "T1", 1), (1, 2, "T3", 1), (1, 3, "T2", 1), (1, 4, "TX", 1), (1, 5, "T3", 1), (1, 6, "T4", 6), (2, 1, "T4", 1), (2, 2, "T4", 1)]
+    made = iv.merge_notes(spark.createDataFrame(rows, "evidence_id long, recording_id long, tier string, kept_id long")).collect()
+    assert {(r.evidence_id, r.recording_id): (r.absorbed, r.tiers) for r in made} == {(1, 1): (4, ["T2", "T3", "TX"]), (2, 1): (1, ["T4"])}
+    assert made[0].note.startswith(f"{made[0].absorbed} overlapping result(s) at {', '.join(made[0].tiers)} were merged")
+
+
+def test_the_interval_index_equals_lists(monkeypatch):
+    """Clusters as lists of all their members' spans, and blocks so short that they split and go all the time."""
+    monkeypatch.setattr(iv.Painted, "FULL", 3)
+    for seed in range(400):
+        rng = random.Random(seed)
+        rows = [(i, [{"offset": rng.randrange(rng.choice([20, 200])), "length": rng.choice([0, 1, 5, 30])} for _ in range(rng.randrange(3))]) for i in range(rng.randrange(60))]
+        clusters, want = [], []
+        for i, extents in rows:
+            spans = [(e["offset"], e["offset"] + e["length"]) for e in extents]
+            found = next((c for c in clusters if any(a < d and x < b for a, b in spans for x, d in c[1])), None)
+            if found is None:
+                clusters.append(found := (i, []))
+            found[1].extend(spans)
+            want.append(found[0])
+        assert iv._clusters(rows) == want
+
+
+def test_one_island_of_a_million_records(spark):
+    rng = random.Random(1)
+    rows = [(i, [{"offset": rng.randrange(100_000), "length": rng.randrange(1, 300)}]) for i in range(1_000_000)]
+    heads = iv._clusters(rows)
+    kept = sorted((e[0]["offset"], e[0]["offset"] + e[0]["length"]) for (i, e), h in zip(rows, heads) if i == h)
+    assert len(heads) == 1_000_000 and all(b <= c for (_, b), (c, _) in zip(kept, kept[1:]))  # survivors are disjoint
+    assert sum(h == i for (i, _), h in zip(rows, heads)) == len(kept) == len(set(heads))
+
+
 def test_subtract_keeps_touching_spans_apart_and_names_its_holes(spark):
     spans = spark.createDataFrame([(1, 0, 100), (1, 100, 200), (1, 1000, 5000), (1, 9000, 9100)], "evidence_id long, start long, end long")
     holes = spark.createDataFrame([(1, 150, 160), (1, 2000, 2512), (1, 5100, 5200), (1, 8000, 9200)], "evidence_id long, start long, end long")

@@ -7,6 +7,7 @@ no operator joins a table with itself on a range.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,20 +150,103 @@ def overlap(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: (x.offset < y.offset + y.length) & (y.offset < x.offset + x.length)))
 
 
+class Painted:
+    """Disjoint intervals that each carry a number, in order, in lists of bounded length.
+
+    `lowest` reads the least number of the intervals that a span overlaps; `paint` gives the span one number. Painting a
+    span takes away what lies in it, so a span that is read and then painted costs little more than a search."""
+
+    FULL = 1024
+
+    def __init__(self) -> None:
+        self.blocks: list[list[tuple[int, int, int]]] = [[]]
+        self.firsts: list[int] = []  # the start of each block but the first
+
+    def _place(self, start: int) -> tuple[int, int]:
+        """Where the first interval that ends after `start` can be."""
+        k = bisect_right(self.firsts, start)
+        at = bisect_right(self.blocks[k], (start, float("inf"))) - 1
+        if at < 0 and k:
+            k -= 1
+            at = len(self.blocks[k]) - 1
+        return k, max(at, 0)
+
+    def lowest(self, start: int, end: int) -> int | None:
+        k, at = self._place(start)
+        least = None
+        while k < len(self.blocks):
+            block = self.blocks[k]
+            while at < len(block):
+                low, high, number = block[at]
+                if low >= end:
+                    return least
+                if high > start and (least is None or number < least):
+                    least = number
+                at += 1
+            k, at = k + 1, 0
+        return least
+
+    def paint(self, start: int, end: int, number: int) -> None:
+        k, at = self._place(start)
+        first, made = (k, at), [(start, end, number)]
+        if at < len(self.blocks[k]) and self.blocks[k][at][1] <= start:
+            first = (k, at + 1)
+        k, at = first
+        while k < len(self.blocks):
+            block = self.blocks[k]
+            upto = bisect_left(block, (end,), at)
+            for low, high, was in block[at:upto]:
+                if low < start:
+                    made.insert(0, (low, start, was))
+                if high > end:
+                    made.append((end, high, was))
+            whole = upto == len(block)
+            del block[at:upto]
+            if not whole:
+                break
+            k, at = k + 1, 0
+        k, at = first
+        self.blocks[k][at:at] = made
+        emptied = k + 1 < len(self.blocks) and not self.blocks[k + 1]
+        full = len(self.blocks[k]) > self.FULL
+        if full:
+            half = len(self.blocks[k]) // 2
+            self.blocks.insert(k + 1, self.blocks[k][half:])
+            del self.blocks[k][half:]
+        if full or emptied:
+            self.blocks = [self.blocks[0], *(block for block in self.blocks[1:] if block)]
+            self.firsts = [block[0][0] for block in self.blocks[1:]]
+        else:
+            for j in (k, k + 1):
+                if 0 < j < len(self.blocks):
+                    self.firsts[j - 1] = self.blocks[j][0][0]
+
+
 def _clusters(rows: list[tuple]) -> list:
-    """For records (recording_id, extents) in tier order: the head of the first cluster with a member each overlaps."""
-    clusters: list[tuple[object, list]] = []
+    """For records (recording_id, extents) in tier order: the head of the first cluster with a member each overlaps.
+
+    Each byte keeps the number of the first cluster that has it. A record's bytes all go to the first cluster they meet, so
+    they are painted with its number. Extents of no bytes are kept apart: they overlap what they lie inside."""
+    painted, points = Painted(), Painted()
+    heads_of: list = []
     heads = []
     for recording_id, extents in rows:
         spans = [(e["offset"], e["offset"] + e["length"]) for e in extents]
-        for head, members in clusters:
-            if any(a < d and c < b for a, b in spans for c, d in members):
-                members += spans
-                break
-        else:
-            head = recording_id
-            clusters.append((head, spans))
-        heads.append(head)
+        met = []
+        for a, b in spans:
+            if a < b:
+                met += [painted.lowest(2 * a + 1, 2 * b), points.lowest(2 * a + 1, 2 * b)]
+            else:
+                met.append(painted.lowest(2 * a, 2 * a + 1))
+        number = min((m for m in met if m is not None), default=len(heads_of))
+        if number == len(heads_of):
+            heads_of.append(recording_id)
+        for a, b in spans:
+            if a < b:
+                painted.paint(2 * a + 1, 2 * b, number)
+            elif (was := points.lowest(2 * a, 2 * a + 1)) is None or number < was:
+                points.paint(2 * a, 2 * a + 1, number)
+        heads.append(heads_of[number])
     return heads
 
 
@@ -204,15 +288,26 @@ def merge_tiers(recordings: DataFrame) -> DataFrame:
     rank = F.when(known > 0, known).otherwise(len(TIERS) + 1)  # unknown tiers and none come last
     rows = recordings.withColumns({"low": low, "high": high, "tier_rank": rank})
     rows = rows.withColumn("neg_span", F.col("low") - F.col("high"))
-    order = Window.partitionBy("evidence_id").orderBy("low", "high")
-    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.when(reach.isNull() | (F.col("low") >= reach), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keys, along = ["evidence_id"], ["low", "high", "recording_id"]
+    rows = swept(dealt(rows, keys, along), keys, along, __reach=("max_before", "high"))
+    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("low") >= F.col("__reach")), 1).otherwise(0))
+    rows = swept(rows, keys, along, island=("sum", "__new"))
     kinds = {f.name: f.dataType.simpleString() for f in recordings.schema}
     schema = f"evidence_id {kinds['evidence_id']}, recording_id {kinds['recording_id']}, tier string, kept_id {kinds['recording_id']}"
     order = ["evidence_id", "island", "tier_rank", "low", "neg_span", "note", "recording_id"]
-    dealt = rows.select(*order, "tier", "extents").repartition("evidence_id", "island").sortWithinPartitions(*order)
-    return dealt.mapInArrow(_greedy, schema)
+    rows = rows.select(*order, "tier", "extents").repartition("evidence_id", "island").sortWithinPartitions(*order)
+    return rows.mapInArrow(_greedy, schema)
+
+
+def merge_notes(merged: DataFrame) -> DataFrame:
+    """evidence_id, recording_id, absorbed, tiers, note of each survivor that others were merged into: how many, at which tiers
+    (best first, unknown ones last), and a sentence that says so."""
+    known = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    rank = F.when(known > 0, known).otherwise(len(TIERS) + 1)
+    others = merged.where("recording_id != kept_id").groupBy("evidence_id", "kept_id")
+    made = others.agg(F.count(F.lit(1)).alias("absorbed"), F.transform(F.array_sort(F.collect_set(F.struct(rank.alias("rank"), "tier"))), lambda x: x.tier).alias("tiers"))
+    said = F.concat(F.col("absorbed").cast("string"), F.lit(" overlapping result(s) at "), F.array_join("tiers", ", "), F.lit(" were merged into this one, which has the highest tier"))
+    return made.select("evidence_id", F.col("kept_id").alias("recording_id"), "absorbed", "tiers", said.alias("note"))
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:

@@ -143,6 +143,11 @@ def merge_stats(spark, sf):
     return intervals.merge_stats(merge_tiers(spark, sf))
 
 
+@query()
+def merge_notes(spark, sf):
+    return intervals.merge_notes(merge_tiers(spark, sf))
+
+
 def _recovery(spark, sf):
     """Line items as recordings of 1,000 items: returned ones are stored at T1, the others are what tiers found."""
     rows = _tiered(spark, sf).withColumns({"local_start_us": F.when(F.col("recording_id") % 3 != 0, F.lit(0)).cast("long"), "local_end_us": F.col("recording_id") % 7 * 60_000_000})
