@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,15 +28,36 @@ class Unreadable(Exception):
     """Too many bad sectors in a row, or a file that ends before its stated size."""
 
 
+#: What the names of containers end with that need a decoder.
+CONTAINERS = (".e01", ".ex01")
+
+
+def open_source(spark: SparkSession, path: str, evidence_id: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, int]:
+    """The windows and the size of what lies at a path, by its kind: a folder is a file set, a name that ends with a number
+    part of a split image, any other file a raw image. What is not there, or a container, raises."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no evidence at {path}")
+    if path.lower().endswith(CONTAINERS):
+        raise NotImplementedError(f"{path} is a container that needs a decoder")
+    return image_windows(spark, path, evidence_id, chunk, overlap), sum(size for _, size in members_of(path))
+
+
 def members_of(path: str) -> list[tuple[str, int]]:
-    """(file, size) of an image: the file itself, or all parts .001, .002, ... in order; a missing part raises."""
+    """(file, size) of evidence, in the order in which its bytes follow one another: of an image the file itself; of a split
+    image the part named and all later ones, .001, .002, ...; of a folder all files below it, by their relative path,
+    which are one address space. A missing part raises."""
+    if os.path.isdir(path):
+        found = [f for top, _, names in os.walk(path) for name in names if not os.path.islink(f := os.path.join(top, name))]
+        found.sort(key=lambda f: os.path.relpath(f, path).replace(os.sep, "/"))
+        return [(f, os.path.getsize(f)) for f in found]
     m = re.fullmatch(r"(.*)\.(\d{3,})", path)
     if not m:
         return [(path, os.path.getsize(path))]
     folder, stem = os.path.split(m[1])
     numbers = {int(x[1]): x[0] for x in (re.fullmatch(rf"{re.escape(stem)}\.(\d{{{len(m[2])},}})", n) for n in os.listdir(folder or ".")) if x}
-    first = min(numbers)
-    if sorted(numbers) != list(range(first, first + len(numbers))):
+    first = int(m[2])
+    numbers = {k: n for k, n in numbers.items() if k >= first}
+    if first not in numbers or sorted(numbers) != list(range(first, first + len(numbers))):
         raise FileNotFoundError(f"a part of {m[1]} is missing: found {sorted(numbers)}")
     files = [os.path.join(folder, numbers[k]) for k in sorted(numbers)]
     return [(f, os.path.getsize(f)) for f in files]
@@ -94,8 +117,10 @@ def _by_sector(read, file: str, low: int, high: int, base: int, bad: list) -> by
 
 
 class _Window(InputPartition):
-    def __init__(self, evidence_id: str, members: list, offset: int):
-        self.evidence_id, self.members, self.offset = evidence_id, members, offset
+    """members: those that the window touches, each with its place; so a partition of a set of a million files is small."""
+
+    def __init__(self, evidence_id: str, members: list, offset: int, base: int):
+        self.evidence_id, self.members, self.offset, self.base = evidence_id, members, offset, base
 
 
 class _ImageReader(DataSourceReader):
@@ -110,11 +135,17 @@ class _ImageReader(DataSourceReader):
         members = members_of(self.path)
         size = sum(n for _, n in members)
         touched = lambda at: not self.regions or any(o < at + self.chunk and at < o + n for o, n in self.regions)
-        return [_Window(self.evidence_id, members, at) for at in range(0, size, self.chunk) if touched(at)]
+        ends = list(accumulate(n for _, n in members))
+        windows = []
+        for at in range(0, size, self.chunk):
+            if touched(at):
+                first, last = bisect_right(ends, at), bisect_right(ends, min(at + self.chunk + self.overlap, size) - 1)
+                windows.append(_Window(self.evidence_id, members[first : last + 1], at, ends[first] - members[first][1]))
+        return windows
 
     def read(self, partition: _Window) -> Iterator[pa.RecordBatch]:
-        data, bad = read_at(partition.members, partition.offset, self.chunk + self.overlap)
-        gaps = [{"offset": o, "length": n} for o, n in bad]
+        data, bad = read_at(partition.members, partition.offset - partition.base, self.chunk + self.overlap)
+        gaps = [{"offset": partition.base + o, "length": n} for o, n in bad]
         yield pa.RecordBatch.from_arrays(
             [pa.array([partition.evidence_id]), pa.array([partition.offset], pa.int64()), pa.array([data], pa.binary()), pa.array([gaps], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))],
             ["evidence_id", "offset", "bytes", "gaps"],
@@ -142,12 +173,11 @@ def image_windows(spark: SparkSession, path: str, evidence_id: str, chunk: int =
 
 
 def file_set(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, content, base: a folder's files, in path order, with each one's place in their joined space."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
-    slim = files.select("path", "length")
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file of one folder
-    bases = slim.select("path", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, "path")
+    """path, length, base: the files below a folder that executors mount, by relative path, each with its place in their
+    joined address space. The bytes of the space are read by windows (image_windows of the folder)."""
+    members = members_of(folder)
+    bases = [0, *accumulate(n for _, n in members)]
+    return spark.createDataFrame([(f, n, base) for (f, n), base in zip(members, bases)], "path string, length long, base long")
 
 
 def missing_parts(parts: DataFrame) -> DataFrame:
