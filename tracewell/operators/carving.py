@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .intervals import islands
 
 CHUNK, OVERLAP = 64 * 1024 * 1024, 64 * 1024
@@ -106,6 +111,45 @@ def scan(chunks: DataFrame, signatures: dict[str, Signature | tuple], chunk: int
     return one_hit_an_offset(hits)
 
 
+class BudgetExceeded(RuntimeError):
+    """A job took longer than it was given. Nothing that it found is returned: a part would look like the whole."""
+
+
+@contextmanager
+def budget(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """The Spark jobs that this thread runs inside have so many seconds; then they are cancelled, and BudgetExceeded raised."""
+    sc, tag, over = spark.sparkContext, f"budget-{uuid.uuid4().hex}", threading.Event()
+    done, until = threading.Event(), time.monotonic() + seconds
+
+    def watch() -> None:
+        if not done.wait(max(0.0, until - time.monotonic())):
+            over.set()
+            while not done.wait(0.2):  # the job that runs now, and any that is started before the block ends
+                sc.cancelJobsWithTag(tag)
+
+    timer = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+        if over.is_set():
+            raise BudgetExceeded(f"stopped after {seconds} s")
+    except Exception as e:
+        if over.is_set() and not isinstance(e, BudgetExceeded):
+            raise BudgetExceeded(f"stopped after {seconds} s") from e
+        raise
+    finally:
+        done.set()
+        sc.removeJobTag(tag)
+        timer.join()
+
+
+def scan_within(chunks: DataFrame, signatures: dict[str, Signature | tuple], seconds: float, chunk: int = CHUNK) -> DataFrame:
+    """The hits of scan, found and staged within a budget of time; BudgetExceeded and no rows if it does not suffice."""
+    with budget(chunks.sparkSession, seconds):
+        return staged(scan(chunks, signatures, chunk), "hits")
+
+
 def one_hit_an_offset(hits: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("evidence_id", "offset").orderBy("length", "signature"))
     return hits.withColumn("__n", first).where("__n = 1").drop("__n")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweeps
+
 SENSITIVITY, MIN_AREA, MIN_EVENT_FRAMES, MAX_GAP_FRAMES = 25, 400, 2, 5
 FULL_SCORE_SHARE = 0.15
 
@@ -24,14 +26,35 @@ def inside(region: Region | None, x: Column, y: Column) -> Column:
     return (x >= left) & (x < left + width) & (y >= top) & (y < top + height)
 
 
+#: Frame numbers of a block: a recording's frames are compared block by block, by as many tasks.
+STRIDE = 1024
+
+
+def with_before(frames: DataFrame, column: str) -> DataFrame:
+    """frames with before: the column of the frame before, in its recording (null for none).
+
+    Frames are dealt by (recording, block of STRIDE numbers), so a long recording is many tasks' work. The last frame of a
+    block goes to the next block that has frames too; which ones they are is found from the numbers alone, and no other
+    frame's bytes move twice."""
+    keys = ["recording_id", "__block"]
+    rows = frames.withColumn("__block", F.floor(F.col("frame_no") / STRIDE))
+    ends = rows.groupBy(*keys).agg(F.max("frame_no").alias("frame_no"))
+    following = F.lead("__block").over(Window.partitionBy("recording_id").orderBy("__block"))  # a row for each block
+    ends = ends.withColumn("__to", following).where("__to is not null").select("recording_id", "frame_no", "__to")
+    carried = rows.join(ends, ["recording_id", "frame_no"]).withColumn("__block", F.col("__to"))
+    own = rows.withColumn("__to", F.lit(None).cast("long"))
+    dealt = own.unionByName(carried.select(*own.columns))
+    order = Window.partitionBy(*keys).orderBy("frame_no")
+    return dealt.withColumn("before", F.lag(column).over(order)).where("__to is null").drop("__block", "__to")
+
+
 def differences(frames: DataFrame, sensitivity: int = SENSITIVITY, region: Region | None = None) -> DataFrame:
     """recording_id, frame_no, changed, x0, y0, x1, y1: pixels (of the region) that changed by `sensitivity` or more since
     the frame before, and their tight box (null where none did).
 
     frames: recording_id, frame_no, width, pixels (array of int). For thumbnails; encoded frames go through
     frame_differences."""
-    order = Window.partitionBy("recording_id").orderBy("frame_no")
-    rows = frames.withColumn("before", F.lag("pixels").over(order))
+    rows = with_before(frames, "pixels")
     moved = F.filter(F.transform(F.arrays_zip("pixels", "before"), lambda p, i: F.when(F.abs(p["pixels"] - p["before"]) >= sensitivity, i)), lambda i: i.isNotNull())
     moved = F.filter(moved, lambda i: inside(region, i % F.col("width"), F.floor(i / F.col("width"))))
     rows = rows.withColumn("moved", F.when(F.col("before").isNotNull(), moved).otherwise(F.array().cast("array<int>")))
@@ -46,9 +69,8 @@ def differences(frames: DataFrame, sensitivity: int = SENSITIVITY, region: Regio
 def frame_differences(frames: DataFrame, sensitivity: int = SENSITIVITY, region: Region | None = None) -> DataFrame:
     """The same for frames of bytes: recording_id, frame_no, width, height, gray (width * height bytes).
 
-    The frame before comes by window; the pixels are compared by numpy in batches."""
-    order = Window.partitionBy("recording_id").orderBy("frame_no")
-    rows = frames.withColumn("before", F.lag("gray").over(order))
+    The frame before comes by blocks (see with_before); the pixels are compared by numpy in batches."""
+    rows = with_before(frames.select("recording_id", "frame_no", "width", "height", "gray"), "gray")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -90,10 +112,12 @@ def motion_frames(changes: DataFrame, area: int, min_area: int = MIN_AREA) -> Da
 def motion_segments(frames: DataFrame, min_event_frames: int = MIN_EVENT_FRAMES, max_gap_frames: int = MAX_GAP_FRAMES) -> DataFrame:
     """recording_id, first_frame, last_frame, motion_frames, peak: sessions of motion, closed by more than
     max_gap_frames idle frames (counted, not timed), kept from min_event_frames of motion on; ends at its last motion."""
-    order = Window.partitionBy("recording_id").orderBy("frame_no")
-    rows = frames.withColumn("at", F.row_number().over(order)).where("motion")
-    new = F.when(F.coalesce(F.col("at") - F.lag("at").over(order) - 1 <= max_gap_frames, F.lit(False)), 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keys, order = ["recording_id"], ["frame_no"]
+    slim = frames.select("recording_id", "frame_no", "motion", "score", F.lit(1).alias("one"))
+    rows = sweeps.swept(sweeps.dealt(slim, keys, order), keys, order, at=("sum", "one")).where("motion")
+    rows = sweeps.swept(rows, keys, order, was=("lag", "at"))
+    new = F.when(F.coalesce(F.col("at") - F.col("was") - 1 <= max_gap_frames, F.lit(False)), 0).otherwise(1)
+    rows = sweeps.swept(rows.withColumn("new", new), keys, order, session=("sum", "new"))
     made = rows.groupBy("recording_id", "session").agg(
         F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count(F.lit(1)).alias("motion_frames"), F.max("score").alias("peak")
     )
