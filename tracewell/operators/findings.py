@@ -80,8 +80,8 @@ def process_findings(recording: DataFrame, coverage: DataFrame) -> DataFrame:
 def custody_breaks(custody: DataFrame) -> DataFrame:
     """evidence_id, seq, expected, found: transfers released by another holder than the last one received by.
 
-    Names are compared without case and outer spaces."""
-    name = lambda c: F.lower(F.trim(c))
+    Names are compared without case and outer white space of any kind."""
+    name = lambda c: F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     order = Window.partitionBy("evidence_id").orderBy("seq")
     rows = custody.withColumn("expected", F.lag("to_holder").over(order))
     return rows.where(name(F.col("expected")) != name(F.col("from_holder"))).select("evidence_id", "seq", "expected", F.col("from_holder").alias("found"))

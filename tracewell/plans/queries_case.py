@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import findings, identify, integrity
+from ..operators import findings, identify, integrity, report
 from . import queries_bytes, queries_time
 from . import tables as t
 from .tables import DAY, FRAMES_SQL, MICROS, SEGMENTS_SQL, table
@@ -251,6 +251,31 @@ def findings_document(spark, sf):
     return made.select("evidence_id", F.char_length("document").cast("long").alias("size"))
 
 
+_REPORT_SQL = f"""{_CASE_SQL}, tot as (select evidence_id, bucket, sum(length)::bigint as bytes from cov_all group by all),
+covering as (select evidence_id, '{{"' || string_agg(bucket || '":' || bytes, ',"' order by bucket) || '}}' as totals, sum(bytes)::bigint as covered from tot group by 1),
+names as (select conv_id % 45 as evidence_id, conv_id * 3000000 + turn as seq, case when turn % 3 = 0 then upper(role) else 'assistant' end as giver, role || ' ' as holder, case when turn % 4 = 1 then '0' when turn % 4 = 2 then 'null' else '1' end as seal from conversations),
+steps as (select *, lag(holder) over (partition by evidence_id order by seq) as expected from names),
+said as (select evidence_id, string_agg('"entry ' || seq || ': given by ' || giver || ', last held by ' || expected || '"', ',' order by seq) as x from steps where lower(trim(expected)) != lower(trim(giver)) group by 1)"""
+
+
+@query(f"""with {_REPORT_SQL.replace("cov_all", "(select l_suppkey % 40 as evidence_id, case when l_suppkey % 40 % 3 = 0 and l_returnflag = 'R' then 'unaccounted' when l_returnflag = 'R' then 'unreadable' when l_returnflag = 'A' then 'structural' when l_linestatus = 'O' then 'parsed' else 'carved' end as bucket, floor(l_quantity)::bigint * 10 as length from lineitem)")}
+select 'coverage' as section, row_number() over (order by c.evidence_id) as position, c.evidence_id::varchar as evidence_id,
+  '{{"covered_bytes":' || covered || ',"evidence_id":' || c.evidence_id || ',"image_size_bytes":' || size || ',"tiles_image":' || (covered = size)::varchar || ',"totals_bytes":' || totals || '}}' as body
+from covering c join (select evidence_id, case when evidence_id % 2 = 0 then 100 else (select covered from covering v where v.evidence_id = item.evidence_id) end as size from item) i on i.evidence_id = c.evidence_id where size is not null
+union all select 'custody', row_number() over (order by seq, n.evidence_id), n.evidence_id::varchar,
+  '{{"chain_breaks":[' || coalesce(x, '') || '],"evidence_id":' || n.evidence_id || ',"from_holder":"' || giver || '","seal_intact":' || seal || ',"seq":' || seq || ',"to_holder":"' || holder || '"}}' from names n left join said using (evidence_id)
+union all select 'time', 1, null, '{{"absolute_established":' || (count(rs) > 0)::varchar || ',"methods_used":["A_ntp"],"recordings_total":' || count(*) || ',"recordings_with_reference_time":' || count(rs) || '}}' from rec""")
+def case_document(spark, sf):
+    """Three of the document's sections, whole: the map's totals (half of the images are of another size), every transfer
+    with the breaks of its chain, and what time was established."""
+    evidence, _, recording, coverage, custody, _ = _case(spark, sf)
+    sums = coverage.groupBy("evidence_id").agg(F.sum("length").alias("all"))
+    sized = evidence.join(sums, "evidence_id").withColumn("capacity_bytes", F.when(F.col("evidence_id") % 2 == 0, 100).otherwise(F.col("all")))
+    observed = spark.createDataFrame([("A_ntp",)], "method string")
+    made = report.document({"coverage": report.coverage_section(sized, coverage), "custody": report.custody_section(custody), "time": report.time_section(recording, observed)})
+    return made.drop("place")
+
+
 @query(f"""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso, case when o_orderkey < 1024 then o_orderkey || ' B' when o_orderkey < 1048576 then printf('%.1f KiB', o_orderkey / 1024.0::double) else printf('%.1f MiB', o_orderkey / 1048576.0::double) end as size from orders""")
 def formatted(spark, sf):
     rows = table(spark, sf, "orders")
