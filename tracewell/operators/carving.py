@@ -17,6 +17,8 @@ from ..staging import staged
 from .intervals import islands
 
 CHUNK, OVERLAP = 64 * 1024 * 1024, 64 * 1024
+#: Places that are sent to every task with windows, at most: some ten MB of numbers.
+FEW = 200_000
 
 
 def windows(content: Column, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -56,11 +58,14 @@ def _hit_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def slices(chunks: DataFrame, places: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """places (evidence_id, offset, size, ...) with bytes: what the windows hold from offset on, size bytes or up to the
-    image's end. Each place meets the windows that it touches, takes its part of each, and only the parts travel."""
+    image's end. Each place meets the windows that it touches, takes its part of each, and only the parts travel: up to FEW
+    places go to the windows; more of them meet the windows by a shuffle of both. places are read twice: stage them."""
     cells = F.explode(F.sequence(F.floor(F.col("offset") / chunk), F.floor((F.col("offset") + F.greatest("size", F.lit(1)) - 1) / chunk)))
     asked = places.withColumns({"__at": F.col("offset"), "__cell": cells})
     own = chunks.select("evidence_id", F.floor(F.col("offset") / chunk).alias("__cell"), F.col("offset").alias("__base"), "bytes")
-    met = asked.join(own, ["evidence_id", "__cell"])
+    if places.limit(FEW + 1).count() <= FEW:
+        asked = F.broadcast(asked)
+    met = own.join(asked, ["evidence_id", "__cell"])
     low = F.greatest(F.col("__at") - F.col("__base"), F.lit(0))
     high = F.least(F.col("__at") + F.col("size") - F.col("__base"), F.lit(chunk))
     part = F.substring(F.col("bytes"), (low + 1).cast("int"), (high - low).cast("int"))
@@ -73,7 +78,7 @@ def scan(chunks: DataFrame, signatures: dict[str, Signature | tuple], chunk: int
     """evidence_id, offset, length, signature: validated hits, one an offset (the shortest, then by name).
 
     chunks: evidence_id, offset, bytes (a window with overlap). Hits in a window's overlap belong to the next window,
-    which has them too. A hit whose signature reaches beyond its window is read again, from all the windows that it
+    which has them too. (Frames have a scan of their own, formats.frame_candidates, which reads no window twice.) A hit whose signature reaches beyond its window is read again, from all the windows that it
     touches, and validated there. A length of 0 or less is no hit."""
     known = {name: Signature(*s) for name, s in signatures.items()}
 
@@ -106,6 +111,7 @@ def scan(chunks: DataFrame, signatures: dict[str, Signature | tuple], chunk: int
     schema = f"evidence_id {chunks.schema['evidence_id'].dataType.simpleString()}, offset long, length long, signature string"
     hits = chunks.select("evidence_id", "offset", "bytes").mapInArrow(find, schema)
     if any(s.reach for s in known.values()):
+        hits = staged(hits, "marks")  # read twice
         far = slices(chunks, hits.where("length < 0").select("evidence_id", "offset", "signature", (-F.col("length")).alias("size")), chunk)
         hits = hits.where("length > 0").unionByName(far.mapInArrow(again, schema))
     return one_hit_an_offset(hits)

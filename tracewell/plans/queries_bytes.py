@@ -280,12 +280,14 @@ def cas_dedup(spark, sf):
 # Start codes are built from the text's line ends: each line is a unit, its first byte states its type.
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
 u as (select doc_id, i, line, case when ascii(line) > 127 then 63 else ascii(line) end & 31 as k from l where length(line) > 0)
-select doc_id as stream_id, count(*) as units, count(*) filter (where k between 1 and 5) as pictures from u group by doc_id""")
+select doc_id as stream_id, count(*) as units, count(*) filter (where k between 1 and 5) as pictures,
+  sha256(unhex(coalesce(string_agg(printf('%08x', strlen(regexp_replace(line, '[^\x00-\x7F]', '?', 'g'))) || hex(encode(regexp_replace(line, '[^\x00-\x7F]', '?', 'g'))), '' order by i) filter (where k between 1 and 5), ''))) as picture_digest
+from u group by doc_id""")
 def nal_units(spark, sf):
     docs = table(spark, sf, "documents").where("text is not null and text rlike '[^\\n]'")
     lines = F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "\n", -1)
     streams = docs.select(F.col("doc_id").alias("stream_id"), F.encode(F.concat(F.lit("\0\0\1"), F.array_join(lines, "\0\0\1")), "UTF-8").alias("content"))
-    return formats.stream_summaries(streams).drop("picture_digest")
+    return formats.stream_summaries(streams)
 
 
 @query("""select event_id, make_timestamp(2000 + y, mo, d, h, mi, s::double) as local from (select event_id, (event_id * 7919) % 60 as s, (event_id * 31) % 60 as mi, event_id % 24 as h, 1 + event_id % 31 as d, event_id % 14 as mo, event_id % 64 as y from events)
