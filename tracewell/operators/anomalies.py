@@ -102,10 +102,27 @@ def ends_before_start(segments: DataFrame) -> DataFrame:
     return _many(segments.where("end_us < start_us"), "ends_before_start", (F.col("start_us") - F.col("end_us")) / 1e6)
 
 
+def _about_one(segments: DataFrame, volumes: DataFrame) -> DataFrame:
+    """The four that look at recordings one by one, with volumes met once: as the functions above find them."""
+    rows = segments.join(volumes, "evidence_id", "left")
+    begins, ends = F.col("start_us"), F.col("end_us")
+    told = [
+        ("before_volume_format", begins < F.col("formatted_us"), F.col("formatted_us") - begins, begins), ("future_dated", begins > F.col("acquired_us"), begins - F.col("acquired_us"), begins),
+        ("zero_length", begins == ends, F.lit(0), F.lit(None)), ("ends_before_start", ends < begins, begins - ends, F.lit(None)),
+    ]
+    kinds = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(kind).alias("kind"), (by / 1e6).alias("seconds"), order.cast("long").alias("order"))) for kind, holds, by, order in told]))
+    rows = rows.select("evidence_id", "recording_id", F.inline(kinds))
+    by = Window.partitionBy("evidence_id", "kind").orderBy("order", "recording_id")
+    first = rows.withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= SHOWN)
+    first = first.groupBy("evidence_id", "kind").agg(F.array_sort(F.collect_list(F.struct("__rank", "recording_id"))).alias("s"))
+    sums = rows.groupBy("evidence_id", "kind").agg(F.count(F.lit(1)).alias("c"), F.max("seconds").alias("m"))
+    both = sums.join(first, ["evidence_id", "kind"])
+    return both.select("evidence_id", "kind", F.lit(None).cast("int").alias("channel"), F.col("s.recording_id").alias("recording_ids"), F.col("m").cast("double").alias("seconds"), F.col("c").alias("count"))
+
+
 def detect(segments: DataFrame, volumes: DataFrame) -> DataFrame:
     """All six. (evidence_id, kind, channel, recording_ids) orders them, where an order is wanted."""
-    found = [duplicate_windows(segments), backwards_sequence(segments), before_volume_format(segments, volumes), future_dated(segments, volumes), zero_length(segments), ends_before_start(segments)]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [duplicate_windows(segments), backwards_sequence(segments), _about_one(segments, volumes)])
 
 
 def with_causes(found: DataFrame) -> DataFrame:

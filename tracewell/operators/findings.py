@@ -22,69 +22,98 @@ EXPECTED = {"A": ["panchnama", "seizure_video", "authorisation"], "B": ["panchna
 PROVENANCE_SEVERITY = {"B": "attention", "C": "attention", "D": "serious"}
 
 
-def _rule(df: DataFrame, code, severity, n) -> DataFrame:
-    column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select("evidence_id", column(code).alias("code"), column(severity).alias("severity"), column(n).cast("long").alias("n"))
+def _column(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
-def coverage_findings(coverage: DataFrame) -> DataFrame:
+def _rules(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """evidence_id, code, severity, n of every rule (condition, code, severity, n) that holds for a row; one pass of df."""
+    told = [F.when(holds, F.struct(_column(code).alias("code"), _column(severity).alias("severity"), _column(n).cast("long").alias("n"))) for holds, code, severity, n in rules]
+    return df.select("evidence_id", F.inline(F.array_compact(F.array(*told))))
+
+
+def _coverage_sums(coverage: DataFrame) -> DataFrame:
     of = lambda b: F.sum(F.when(F.col("bucket") == b, F.col("length")).otherwise(0))
-    sums = coverage.groupBy("evidence_id").agg(F.sum("length").alias("total"), of("unaccounted").alias("lost"), of("unreadable").alias("bad"))
-    level = F.when(F.col("lost") >= UNACCOUNTED_ATTENTION * F.col("total"), "attention").otherwise("info")
-    return _rule(sums.where("lost > 0"), "NF-COVERAGE-UNACCOUNTED", level, F.col("lost")).unionByName(_rule(sums.where("bad > 0"), "NF-COVERAGE-UNREADABLE", "serious", F.col("bad")))
+    return coverage.groupBy("evidence_id").agg(F.sum("length").alias("covered"), of("unaccounted").alias("lost"), of("unreadable").alias("bad"))
+
+
+def _coverage_rules() -> list[tuple]:
+    level = F.when(F.col("lost") >= UNACCOUNTED_ATTENTION * F.col("covered"), "attention").otherwise("info")
+    return [(F.col("lost") > 0, "NF-COVERAGE-UNACCOUNTED", level, F.col("lost")), (F.col("bad") > 0, "NF-COVERAGE-UNREADABLE", "serious", F.col("bad"))]
+
+
+def coverage_findings(coverage: DataFrame) -> DataFrame:
+    return _rules(_coverage_sums(coverage), _coverage_rules())
 
 
 def acquisition_findings(evidence: DataFrame) -> DataFrame:
-    severity = F.element_at(F.create_map(*[F.lit(x) for kv in PROVENANCE_SEVERITY.items() for x in kv]), F.col("provenance_class"))
-    limited = evidence.where(F.col("provenance_class").isin(*PROVENANCE_SEVERITY))
-    rules = [
-        _rule(limited, F.concat(F.lit("NF-PROVENANCE-"), F.col("provenance_class")), severity, 1),
-        _rule(evidence.where(F.size(F.coalesce("gaps", F.array().cast(evidence.schema["gaps"].dataType))) > 0), "NF-BAD-SECTORS", "serious", F.size("gaps")),
-        _rule(evidence.where(F.upper("notes").contains("MISMATCH")), "NF-EMBEDDED-HASH", "serious", 1),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    severity = F.try_element_at(F.create_map(*[F.lit(x) for kv in PROVENANCE_SEVERITY.items() for x in kv]), F.col("provenance_class"))
+    gaps = F.size(F.coalesce("gaps", F.array().cast(evidence.schema["gaps"].dataType)))
+    return _rules(
+        evidence,
+        [
+            (F.col("provenance_class").isin(*PROVENANCE_SEVERITY), F.concat(F.lit("NF-PROVENANCE-"), F.col("provenance_class")), severity, 1),
+            (gaps > 0, "NF-BAD-SECTORS", "serious", gaps),
+            (F.upper("notes").contains("MISMATCH"), "NF-EMBEDDED-HASH", "serious", 1),
+        ],
+    )
 
 
 def identification_findings(evidence: DataFrame, identification: DataFrame) -> DataFrame:
     missing = evidence.select("evidence_id").join(identification.select("evidence_id"), "evidence_id", "left_anti")
     unknown = (F.col("status") == "unknown") | F.col("family").isNull()
     parses = F.coalesce(F.col("parse_supported"), F.lit(False))
-    rules = [
-        _rule(missing, "NF-NOT-IDENTIFIED", "attention", 1),
-        _rule(identification.where(unknown), "NF-UNKNOWN-FORMAT", "attention", 1),
-        _rule(identification.where(~unknown & ~parses), "NF-CARVE-ONLY", "attention", 1),
-        _rule(identification.where("status = 'ambiguous'"), "NF-AMBIGUOUS", "attention", 1),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    known = [(unknown, "NF-UNKNOWN-FORMAT", "attention", 1), (~unknown & ~parses, "NF-CARVE-ONLY", "attention", 1), (F.col("status") == "ambiguous", "NF-AMBIGUOUS", "attention", 1)]
+    return _rules(missing, [(F.lit(True), "NF-NOT-IDENTIFIED", "attention", 1)]).unionByName(_rules(identification, known))
 
 
-def recording_findings(recording: DataFrame) -> DataFrame:
-    sums = recording.groupBy("evidence_id").agg(
+def _recording_sums(recording: DataFrame) -> DataFrame:
+    return recording.groupBy("evidence_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("local_start_us").isNull()).alias("no_time"), F.count_if(F.col("channel").isNull()).alias("no_channel"),
         F.count_if(F.coalesce("t_method", F.lit("none")) == "none").alias("no_offset"),
     )
-    rules = [
-        _rule(sums.where("no_time > 0"), "NF-TIME-UNKNOWN", "attention", F.col("no_time")),
-        _rule(sums.where("no_channel > 0"), "NF-CHANNEL-UNKNOWN", "info", F.col("no_channel")),
-        _rule(sums.where("no_offset = total"), "NF-NO-CLOCK-OFFSET", "serious", F.col("no_offset")),
+
+
+def _recording_rules() -> list[tuple]:
+    return [
+        (F.col("no_time") > 0, "NF-TIME-UNKNOWN", "attention", F.col("no_time")),
+        (F.col("no_channel") > 0, "NF-CHANNEL-UNKNOWN", "info", F.col("no_channel")),
+        (F.col("no_offset") == F.col("total"), "NF-NO-CLOCK-OFFSET", "serious", F.col("no_offset")),
     ]
-    return reduce(DataFrame.unionByName, rules)
 
 
-def process_findings(recording: DataFrame, coverage: DataFrame) -> DataFrame:
+def recording_findings(recording: DataFrame) -> DataFrame:
+    return _rules(_recording_sums(recording), _recording_rules())
+
+
+def _process_rules() -> list[tuple]:
     """Evidence with recordings of which no recovery ever made a coverage map."""
-    rows = recording.select("evidence_id").distinct().join(coverage.select("evidence_id"), "evidence_id", "left_anti")
-    return _rule(rows, "NF-NO-RECOVERY", "attention", 1)
+    return [(F.col("total").isNotNull() & F.col("covered").isNull(), "NF-NO-RECOVERY", "attention", 1)]
+
+
+def process_findings(recording: DataFrame, coverage: DataFrame) -> DataFrame:
+    return _rules(_recording_sums(recording).join(_coverage_sums(coverage), "evidence_id", "left"), _process_rules())
+
+
+def result_findings(recording: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The findings on coverage, recordings and process together: each table is added up once."""
+    return _rules(_recording_sums(recording).join(_coverage_sums(coverage), "evidence_id", "full"), [*_coverage_rules(), *_recording_rules(), *_process_rules()])
 
 
 def custody_breaks(custody: DataFrame) -> DataFrame:
     """evidence_id, seq, expected, found: transfers released by another holder than the last one received by.
 
     Names are compared without case and outer white space of any kind."""
-    name = lambda c: F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    order = Window.partitionBy("evidence_id").orderBy("seq")
-    rows = custody.withColumn("expected", F.lag("to_holder").over(order))
-    return rows.where(name(F.col("expected")) != name(F.col("from_holder"))).select("evidence_id", "seq", "expected", F.col("from_holder").alias("found"))
+    rows = _handed_on(custody).where(_name("expected") != _name("from_holder"))
+    return rows.select("evidence_id", "seq", "expected", F.col("from_holder").alias("found"))
+
+
+def _name(column: str) -> Column:
+    return F.lower(F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+
+
+def _handed_on(custody: DataFrame) -> DataFrame:
+    return custody.withColumn("expected", F.lag("to_holder").over(Window.partitionBy("evidence_id").orderBy("seq")))
 
 
 def missing_documents(evidence: DataFrame, attachment: DataFrame) -> DataFrame:
@@ -99,31 +128,30 @@ def missing_documents(evidence: DataFrame, attachment: DataFrame) -> DataFrame:
 
 
 def custody_findings(evidence: DataFrame, custody: DataFrame, attachment: DataFrame) -> DataFrame:
-    sums = custody.groupBy("evidence_id").agg(F.count_if(F.col("seal_intact") == 0).alias("broken"), F.count_if(F.col("seal_intact").isNull()).alias("unsealed"))
-    known = evidence.select("evidence_id")
-    sums = known.join(sums, "evidence_id", "left")
-    gaps = custody_breaks(custody).groupBy("evidence_id").agg(F.count(F.lit(1)).alias("gaps")).join(known, "evidence_id", "left_semi")
-    missing = missing_documents(evidence, attachment)
-    rules = [
-        _rule(sums.where("broken is null"), "NF-NO-CUSTODY", "serious", 1),
-        _rule(sums.where("broken > 0"), "NF-SEAL-BROKEN", "serious", F.col("broken")),
-        _rule(sums.where("unsealed > 0"), "NF-NO-SEAL", "attention", F.col("unsealed")),
-        _rule(gaps, "NF-CUSTODY-GAP", "serious", F.col("gaps")),
-        _rule(missing, "NF-MISSING-DOCUMENTS", "attention", F.size("missing")),
+    breaks = F.coalesce(_name("expected") != _name("from_holder"), F.lit(False))
+    sums = _handed_on(custody).groupBy("evidence_id").agg(
+        F.count_if(F.col("seal_intact") == 0).alias("broken"), F.count_if(F.col("seal_intact").isNull()).alias("unsealed"), F.count_if(breaks).alias("gaps")
+    )
+    held = [
+        (F.col("broken").isNull(), "NF-NO-CUSTODY", "serious", 1),
+        (F.col("broken") > 0, "NF-SEAL-BROKEN", "serious", F.col("broken")),
+        (F.col("unsealed") > 0, "NF-NO-SEAL", "attention", F.col("unsealed")),
+        (F.col("gaps") > 0, "NF-CUSTODY-GAP", "serious", F.col("gaps")),
     ]
-    return reduce(DataFrame.unionByName, rules)
+    found = _rules(evidence.select("evidence_id").join(sums, "evidence_id", "left"), held)
+    return found.unionByName(_rules(missing_documents(evidence, attachment), [(F.lit(True), "NF-MISSING-DOCUMENTS", "attention", F.size("missing"))]))
 
 
 def anomaly_findings(anomaly: DataFrame) -> DataFrame:
     code = F.concat(F.lit("NF-TIME-"), F.upper(F.translate("kind", "_", "-")))
-    return _rule(anomaly, code, "attention", F.col("count"))
+    return _rules(anomaly, [(F.lit(True), code, "attention", F.col("count"))])
 
 
 def negative_findings(evidence, identification, recording, coverage, custody, attachment, anomaly) -> DataFrame:
     """Every rule's findings, ordered by severity, code and evidence."""
     rules = [
-        coverage_findings(coverage), acquisition_findings(evidence), identification_findings(evidence, identification), recording_findings(recording),
-        process_findings(recording, coverage), custody_findings(evidence, custody, attachment), anomaly_findings(anomaly),
+        acquisition_findings(evidence), identification_findings(evidence, identification), result_findings(recording, coverage),
+        custody_findings(evidence, custody, attachment), anomaly_findings(anomaly),
     ]
     found = reduce(DataFrame.unionByName, rules)
     return found.orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), "code", "evidence_id", "n")
