@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,3 +88,17 @@ def numbered(prefix: str, rank: Column, digits: int = 3) -> Column:
 def sorted_map(m: Column) -> Column:
     """A map with its entries in key order."""
     return F.map_from_entries(F.array_sort(F.map_entries(m)))
+
+
+def crc32_mpeg2(content: Column) -> Column:
+    """CRC-32/MPEG-2 of a binary value: polynomial 04C11DB7, bits in order, no final complement.
+
+    It is the common CRC-32 of the bytes with their bits reversed, complemented and with its own bits reversed."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else int(f"{zlib.crc32(v.translate(_MIRRORED)) ^ 0xFFFFFFFF:032b}"[::-1], 2)).astype("Int64")
+
+    return F.pandas_udf(run, "long")(content)
+
+
+_MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
