@@ -2,6 +2,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -162,3 +163,10 @@ def test_the_pages_of_the_test_data(spark):
 
 def test_empty_table(spark):
     assert h.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<i>" * 20_000 + "<p>" * 3_000, "<select>" + "<p><select>" + "<i>" * 20_000 + "<p>" * 3_000, "<div>" * 100_000, "<i>" * 100_000, "<td>" * 50_000 + "<li>" * 50_000], ids=["p", "scope", "div", "i", "cells"])
+def test_unclosed_elements_take_linear_time(page):
+    began = time.process_time()
+    h.parse(page)
+    assert time.process_time() - began < 5

@@ -29,8 +29,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -98,7 +97,8 @@ def parse(page: str) -> Element:
     """The DOM of a page: elements, and strings for text with character references decoded."""
     root = Element("html")
     stack, at = [root], 0
-    is_open: Counter[str] = Counter()
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are, so that no tag walks the stack
+    scopes: list[int] = [0]
 
     def enter(element: Element) -> None:
         if len(stack) >= DEEPEST:
@@ -109,14 +109,23 @@ def parse(page: str) -> Element:
                 element.children = stack[-1].children
         else:
             stack[-1].children.append(element)
+        places.setdefault(element.tag, []).append(len(stack))
+        if element.tag in SCOPES:
+            scopes.append(len(stack))
         stack.append(element)
-        is_open[element.tag] += 1
+
+    def last(tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 for none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def leave(k: int) -> None:
         """Close all elements from the k-th on."""
         gone = stack[k:]
         del stack[k:]
-        is_open.subtract(e.tag for e in gone)
+        for e in gone:
+            places[e.tag].pop()
+        while scopes[-1] >= k:
+            scopes.pop()
         if len(stack) > DEEPEST and any(e.children is not stack[-1].children for e in gone):
             rest = Element(stack[-1].tag)  # what follows comes behind the element closed
             rest.style, rest.noise = stack[-1].style, stack[-1].noise
@@ -135,27 +144,20 @@ def parse(page: str) -> Element:
             break
         tag = m[2].lower()
         if m[1]:
-            if is_open[tag]:
-                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            if k := last((tag,)):
+                leave(k)
             elif tag == "p":  # without a start it stands for an empty paragraph
                 stack[-1].children.append(Element("p"))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P and is_open["p"]:  # an open paragraph ends, with what is open in it
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    leave(k)
-                if k < len(stack) and stack[k].tag in SCOPES:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSED_BY_ITSELF.get(tag, ()):
+        if tag in CLOSES_P:  # an open paragraph ends, with what is open in it
+            while (k := last(("p",))) > scopes[-1]:
                 leave(k)
-                break
-            if stack[k].tag in SCOPES:
-                break
+        if (k := last(CLOSED_BY_ITSELF.get(tag, ()))) > scopes[-1]:
+            leave(k)
         element = Element(tag, m[3])
-        if tag == "header" and not any(is_open[t] for t in MAIN_TAGS):  # an article's own header has its title
+        if tag == "header" and not last(MAIN_TAGS):  # an article's own header has its title
             element.noise = True
         if tag in RAW:
             stack[-1].children.append(element)
