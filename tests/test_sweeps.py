@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import staging
-from tracewell.operators import intervals, sweeps
+from tracewell.operators import anomalies, frames, intervals, sweeps, timeline
 
 
 @pytest.fixture
@@ -77,6 +77,40 @@ def test_subtract_and_complement(spark, monkeypatch):
     both(monkeypatch, lambda: intervals.complement(holes, ["k"], bounds))
 
 
+def test_times_of_one_item(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), i, rng.choice([1, 1, 2, None]), s := rng.randrange(10**5), s + rng.randrange(-5, 300), rng.randrange(9), rng.randrange(500), rng.choice("ab")) for i in range(500)]
+    schema = "evidence_id int, recording_id int, channel int, start_us long, end_us long, uncertainty_us long, index_position long, extent_key string"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    volumes = spark.createDataFrame([(1, 500, 90_000), (2, 0, 50)], "evidence_id int, formatted_us long, acquired_us long")
+
+    def every():
+        columns = ("gap_start_us", "gap_end_us")
+        parts = [timeline.channel_gaps(df, 1), timeline.synchronised_gaps(df, 1), timeline.covered_gaps(df, ["evidence_id", "channel"])]
+        out = parts[0].select("evidence_id", *columns)
+        for p in parts[1:]:
+            out = out.unionByName(p.select("evidence_id", *columns))
+        found = anomalies.detect(df, volumes).selectExpr("evidence_id", "cast(seconds * 1e6 as long) as gap_start_us", "count as gap_end_us")
+        return out.unionByName(found)
+
+    assert len(both(monkeypatch, every)) > 200
+
+
+def test_frames_of_one_span(spark, monkeypatch):
+    rng = random.Random(6)
+    at, rows = 0, []
+    for i in range(600):
+        at += rng.choice([0, 0, 0, 0, 7])
+        rows.append((1 if i < 500 else 2, 5, at, 100, rng.choice(["I", "P", "P", "audio"]), rng.choice([1, 1, 1, 2, None]), rng.choice([None, i * 40_000, i * 40_000 - 9_000_000]), i - rng.choice([0] * 20 + [9]), rng.choice(["h264", None]), i * 40 % 65536, i // 25))
+        at += 100
+    schema = "evidence_id int, span_id int, offset long, length long, kind string, channel int, local_us long, sequence long, codec string, tick int, seconds long"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    ticks = lambda: frames.unwrapped_ticks(df, ["evidence_id"]).select("offset", "pts_ms")
+    for make in (lambda: frames.runs(df), lambda: frames.carved_recordings(frames.runs(df)), lambda: frames.channel_segments(df, ["evidence_id"]), ticks):
+        with monkeypatch.context() as m:
+            assert len(both(m, make)) > 20
+
+
 def test_no_task_has_most_of_a_hot_key(spark, by_ranges):
     rows = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("at"), F.lit(1).alias("by"))
     made = sweeps.swept(sweeps.dealt(rows, ["k"], ["at"]), ["k"], ["at"], s=("sum", "by"))

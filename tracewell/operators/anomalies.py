@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweeps
+
 SHOWN = 20
 
 #: Explanations that fit each kind.
@@ -52,8 +54,9 @@ def _found(df: DataFrame, kind: str, channel, ids, seconds, count) -> DataFrame:
 
 def _neighbours(segments: DataFrame, *order: str) -> DataFrame:
     timed = segments.where("start_us is not null and end_us is not null")
-    by = Window.partitionBy("evidence_id", "channel").orderBy(*order)
-    return timed.withColumn("n", F.lead(F.struct("start_us", "end_us", "recording_id", "extent_key")).over(by)).where("n is not null")
+    keys, along = ["evidence_id", "channel"], list(order)
+    timed = timed.select(*(c for c in (*keys, "start_us", "end_us", "recording_id", "extent_key", "index_position") if c in timed.columns))
+    return sweeps.swept(sweeps.dealt(timed, keys, along), keys, along, n=("lead", F.struct("start_us", "end_us", "recording_id", "extent_key"))).where("n is not null")
 
 
 def duplicate_windows(segments: DataFrame) -> DataFrame:

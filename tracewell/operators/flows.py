@@ -4,10 +4,10 @@ Nothing here writes: the rows returned are stored with sources.casestore. Times
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import findings, intervals, motion, timeline
+from . import findings, intervals, motion, sweeps, timeline
 
 
 def renormalise(recordings: DataFrame, segments: DataFrame) -> DataFrame:
@@ -39,8 +39,9 @@ def timeline_data(recordings: DataFrame, segments: DataFrame) -> tuple[DataFrame
     rows = renormalise(recordings, segments).withColumnsRenamed({"ref_start_us": "start_us", "ref_end_us": "end_us"})
     unsure = F.col("uncertainty_s") * timeline.SECOND
     rows = timeline.placements(rows.withColumns({"start_u": unsure, "end_u": unsure}))
-    order = Window.partitionBy("evidence_id", "channel").orderBy("start_us", "end_us", "recording_id")
-    placed = rows.where("unplaced is null").withColumn("position", F.row_number().over(order))
+    keys, order = ["evidence_id", "channel"], ["start_us", "end_us", "recording_id"]
+    placed = rows.where("unplaced is null").withColumn("__one", F.lit(1))
+    placed = sweeps.swept(sweeps.dealt(placed, keys, order), keys, order, position=("sum", "__one"))
     lanes = placed.select("evidence_id", "channel", F.col("position").cast("long").alias("position"), "recording_id", "start_us", "end_us", "uncertainty_s")
     return lanes, rows.where("unplaced is not null").select("evidence_id", "channel", "recording_id", F.col("unplaced").alias("reason"))
 

@@ -87,10 +87,11 @@ def confidence_note(frame_count: Column, channel: Column, start_us: Column, keyf
 
 def carved_recordings(found: DataFrame, unreadable: bool = False) -> DataFrame:
     """Runs as recordings in physical order, and of one place by span: T4 where the image has unreadable ranges, else T3."""
-    order = Window.partitionBy("evidence_id").orderBy("offset", "run", *(c for c in found.columns if c == "span_id"))
+    keys, order = ["evidence_id"], ["offset", "run", *(c for c in found.columns if c == "span_id")]
+    rows = sweeps.swept(sweeps.dealt(found.withColumn("__one", F.lit(1)), keys, order), keys, order, position=("sum", "__one"))
     what = [F.col(c) for c in ("frame_count", "channel", "start_us", "keyframes")]
-    return found.select(
-        "evidence_id", F.row_number().over(order).alias("position"), F.lit("T4" if unreadable else "T3").alias("tier"), "offset", "length", "channel", "codec", "start_us", "end_us",
+    return rows.select(
+        "evidence_id", F.col("position").cast("int").alias("position"), F.lit("T4" if unreadable else "T3").alias("tier"), "offset", "length", "channel", "codec", "start_us", "end_us",
         "frame_count", "keyframes", confidence(*what).alias("confidence"), confidence_note(*what).alias("confidence_note"), "trimmed_bytes", "ended",
     )
 
@@ -99,12 +100,12 @@ def unwrapped_ticks(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Adds pts_ms: a 16-bit millisecond tick unwrapped, with whole-second device time to count the wraps.
 
     frames: keys, offset, tick, seconds (null where the date does not decode)."""
-    order = Window.partitionBy(*keys).orderBy("offset")
-    step = F.pmod(F.col("tick") - F.lag("tick").over(order), F.lit(TICK))
-    known = F.last("seconds", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    wraps = F.coalesce(F.rint(((F.col("seconds") - known) * 1000 - step) / TICK), F.lit(0.0)).cast("long")
-    rows = frames.withColumn("__step", F.coalesce(step + wraps * TICK, F.col("tick")).cast("long"))
-    return rows.withColumn("pts_ms", F.sum("__step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+    order = ["offset"]
+    rows = sweeps.swept(sweeps.dealt(frames, keys, order), keys, order, __tick=("lag", "tick"), __known=("last_before", "seconds"))
+    step = F.pmod(F.col("tick") - F.col("__tick"), F.lit(TICK))
+    wraps = F.coalesce(F.rint(((F.col("seconds") - F.col("__known")) * 1000 - step) / TICK), F.lit(0.0)).cast("long")
+    rows = rows.withColumn("__step", F.coalesce(step + wraps * TICK, F.col("tick")).cast("long"))
+    return sweeps.swept(rows, keys, order, pts_ms=("sum", "__step")).drop("__step", "__tick", "__known", sweeps.PART)
 
 
 def channel_segments(frames: DataFrame, keys: list[str], step_us: int = 2 * SECOND) -> DataFrame:
@@ -112,16 +113,17 @@ def channel_segments(frames: DataFrame, keys: list[str], step_us: int = 2 * SECO
 
     Missing bytes end all channels' segments; a channel's own ends where its video time steps back, or forward by more
     than step_us, from the last time it stated."""
-    order = Window.partitionBy(*keys).orderBy("offset")
-    broken = F.coalesce(F.col("offset") != F.lag(F.col("offset") + F.col("length")).over(order), F.lit(False))
-    rows = frames.withColumn("__gap", F.sum(F.when(broken, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    of_channel = Window.partitionBy(*keys, "__gap", "channel").orderBy("offset")
+    order = ["offset"]
+    rows = sweeps.swept(sweeps.dealt(frames, keys, order), keys, order, __end=("lag", F.col("offset") + F.col("length")))
+    rows = rows.withColumn("__broken", F.coalesce(F.col("offset") != F.col("__end"), F.lit(False)).cast("int"))
+    rows = sweeps.swept(rows, keys, order, __gap=("sum", "__broken")).drop("__end", "__broken", sweeps.PART)
     video = F.col("kind").isin(*VIDEO)
     stated = F.when(video, F.col("local_us"))
-    before = F.last(stated, True).over(of_channel.rowsBetween(Window.unboundedPreceding, -1))
+    of_channel = [*keys, "__gap", "channel"]
+    rows = sweeps.swept(sweeps.dealt(rows, of_channel, order), of_channel, order, __before=("last_before", stated))
+    before = F.col("__before")
     steps = F.coalesce(stated.isNotNull() & ((stated < before) | (stated > before + step_us)), F.lit(False))
-    rows = rows.withColumn("__step", steps.cast("int"))
-    rows = rows.withColumn("__segment", F.sum("__step").over(of_channel.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = sweeps.swept(rows.withColumn("__step", steps.cast("int")), of_channel, order, __segment=("sum", "__step"))
     timed = F.when(stated.isNotNull(), F.col("offset"))
     made = rows.groupBy(*keys, "__gap", "channel", "__segment").agg(
         F.min("offset").alias("offset"), F.sum("length").alias("size_bytes"), F.count_if(video).alias("frame_count"),

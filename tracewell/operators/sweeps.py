@@ -70,22 +70,22 @@ def _carried(df: DataFrame, rows: DataFrame, keys: list[str], order: list[str],
     """rows with what other ranges add. df: the rows as dealt, without the swept columns."""
     key = F.struct(*keys)
     ends = df.groupBy(PART).agg(F.min(key).alias("first"), F.max(key).alias("last"))  # a row for each range
-    crossing = ends.select(PART, F.explode(F.array_distinct(F.array("first", "last"))).alias("__key"))
+    crossing = ends.select(PART, F.explode(F.array_distinct(F.array("first", "last"))).alias("__sweep_key"))
     place = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])  # nulls first
     total = {
         "sum": lambda n: F.sum(value[n]), "max_before": lambda n: F.max(value[n]), "last": lambda n: F.max_by(value[n], F.when(value[n].isNotNull(), place)),
         "last_before": lambda n: F.max_by(value[n], F.when(value[n].isNotNull(), place)), "lag": lambda n: F.max_by(boxed[n], place), "lead": lambda n: F.min_by(boxed[n], place),
     }
-    held = df.withColumn("__key", key).join(F.broadcast(crossing), [PART, "__key"], "left_semi")  # two rows for each range
-    sums = held.groupBy("__key", PART).agg(*[total[kind](n).alias(n) for n, kind in kinds.items()])
-    w = Window.partitionBy("__key").orderBy(PART)  # of a hot key, a row for each of its ranges
+    held = df.withColumn("__sweep_key", key).join(F.broadcast(crossing), [PART, "__sweep_key"], "left_semi")  # two rows for each range
+    sums = held.groupBy("__sweep_key", PART).agg(*[total[kind](n).alias(n) for n, kind in kinds.items()])
+    w = Window.partitionBy("__sweep_key").orderBy(PART)  # of a hot key, a row for each of its ranges
     earlier, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     carry = {
         "sum": lambda n: F.sum(n).over(earlier), "max_before": lambda n: F.max(n).over(earlier), "last": lambda n: F.last(n, True).over(earlier),
         "last_before": lambda n: F.last(n, True).over(earlier), "lag": lambda n: F.last(n).over(earlier), "lead": lambda n: F.first(n).over(later),
     }
-    carried = sums.select("__key", PART, *[carry[kind](n).alias(f"__c_{n}") for n, kind in kinds.items()])
+    carried = sums.select("__sweep_key", PART, *[carry[kind](n).alias(f"__carried_{n}") for n, kind in kinds.items()])
     both = {"sum": lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0))), "max_before": F.greatest}
-    rows = rows.withColumn("__key", key).join(F.broadcast(carried), [PART, "__key"], "left")
-    made = {n: both.get(kind, lambda a, b: F.coalesce(a, b))(F.col(n), F.col(f"__c_{n}")) for n, kind in kinds.items()}
-    return rows.withColumns(made).drop("__key", *[f"__c_{n}" for n in kinds])
+    rows = rows.withColumn("__sweep_key", key).join(F.broadcast(carried), [PART, "__sweep_key"], "left")
+    made = {n: both.get(kind, lambda a, b: F.coalesce(a, b))(F.col(n), F.col(f"__carried_{n}")) for n, kind in kinds.items()}
+    return rows.withColumns(made).drop("__sweep_key", *[f"__carried_{n}" for n in kinds])

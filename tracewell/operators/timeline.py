@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweeps
 from .intervals import islands
 
 #: The least uncertainty each method of observing a clock allows, in seconds.
@@ -106,9 +107,9 @@ def channel_gaps(segments: DataFrame, min_gap_us: int = SECOND, keys: tuple[str,
 
     Only neighbours are compared: a segment nested in an earlier one opens a gap after its own end. For gaps in what all
     segments cover together, use covered_gaps."""
-    order = Window.partitionBy(*keys, "channel").orderBy("start_us", "end_us", "recording_id")
-    right = F.lead(F.struct("start_us", "uncertainty_us", "recording_id")).over(order)
-    both = segments.withColumn("r", right).where("r is not null")
+    by, order = [*keys, "channel"], ["start_us", "end_us", "recording_id"]
+    slim = segments.select(*by, *order, "uncertainty_us")
+    both = sweeps.swept(sweeps.dealt(slim, by, order), by, order, r=("lead", F.struct("start_us", "uncertainty_us", "recording_id"))).where("r is not null")
     gaps = both.select(
         *keys, "channel", (F.col("end_us") + F.col("uncertainty_us")).alias("gap_start_us"), (F.col("r.start_us") - F.col("r.uncertainty_us")).alias("gap_end_us"),
         (F.col("uncertainty_us") + F.col("r.uncertainty_us")).alias("uncertainty_us"), F.col("recording_id").alias("after_id"), F.col("r.recording_id").alias("before_id"),
@@ -119,8 +120,8 @@ def channel_gaps(segments: DataFrame, min_gap_us: int = SECOND, keys: tuple[str,
 def covered_gaps(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Gaps between the islands of what the segments of a key cover."""
     runs = islands(segments.select(*keys, F.col("start_us").alias("start"), F.col("end_us").alias("end")), keys)
-    before = F.lag("end").over(Window.partitionBy(*keys).orderBy("start"))
-    return runs.select(*keys, before.alias("gap_start_us"), F.col("start").alias("gap_end_us")).where("gap_start_us < gap_end_us")
+    runs = sweeps.swept(sweeps.dealt(runs, keys, ["start"]), keys, ["start"], gap_start_us=("lag", "end"))
+    return runs.select(*keys, "gap_start_us", F.col("start").alias("gap_end_us")).where("gap_start_us < gap_end_us")
 
 
 def synchronised_gaps(segments: DataFrame, min_gap_us: int = SECOND, key: str = "evidence_id") -> DataFrame:
@@ -133,8 +134,8 @@ def synchronised_gaps(segments: DataFrame, min_gap_us: int = SECOND, key: str =
     spans = spans.where("n >= 2 and high > low")
     covered = islands(segments.select(key, F.col("start_us").alias("start"), F.col("end_us").alias("end")), [key])
     tail = spans.select(key, F.col("high").alias("start"), F.col("high").alias("end"))
-    reach = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    seen = covered.select(key, "start", "end").unionByName(tail).withColumn("reach", reach).join(spans, key)
+    both, order = covered.select(key, "start", "end").unionByName(tail), ["start", "end"]
+    seen = sweeps.swept(sweeps.dealt(both, [key], order), [key], order, reach=("max_before", "end")).join(spans, key)
     gaps = seen.select(key, "u", F.greatest(F.coalesce("reach", "low"), "low").alias("a"), F.least("start", "high").alias("b"))
     gaps = gaps.select(key, (F.col("a") + F.col("u")).alias("gap_start_us"), (F.col("b") - F.col("u")).alias("gap_end_us"), (2 * F.col("u")).alias("uncertainty_us"))
     return gaps.where(F.col("gap_end_us") - F.col("gap_start_us") >= min_gap_us).distinct()
@@ -143,8 +144,9 @@ def synchronised_gaps(segments: DataFrame, min_gap_us: int = SECOND, key: str =
 def gap_basis(recordings: DataFrame) -> DataFrame:
     """Adds basis ('reference' if any recording of the evidence has a reference start, else 'device'), the times on that
     basis, and placed."""
-    any_ref = F.max(F.col("ref_start_us").isNotNull()).over(Window.partitionBy("evidence_id"))
-    rows = recordings.withColumn("basis", F.when(any_ref, "reference").otherwise("device"))
+    timed = recordings.where("ref_start_us is not null").select(F.col("evidence_id").alias("__timed")).distinct()
+    rows = recordings.join(timed, F.col("evidence_id").eqNullSafe(F.col("__timed")), "left")  # items are few: no item's rows are gathered
+    rows = rows.withColumn("basis", F.when(F.col("__timed").isNotNull(), "reference").otherwise("device")).drop("__timed")
     pick = lambda ref, dev: F.when(F.col("basis") == "reference", F.col(ref)).otherwise(F.col(dev))
     rows = rows.withColumns({"start_us": pick("ref_start_us", "local_start_us"), "end_us": pick("ref_end_us", "local_end_us")})
     return rows.withColumn("placed", F.coalesce(F.col("end_us") >= F.col("start_us"), F.lit(False)))
