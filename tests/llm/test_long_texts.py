@@ -47,3 +47,14 @@ def test_operators_in_threads_keep_their_tables(spark):
     alone = [rows(how) for how in operators]
     with ThreadPoolExecutor(3) as threads:
         assert [*threads.map(rows, operators)] == alone
+
+
+def test_clear_empties_the_shared_folder(spark, tmp_path, monkeypatch):
+    from tracewell.llm import common, exact_dedup, mixing
+
+    docs = spark.createDataFrame([(i, f"text {i % 5}", f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    made = [how(docs).count() for how in (exact_dedup.exact_groups, mixing.mix)]
+    assert made == [30, 30] and packing.pack(docs).count() == 30 and any(tmp_path.iterdir())
+    common.clear(spark)
+    assert list(tmp_path.iterdir()) == []

@@ -36,8 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tracewell-corpus-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/tracewell/{tag}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and archives that operators of this session have left for their results to read. Call it when the
+    results are written or read; a result read after it fails."""
+    drop_path(spark, session_folder(spark))
 
 
 def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
