@@ -15,7 +15,8 @@ def plain(queries, candidates, k):
     whole = lambda v: [int(np.floor(x * 256)) for x in v]
     own = [(i, whole(v)) for i, v in candidates if i is not None and fine(v)]
     rows = []
-    for i, q in {(i, tuple(whole(v)), tuple(v)) for i, v in queries if i is not None and fine(v)} and [(a, b) for a, b, _ in {(i, tuple(whole(v)), tuple(v)) for i, v in queries if i is not None and fine(v)}]:
+    for i, v in {(i, tuple(v)) for i, v in queries if i is not None and fine(v)}:
+        q = whole(v)
         found = sorted((-min(max(sum(a * b for a, b in zip(q, c)), -(2**63)), 2**63 - 1), j) for j, c in own if j != i and len(c) == len(q))[:k]
         rows += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
     return sorted(rows)
