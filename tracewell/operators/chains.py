@@ -49,7 +49,7 @@ def on_chain(rows: DataFrame, keys: list[str], start: str = "offset", length: st
     rows = staged(rows.withColumns({"__start": F.col(start).cast("long"), "__end": checked}), "candidates")
     parts = max(1, -(-rows.count() // RANGE))
     by = [F.col(c).asc_nulls_first() for c in [*keys, "__start"]]
-    rows = staged(rows.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "ranges")
+    rows = staged(rows.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "ranges") if parts > 1 else rows.withColumn("__part", F.lit(0))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
     slim = rows.select("__part", *keys, "__start", "__end")
@@ -93,8 +93,9 @@ def on_chain(rows: DataFrame, keys: list[str], start: str = "offset", length: st
 
     # where each range's rows of a key end: a place is met by the first later range with a row that starts there or after
     reach = slim.groupBy(*keys, "__part").agg(F.max("__start").alias("__last"), F.min("__start").alias("__first"))
-    crossing = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
-    reach = staged(reach.withColumn("__cross", crossing), "reach")
+    if parts > 1:
+        crossing = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+        reach = staged(reach.withColumn("__cross", crossing), "reach")
     first = reach.groupBy(*keys).agg(F.min_by("__part", "__first").alias("__part"), F.lit(LOWEST).alias("__at"))
     if parts > 1:
         # only keys of several ranges have paths from one to another
