@@ -91,11 +91,11 @@ def on_chain(rows: DataFrame, keys: list[str], start: str = "offset", length: st
                     i = follow[i]
         return table.take(pa.array(sorted(kept), pa.int64()))
 
+    # (staged also because a cogroup of two frames of one lineage confuses their columns)
     # where each range's rows of a key end: a place is met by the first later range with a row that starts there or after
     reach = slim.groupBy(*keys, "__part").agg(F.max("__start").alias("__last"), F.min("__start").alias("__first"))
-    if parts > 1:
-        crossing = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
-        reach = staged(reach.withColumn("__cross", crossing), "reach")
+    crossing = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    reach = staged(reach.withColumn("__cross", crossing), "reach")
     first = reach.groupBy(*keys).agg(F.min_by("__part", "__first").alias("__part"), F.lit(LOWEST).alias("__at"))
     if parts > 1:
         # only keys of several ranges have paths from one to another
