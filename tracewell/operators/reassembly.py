@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, packed_datetime
 from ..sources import formats
+from ..staging import staged
 from . import carving, frames, intervals, sweeps
 
 
@@ -45,7 +46,7 @@ def reassembled(chunks: DataFrame, holes: DataFrame, chunk: int = carving.CHUNK,
     The windows are read once. A frame's bytes may look like frames too: what lies inside a frame is never one of its
     piece, but where an unreadable range takes the outer frame, those inside it are found."""
     found = formats.frame_candidates(chunks, chunk)
-    pieces = pieces_of(found, holes, max_gap)
+    pieces = staged(pieces_of(found, holes, max_gap), "pieces")  # read twice
     walked = formats.with_codec(formats.walked(found, pieces), ("evidence_id", "piece"))
     rows = walked.withColumns({"local_us": micros(packed_datetime(F.col("date"))), "codec": F.col("codec_hint"), "span_id": F.col("piece")})
     runs = frames.runs(rows.select("evidence_id", "span_id", "offset", "length", "kind", "channel", "local_us", "sequence", "codec"))
