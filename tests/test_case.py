@@ -283,3 +283,30 @@ def test_forms_name_what_the_form_does_not_list(spark):
     rows = [("DVR", ["Owned", "Operated"], 1), ("Tape", ["Owned", "Lent"], 0), (None, None, None)]
     got = [r.problems for r in certificate.form_problems(spark.createDataFrame(rows, "source_type string, control_modes array<string>, instance int")).collect()]
     assert got == [[], ["the form has no such source", "the form has no such control: Lent", "submissions are numbered from 1"], ["the form has no such source", "submissions are numbered from 1"]]
+
+
+def test_chains_stay_whole_where_a_join_is_broadcast_at_run_time(spark):
+    """What the planner took for a large join turns out small while it runs: its shuffle may be read in pieces then."""
+    set_ = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "100MB", "adaptive.coalescePartitions.enabled": "false"}
+    for c, v in set_.items():
+        spark.conf.set(f"spark.sql.{c}", v)
+    try:
+        rows = spark.range(0, 4000, 1, 8).selectExpr(
+            "id % 5 as case_id", "id as n", "'t' as ts_utc", "'o' as operator", "'a' as action", "'x' as target", "'{}' as params", "'ok' as result", "cast(null as string) as hash_before", "cast(null as string) as hash_after"
+        )
+        made = integrity.append_records(spark.createDataFrame([(0, 6, "f" * 64)], "case_id long, seq long, digest string"), rows).collect()
+        joined = rows.join(spark.range(5).withColumnRenamed("id", "case_id"), "case_id", "left")
+        heads = {r.case_id: (r.head, r.records) for r in integrity.fold_chain(joined, "case_id", "n", "target").collect()}
+        linked = integrity.stored_chain(joined, "case_id", "n", "target").groupBy("case_id").count().collect()
+    finally:
+        for c in set_:
+            spark.conf.unset(f"spark.sql.{c}")
+    for case in range(5):
+        mine = sorted((r.seq, r.prev_digest, r.digest) for r in made if r.case_id == case)
+        assert [s for s, *_ in mine] == list(range(7 if case == 0 else 0, 807 if case == 0 else 800))
+        assert [p for _, p, _ in mine] == [("f" if case == 0 else "0") * 64, *(d for *_, d in mine[:-1])]
+        head = "0" * 64
+        for _ in range(800):
+            head = hashlib.sha256((head + "x").encode()).hexdigest()
+        assert heads[case] == (head, 800)
+    assert {(r.case_id, r["count"]) for r in linked} == {(k, 800) for k in range(5)}

@@ -71,6 +71,14 @@ def body_json(params: str = "params") -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def _in_turn(records: DataFrame, key: str, order: str) -> DataFrame:
+    """records with `place`, from 1 in each chain, and each chain whole and in order in one task.
+
+    The window is what keeps a chain whole: a repartition by the key of a join before it is dropped as done already, and
+    adaptive execution may then read the join's shuffle piece by piece. A window's needs are kept."""
+    return records.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+
+
 def fold_chain(records: DataFrame, key: str, order: str, content: str) -> DataFrame:
     """key, head, records: each key's contents folded in order, digest = sha256(previous digest + content).
 
@@ -81,8 +89,8 @@ def fold_chain(records: DataFrame, key: str, order: str, content: str) -> DataFr
         now, head, n = None, GENESIS, 0
         for pdf in batches:
             out = []
-            for k, text in zip(pdf[key], pdf[content]):
-                if k != now:
+            for k, text, place in zip(pdf[key], pdf[content], pdf["place"]):
+                if place == 1:
                     if n:
                         out.append((now, head, n))
                     now, head, n = k, GENESIS, 0
@@ -93,7 +101,7 @@ def fold_chain(records: DataFrame, key: str, order: str, content: str) -> DataFr
             yield pd.DataFrame([(now, head, n)], columns=[key, "head", "records"])
 
     kind = records.schema[key].dataType.simpleString()
-    rows = records.select(key, order, content).repartition(key).sortWithinPartitions(key, order)
+    rows = _in_turn(records.select(key, order, content), key, order)
     return rows.mapInPandas(fold, f"{key} {kind}, head string, records long")
 
 
@@ -103,21 +111,19 @@ def stored_chain(records: DataFrame, key: str, order: str, content: str) -> Data
     Rows stream by as in fold_chain, and no chain is ever held whole."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, head, n = None, GENESIS, 0
+        head = GENESIS
         for pdf in batches:
-            at, before, after = [], [], []
-            for k, text in zip(pdf[key], pdf[content]):
-                if not n or k != now:
-                    now, head, n = k, GENESIS, 0
-                n += 1
-                at.append(n)
+            before, after = [], []
+            for text, place in zip(pdf[content], pdf["place"]):
+                head = GENESIS if place == 1 else head
                 before.append(head)
                 head = hashlib.sha256((head + text).encode()).hexdigest()
                 after.append(head)
-            yield pdf.assign(i=at, prev_digest=before, digest=after)
+            yield pdf.rename(columns={"place": "i"}).assign(prev_digest=before, digest=after)
 
-    rows = records.select(key, order, content).repartition(key).sortWithinPartitions(key, order)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    records = records.select(key, order, content)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema.fields)
+    rows = _in_turn(records, key, order)
     return rows.mapInPandas(link, f"{kinds}, i long, prev_digest string, digest string")
 
 
@@ -190,22 +196,22 @@ def append_records(stored: DataFrame, new: DataFrame, key: str = "case_id", orde
     plain = [c for c in BODY if c not in ("seq", "params", "prev_digest")]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seq, head = link, -1, GENESIS
+        seq, head = -1, GENESIS
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                if now is link or r[key] != now:
-                    now, seq, head = r[key], r["last_seq"], r["last_digest"]
+                if r["place"] == 1:
+                    seq, head = r["last_seq"], r["last_digest"]
                 started = {"start_seq": seq} if r["ends"] else {}
                 params = started | json.loads(r["params"] or "{}") | json.loads(r["extra"] or "{}")
                 seq += 1
                 body = {c: r[c] for c in plain} | {"seq": seq, "params": params, "prev_digest": head}
                 head = hashlib.sha256(canonical(body).encode()).hexdigest()
-                out.append((now, *({**body, "params": canonical(params)}[c] for c in BODY), head))
+                out.append((r[key], *({**body, "params": canonical(params)}[c] for c in BODY), head))
             yield pd.DataFrame(out, columns=[key, *BODY, "digest"])
 
     kinds = ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in BODY)
-    rows = rows.select(key, order, *plain, "params", "ends", "extra", "last_seq", "last_digest").repartition(key).sortWithinPartitions(key, order)
+    rows = _in_turn(rows.select(key, order, *plain, "params", "ends", "extra", "last_seq", "last_digest"), key, order)
     return rows.mapInPandas(link, f"{key} {new.schema[key].dataType.simpleString()}, {kinds}, digest string")
 
 
