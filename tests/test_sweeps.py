@@ -118,3 +118,18 @@ def test_no_task_has_most_of_a_hot_key(spark, by_ranges):
     assert len(sizes) > 100 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
     assert made.agg(F.max("s")).first()[0] == 20_000
     staging.clear(spark)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Whatever the session's number of partitions is: 4 here."""
+    monkeypatch.setattr(sweeps, "SMALL_BYTES", 0)
+    monkeypatch.setattr(sweeps, "SHARE", 50)
+    images = spark.range(40).selectExpr("id as evidence_id", "100000L as size")
+    claims = spark.range(400).selectExpr("id % 40 as evidence_id", "id * 37 % 1000 as offset", "10L as length", "'parsed' as bucket")
+    tiles = intervals.coverage_map(images, claims)
+    assert tiles.rdd.getNumPartitions() == 18  # 800 ends of claims and 80 of images
+    merged = intervals.islands(claims.selectExpr("evidence_id", "offset as start", "offset + length as end"), ["evidence_id"])
+    assert merged.rdd.getNumPartitions() == 8
+    made = sorted(map(tuple, tiles.collect()))
+    monkeypatch.undo()
+    assert made == sorted(map(tuple, intervals.coverage_map(images, claims).collect()))

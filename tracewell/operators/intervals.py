@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sweeps import dealt, is_hot, ranges, swept
+from . import sweeps
+from .sweeps import dealt, ranges, swept
 
 #: What a byte can be, the first one winning where claims overlap.
 BUCKETS = ("unreadable", "structural", "parsed", "carved", "unaccounted")
@@ -54,8 +58,9 @@ def subtract(spans: DataFrame, holes: DataFrame, keys: list[str], near: int = SE
     # two spans that touch stay two pieces: the place where one ends and the next starts is a boundary of its own
     cut = spans.select(*keys, F.col("start").alias("at")).distinct().withColumn("opens", F.lit(True))
     events = events.unionByName(cut, allowMissingColumns=True)
-    hot = is_hot(events, keys)
-    points = (events if hot else events.repartition(*keys)).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("h").alias("h"), F.max("opens").alias("opens"))
+    most, rows = sweeps.counted(events, keys)
+    hot = most > sweeps.HOT
+    points = (events if hot else sweeps.shared_out(events, keys, rows)).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("h").alias("h"), F.max("opens").alias("opens"))
     points = ranges(points, keys, ["at"]) if hot else points
     runs = swept(points.withColumnsRenamed({"s": "__s", "h": "__h"}), keys, ["at"], next=("lead", "at"), s=("sum", "__s"), h=("sum", "__h"))
     runs = swept(runs.withColumn("in", (F.col("s") > 0) & (F.col("h") == 0)), keys, ["at"], __was=("lag", "in"))
@@ -86,8 +91,10 @@ def coverage_map(images: DataFrame, claims: DataFrame) -> DataFrame:
     frame = images.where("size > 0").select("evidence_id", F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"))
     events = edge("low", 1).unionByName(edge("high", -1)).unionByName(frame.select("evidence_id", "at", F.lit("").alias("bucket"), F.lit(0).alias("by")))
     depth = [F.sum(F.when(F.col("bucket") == b, F.col("by")).otherwise(0)).alias(b) for b in BUCKETS[:-1]]
-    hot, keys = is_hot(events, ["evidence_id"]), ["evidence_id"]
-    points = (events if hot else events.repartition("evidence_id")).groupBy("evidence_id", "at").agg(*depth)  # dealt once, for all that follows
+    keys = ["evidence_id"]
+    most, rows = sweeps.counted(events, keys)
+    hot = most > sweeps.HOT
+    points = (events if hot else sweeps.shared_out(events, keys, rows)).groupBy("evidence_id", "at").agg(*depth)  # dealt once, for all that follows
     points = ranges(points, keys, ["at"]) if hot else points
     runs = swept(points.withColumnsRenamed({b: f"__{b}" for b in BUCKETS[:-1]}), keys, ["at"], next=("lead", "at"), **{b: ("sum", f"__{b}") for b in BUCKETS[:-1]})
     won = F.coalesce(*[F.when(F.col(b) > 0, F.lit(b)) for b in BUCKETS[:-1]], F.lit(BUCKETS[-1]))

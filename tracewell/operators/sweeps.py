@@ -13,16 +13,29 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 HOT, RANGE = 2_000_000, 500_000
+#: Rows of a task where no key is hot: the tasks grow with the rows, and what a task sorts and adds up does not.
+SHARE = 125_000
 #: Inputs that Catalyst takes to be smaller have no key counted: a job is saved, and one task can hold them.
 SMALL_BYTES = 16 * 1024 * 1024
 PART = "__part"
 
 
+def counted(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """The rows of the largest key, and of all; not counted where Catalyst takes the input to be small (0, 0)."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_BYTES:
+        return 0, 0
+    return tuple(n or 0 for n in df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first())
+
+
 def is_hot(df: DataFrame, keys: list[str]) -> bool:
     """Whether any key has more than HOT rows."""
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_BYTES:
-        return False
-    return df.groupBy(*keys).count().where(F.col("count") > HOT).limit(1).count() > 0
+    return counted(df, keys)[0] > HOT
+
+
+def shared_out(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df dealt by its keys to as many tasks as its rows (0: not counted) make shares. Partitions of the session's number hold
+    more the larger the input is, and adaptive execution joins small ones by the bytes shuffled, not by what they become."""
+    return df.repartition(-(-rows // SHARE), *keys) if rows else df.repartition(*keys)
 
 
 def ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,8 +47,13 @@ def ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df, in ranges if a key is hot."""
-    return ranges(df, keys, order) if PART not in df.columns and is_hot(df, keys) else df
+    """df, in ranges if a key is hot, else in shares of whole keys."""
+    if PART in df.columns:
+        return df
+    most, rows = counted(df, keys)
+    if most > HOT:
+        return ranges(df, keys, order)
+    return shared_out(df, keys, rows) if rows else df
 
 
 def _window(df: DataFrame, keys: list[str], order: list[str]):
