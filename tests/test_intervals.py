@@ -163,3 +163,26 @@ def test_overlap_is_half_open(spark, a, b, want):
     from pyspark.sql import functions as F
 
     assert df.select(iv.overlap(F.col("a"), F.col("b"))).first()[0] is want
+
+
+def test_islands_of_one_record_are_never_clustered(monkeypatch):
+    """However the rows are cut to batches; an island of few records takes no index, one of many does."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows, want = [], []
+    for island, size in enumerate([1, 1, 40, 1, 3, 2, 1, 33, 1, 1, 5]):
+        mine = [(f"{island}.{k}", [{"offset": rng.randrange(60), "length": rng.choice([0, 1, 9])} for _ in range(rng.randrange(3))]) for k in range(size)]
+        want += iv._clusters(mine)
+        rows += [(None if island < 2 else "E", island, i, "T1", e) for i, e in mine]
+    kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    schema = pa.schema([("evidence_id", pa.string()), ("island", pa.int64()), ("recording_id", pa.string()), ("tier", pa.string()), ("extents", kind)])
+    whole = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    seen, plain, few = [], iv._clusters, iv._few
+    monkeypatch.setattr(iv, "_clusters", lambda r: seen.append(len(r)) or plain(r))
+    monkeypatch.setattr(iv, "_few", lambda r: seen.append(len(r)) or few(r))
+    for step in (1, 2, 7, 30, 1000):
+        seen.clear()
+        made = pa.Table.from_batches(iv._greedy(whole.slice(k, step) for k in range(0, whole.num_rows, step)))
+        assert made.column("kept_id").to_pylist() == want and made.column("recording_id").to_pylist() == [r[2] for r in rows]
+        assert sorted(seen) == [2, 3, 5, 33, 40]

@@ -257,30 +257,77 @@ def _clusters(rows: list[tuple]) -> list:
     return heads
 
 
-def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kept_id of each record; rows come sorted by evidence, island and tier order."""
-    key, held = None, []
+def _few(spans: list[list[tuple[int, int]]]) -> list[int]:
+    """_clusters of a few records, each against all before it: the place of the head of each. A span of no bytes overlaps
+    what it lies inside."""
+    heads_of: list[int] = []
+    seen: list[tuple[int, int, int]] = []
+    heads = []
+    for k, mine in enumerate(spans):
+        mine = [(a, max(a, b)) for a, b in mine]
+        number = min((n for x, y, n in seen for a, b in mine if a < y and x < b), default=len(heads_of))
+        if number == len(heads_of):
+            heads_of.append(k)
+        seen += [(a, b, number) for a, b in mine]
+        heads.append(heads_of[number])
+    return heads
+
 
-    def done(kept: list[pa.RecordBatch], heads: list) -> pa.RecordBatch:
-        table = pa.Table.from_batches(kept).select(["evidence_id", "recording_id", "tier"])
-        return table.append_column("kept_id", pa.array(heads, table.schema.field("recording_id").type)).combine_chunks().to_batches()[0]
+#: Records of an island up to which each is held against all before it.
+FEW = 32
+
+
+def _heads(table: pa.Table) -> pa.RecordBatch:
+    """kept_id of each record of whole islands. Most islands are one record, which is its own head."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    starts = np.flatnonzero(_changes(table))
+    sizes = np.diff(np.append(starts, n))
+    heads, many = np.arange(n), np.flatnonzero(sizes > 1)
+    chosen = table.column("extents").take(pa.array(np.flatnonzero(np.repeat(sizes > 1, sizes)))).combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(chosen), 0).to_pylist()
+    flat = pc.list_flatten(chosen)
+    low = flat.field("offset").to_pylist()
+    spans = iter(list(zip(low, (o + size for o, size in zip(low, flat.field("length").to_pylist())))))
+    for start, size, first in zip(starts[many].tolist(), sizes[many].tolist(), np.cumsum(sizes[many]).tolist()):
+        mine = [list(islice(spans, count)) for count in lengths[first - size : first]]
+        found = _few(mine) if size <= FEW else _clusters([(k, [{"offset": a, "length": b - a} for a, b in m]) for k, m in enumerate(mine)])
+        heads[start : start + size] = start + np.array(found)
+    made = table.select(["evidence_id", "recording_id", "tier"])
+    return made.append_column("kept_id", table.column("recording_id").take(pa.array(heads))).combine_chunks().to_batches()[0]
+
+
+def _changes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Whether each row is of another island than the row before it; true for the first."""
+    new = np.ones(table.num_rows, bool)
+    for c in ("evidence_id", "island"):
+        column = table.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        code = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] = (code[1:] != code[:-1]) | new[1:] if c == "island" else code[1:] != code[:-1]
+    return new
 
-    waiting: list[pa.RecordBatch] = []
-    heads: list = []
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kept_id of each record; rows come sorted by evidence, island and tier order. What is held is the last island."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        waiting.append(b)
-        for evidence, island, recording_id, extents in zip(*(b.column(c).to_pylist() for c in ("evidence_id", "island", "recording_id", "extents"))):
-            if (evidence, island) != key:
-                heads += _clusters(held)
-                key, held = (evidence, island), []
-            held.append((recording_id, extents))
-        while waiting and len(heads) >= waiting[0].num_rows:
-            first = waiting.pop(0)
-            yield done([first], heads[: first.num_rows])
-            heads = heads[first.num_rows :]
-    heads += _clusters(held)
-    if waiting and heads:
-        yield done(waiting, heads)
+        if not b.num_rows:
+            continue
+        edge = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        new = _changes(pa.Table.from_batches([*edge, b]).combine_chunks())[len(edge) :]
+        if not held:
+            new[0] = False  # begins the first island, and ends none
+        ends = np.flatnonzero(new)
+        if len(ends):
+            cut = int(ends[-1])
+            whole = [*held, b.slice(0, cut)]
+            yield _heads(pa.Table.from_batches(whole))
+            held = []
+            b = b.slice(cut)
+        held.append(b)
+    if held:
+        yield _heads(pa.Table.from_batches(held))
 
 
 def merge_tiers(recordings: DataFrame) -> DataFrame:
