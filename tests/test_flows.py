@@ -80,3 +80,16 @@ def test_motion_analysis_and_lookups(spark):
     assert [(r.first_frame, r.last_frame) for r in sessions.collect()] == [(2, 3)] and notes.count() == 2
     assert [tuple(r) for r in summary.collect()] == [(1, 6, 2)]
     assert flows.looked_up(df, recording_id=1, frame_no=None).count() == 6 and flows.looked_up(df, recording_id=2).count() == 0
+
+
+def test_a_recovery_merges_once(spark):
+    """The merge is read by the survivors and by the counts, and is not made for each."""
+    kind = "evidence_id long, recording_id long, tier string, extents array<struct<offset:bigint,length:bigint>>, note string, local_start_us long, local_end_us long"
+    stored = spark.createDataFrame([(1, 1, "T1", [(0, 10)], None, 0, 60_000_000), (2, 9, "T1", [(0, 4)], None, 5, None)], kind)
+    found = spark.createDataFrame([(1, 2, "T2", [(5, 10)], None, 0, 5), (1, 3, "T3", [(50, 10)], None, 0, 30_000_000), (1, 4, "T3", [(80, 10)], None, None, 9)], kind)
+    images = spark.createDataFrame([(1, 100), (2, 100), (3, 100)], "evidence_id long, size long")
+    none = lambda schema: spark.createDataFrame([], schema)
+    summary = flows.recovered(images, none("evidence_id long, index_extents array<struct<offset:bigint,length:bigint>>"), stored, found, none("evidence_id long, offset long, length long"))["summary"]
+    assert {tuple(r) for r in summary.collect()} == {(1, 2, 1, 1, 1.0, 0.5, 50.0), (2, 0, 0, 0, 0.0, 0.0, None), (3, 0, 0, 0, 0.0, 0.0, None)}
+    assert summary.columns == ["evidence_id", "added", "items_without_time", "duplicates_merged", "t1_minutes", "recovered_minutes", "gain_pct"]
+    assert "MapInArrow" not in summary._jdf.queryExecution().optimizedPlan().toString()

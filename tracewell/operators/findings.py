@@ -180,11 +180,12 @@ def case_progress(evidence, identification, recording, layouts, observations, cu
     return rows.withColumns({"parsed": F.col("layouts") > 0, "recovered": F.col("recoveries") > 0}).drop("layouts", "recoveries")
 
 
-def recovery_gain(recordings: DataFrame) -> DataFrame:
-    """evidence_id, t1_minutes, recovered_minutes, gain_pct: T2 to T4 against T1; unknown or inverted times count 0."""
+def recovery_gain(recordings: DataFrame, **more: Column) -> DataFrame:
+    """evidence_id, t1_minutes, recovered_minutes, gain_pct: T2 to T4 against T1; unknown or inverted times count 0. `more`:
+    what else is added up on the way."""
     micros = F.greatest(F.coalesce(F.col("local_end_us") - F.col("local_start_us"), F.lit(0)), F.lit(0))
     of = lambda cond: F.sum(F.when(cond, micros).otherwise(0)) / 60e6  # noqa: E731  whole numbers are summed
-    sums = recordings.groupBy("evidence_id").agg(of(F.col("tier") == "T1").alias("t1_minutes"), of(F.col("tier") != "T1").alias("recovered_minutes"))
+    sums = recordings.groupBy("evidence_id").agg(of(F.col("tier") == "T1").alias("t1_minutes"), of(F.col("tier") != "T1").alias("recovered_minutes"), *[c.alias(n) for n, c in more.items()])
     return sums.withColumn("gain_pct", F.when(F.col("t1_minutes") > 0, F.round(100 * F.col("recovered_minutes") / F.col("t1_minutes"), 1)))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from . import findings, intervals, motion, sweeps, timeline
 
 
@@ -78,15 +79,18 @@ def recovered(images: DataFrame, layouts: DataFrame, existing: DataFrame, found:
     existing, found: evidence_id, recording_id, tier, extents, note, local_start_us, local_end_us; images: evidence_id, size;
     layouts: evidence_id, index_extents; gaps: evidence_id, offset, length."""
     both = existing.unionByName(found)
-    merged = intervals.merge_tiers(both)
+    merged = staged(intervals.merge_tiers(both), "merged")  # read by each of the results
     kept = both.join(merged.where("kept_id = recording_id").select("evidence_id", "recording_id"), ["evidence_id", "recording_id"], "left_semi")
     fresh = intervals.fresh_recordings(kept, existing)
     coverage = intervals.coverage_map(images, intervals.claims_of(layouts, kept, gaps))
-    counts = fresh.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("added"), F.count_if(F.col("local_start_us").isNull() | F.col("local_end_us").isNull()).alias("items_without_time"))
-    timed = existing.where("tier = 'T1'").unionByName(fresh.withColumn("tier", F.lit("T2")))  # all that is fresh counts as gained
+    # all that is fresh counts as gained; one pass over it
+    timed = existing.where("tier = 'T1'").withColumn("fresh", F.lit(False)).unionByName(fresh.withColumns({"tier": F.lit("T2"), "fresh": F.lit(True)}))
+    untimed = F.col("local_start_us").isNull() | F.col("local_end_us").isNull()
+    gain = findings.recovery_gain(timed, added=F.count_if("fresh"), items_without_time=F.count_if(F.col("fresh") & untimed))
     summary = images.select("evidence_id")
-    for part in (counts, intervals.merge_stats(merged).select("evidence_id", F.col("dropped").alias("duplicates_merged")), findings.recovery_gain(timed)):
+    for part in (gain, intervals.merge_stats(merged).select("evidence_id", F.col("dropped").alias("duplicates_merged"))):
         summary = summary.join(part, "evidence_id", "left")
+    summary = summary.select("evidence_id", "added", "items_without_time", "duplicates_merged", "t1_minutes", "recovered_minutes", "gain_pct")
     numbers = ("added", "items_without_time", "duplicates_merged", "t1_minutes", "recovered_minutes")
     return {"fresh": fresh, "coverage": coverage, "totals": intervals.coverage_totals(images, coverage), "summary": summary.na.fill(0, list(numbers))}
 
