@@ -168,7 +168,7 @@ def in_regions(chunks: DataFrame, regions: DataFrame, chunk: int = CHUNK) -> Dat
     return chunks.withColumn("__cell", F.floor(F.col("offset") / chunk)).join(touched, ["evidence_id", "__cell"], "left_semi").drop("__cell")
 
 
-def group_hits(hits: DataFrame, max_gap: int = 0) -> DataFrame:
-    """evidence_id, start, end, members: hits back to back, or within max_gap, as candidate spans."""
+def group_hits(hits: DataFrame, max_gap: int = 0, size: tuple[int, int] | None = None) -> DataFrame:
+    """evidence_id, start, end, members: hits back to back, or within max_gap, as candidate spans. size: as sweeps.dealt has it."""
     spans = hits.select("evidence_id", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
-    return islands(spans, ["evidence_id"], max_gap=max_gap).where("end > start")
+    return islands(spans, ["evidence_id"], max_gap=max_gap, size=size).where("end > start")

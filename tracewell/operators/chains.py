@@ -2,7 +2,8 @@
 
 The walk takes the first row, then the first that starts at or after the end of the one taken, and so on: how frames
 follow one another in bytes where a frame's mark may also stand inside another frame. Every row has one row that follows
-it, so the walk is a path through pointers. It is found without reading a key's rows in one task:
+it, so the walk is a path through pointers. Where no key has more rows than a range, whole keys are dealt to tasks and walked
+as their sorted rows stream by. Else the walk is found without reading a key's rows in one task:
 
 1. Rows are dealt to ranges of (key, start), written once.
 2. In each range every row's path is followed to where it leaves the range. The paths run together, so the places where
@@ -15,12 +16,14 @@ it, so the walk is a path through pointers. It is found without reading a key's
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from . import sweeps
 
 RANGE = 200_000
 LOWEST = -(2**63)
@@ -43,11 +46,37 @@ def _following(starts: tuple, ends: tuple) -> list[int]:
     return [bisect_left(starts, end, k + 1) for k, end in enumerate(ends)]
 
 
-def on_chain(rows: DataFrame, keys: list[str], start: str = "offset", length: str = "length") -> DataFrame:
-    """The rows on the walk of each key. Lengths must be above 0; rows of one start are taken in order of length."""
+def _streamed(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The rows on the walk of each key, whole keys to a task (count: all rows, 0 if not known)."""
+    columns = [c for c in rows.columns if c not in ("__start", "__end")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = reach = None
+        for b in batches:
+            kept = []
+            for row, (start, end, *key) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__start", "__end", *keys)))):
+                if key != now or start >= reach:
+                    now, reach = key, end
+                    kept.append(row)
+            yield b.select(columns).take(pa.array(kept, pa.int64()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns)
+    by = [F.col(c).asc_nulls_first() for c in [*keys, "__start", "__end"]]
+    return sweeps.shared_out(rows, keys, count).sortWithinPartitions(*by).mapInArrow(walk, schema)
+
+
+def on_chain(rows: DataFrame, keys: list[str], start: str = "offset", length: str = "length", size: tuple[int, int] | None = None) -> DataFrame:
+    """The rows on the walk of each key. Lengths must be above 0; rows of one start are taken in order of length.
+    size: at most so many rows of one key, and of all, where they are known and each key fits a task (sweeps.HOT)."""
     checked = F.when(F.col(length) > 0, F.col(start) + F.col(length)).otherwise(F.raise_error("a row of a chain has no length").cast("long"))
-    rows = staged(rows.withColumns({"__start": F.col(start).cast("long"), "__end": checked}), "candidates")
-    parts = max(1, -(-rows.count() // RANGE))
+    rows = rows.withColumns({"__start": F.col(start).cast("long"), "__end": checked})
+    if size and size[0] <= sweeps.HOT:
+        return _streamed(rows, keys, size[1])
+    rows = staged(rows, "candidates")
+    most, count = (n or 0 for n in rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first())
+    if most <= RANGE:
+        return _streamed(rows, keys, count)
+    parts = max(1, -(-count // RANGE))
     by = [F.col(c).asc_nulls_first() for c in [*keys, "__start"]]
     rows = staged(rows.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "ranges")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -20,11 +20,12 @@ SAMPLE_FRAMES = 8
 TICK = 65536
 
 
-def with_runs(frames: DataFrame) -> DataFrame:
+def with_runs(frames: DataFrame, whole: bool = False) -> DataFrame:
     """Adds run (1 upwards in a span) and breaks: why the chain breaks before this frame, the first reason that holds.
 
-    The channel changes, time or sequence number run backwards, or bytes are missing; unknown values break nothing."""
-    rows = sweeps.dealt(frames, SPAN, ["offset"])
+    The channel changes, time or sequence number run backwards, or bytes are missing; unknown values break nothing.
+    whole: no span is hot, and the frames are dealt already."""
+    rows = frames if whole else sweeps.dealt(frames, SPAN, ["offset"])
     before = {f"__{c}": ("lag", c) for c in ("channel", "local_us", "sequence")}
     rows = sweeps.swept(rows, SPAN, ["offset"], **before, __end=("lag", F.col("offset") + F.col("length")))
     p, end = {c: F.col(f"__{c}") for c in ("channel", "local_us", "sequence")}, F.col("__end")
@@ -39,12 +40,12 @@ def with_runs(frames: DataFrame) -> DataFrame:
     return rows.drop(*before, "__end", "__breaks", "__runs")
 
 
-def runs(frames: DataFrame) -> DataFrame:
+def runs(frames: DataFrame, whole: bool = False) -> DataFrame:
     """A row for each run with a keyframe: its frames from the first keyframe on, and what was trimmed before it.
 
     Columns: offset, length, channel and codec (where all frames that state one agree), start_us, end_us, frame_count,
     keyframes, trimmed_bytes, ended."""
-    rows = with_runs(frames)
+    rows = with_runs(frames, whole)
     # a frame is kept if its run has had a keyframe: the latest one is not before the latest break
     rows = sweeps.swept(
         rows, SPAN, ["offset"], ends=("lead", "breaks"), __key=("last", F.when(F.col("kind") == "I", F.col("offset"))), __opened=("last", F.when(F.col("breaks").isNotNull(), F.col("offset")))

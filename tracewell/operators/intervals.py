@@ -26,9 +26,9 @@ TIERS = ("T1", "T2", "T3", "T4")
 SECTOR = 512
 
 
-def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
-    """keys, start, end, members: intervals that overlap, touch or lie within max_gap of each other, joined."""
-    rows = swept(dealt(df.select(*keys, start, end), keys, [start, end]), keys, [start, end], __reach=("max_before", end))
+def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: int = 0, size: tuple[int, int] | None = None) -> DataFrame:
+    """keys, start, end, members: intervals that overlap, touch or lie within max_gap of each other, joined. size: as dealt has it."""
+    rows = swept(dealt(df.select(*keys, start, end), keys, [start, end], size), keys, [start, end], __reach=("max_before", end))
     new = F.when(F.col("__reach").isNull() | (F.col(start) - F.col("__reach") > max_gap), 1).otherwise(0)
     marked = swept(rows.withColumn("__new", new), keys, [start, end], __island=("sum", "__new"))
     joined = marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("members"))

@@ -2,7 +2,8 @@
 frame, the walk split to runs, and runs that have a keyframe become recordings in physical order.
 
 Every step is a sweep or a chain over (evidence, offset), so an image that holds most of the frames is dealt to ranges like
-any other (see sweeps and chains)."""
+any other (see sweeps and chains). The frames of the images are counted once: if no image is hot, no piece of one is, and
+frames pass from the walk to the recordings without a further count or table. What is read more than once is staged."""
 
 from __future__ import annotations
 
@@ -15,12 +16,14 @@ from ..staging import staged
 from . import carving, frames, intervals, sweeps
 
 
-def pieces_of(hits: DataFrame, holes: DataFrame, max_gap: int = 0) -> DataFrame:
+def pieces_of(hits: DataFrame, holes: DataFrame, max_gap: int = 0, size: tuple[int, int] | None = None) -> DataFrame:
     """evidence_id, start, end, bounded_by: what unreadable ranges (evidence_id, offset, length) leave of the spans that hits
-    (evidence_id, offset, length) make, and the ranges within a sector of a piece's ends."""
-    spans = carving.group_hits(hits, max_gap).drop("members")
+    (evidence_id, offset, length) make, and the ranges within a sector of a piece's ends. size: the hits of the image that
+    has most, and all of them, where they are known."""
+    spans = carving.group_hits(hits, max_gap, size).drop("members")
     cut = holes.select("evidence_id", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
-    return intervals.subtract(spans, intervals.islands(cut, ["evidence_id"]).drop("members"), ["evidence_id"])
+    cut = intervals.islands(cut, ["evidence_id"]).drop("members")
+    return intervals.subtract(staged(spans, "spans"), staged(cut, "cut"), ["evidence_id"])  # which reads each several times
 
 
 def notes(rows: DataFrame) -> DataFrame:
@@ -45,16 +48,24 @@ def reassembled(chunks: DataFrame, holes: DataFrame, chunk: int = carving.CHUNK,
 
     The windows are read once. A frame's bytes may look like frames too: what lies inside a frame is never one of its
     piece, but where an unreadable range takes the outer frame, those inside it are found."""
+    holes = staged(holes.select("evidence_id", "offset", "length"), "holes")
     found = formats.frame_candidates(chunks, chunk)
-    pieces = staged(pieces_of(found, holes, max_gap), "pieces")  # read twice
-    walked = formats.with_codec(formats.walked(found, pieces), ("evidence_id", "piece"))
+    found = found.select("evidence_id", "offset", "length", "kind", "channel", "sequence", "date", "codec")  # what travels
+    size = sweeps.counted(found, ["evidence_id"])
+    whole = size[0] <= sweeps.HOT
+    pieces = staged(pieces_of(found, holes, max_gap, size), "pieces")
+    walked = formats.walked(found, pieces, size)
+    walked = sweeps.shared_out(walked, ["evidence_id"], size[1]) if whole else staged(walked, "walked")
+    walked = formats.with_codec(walked, ("evidence_id", "piece"), whole)
     rows = walked.withColumns({"local_us": micros(packed_datetime(F.col("date"))), "codec": F.col("codec_hint"), "span_id": F.col("piece")})
-    runs = frames.runs(rows.select("evidence_id", "span_id", "offset", "length", "kind", "channel", "local_us", "sequence", "codec"))
+    rows = rows.select("evidence_id", "span_id", "offset", "length", "kind", "channel", "local_us", "sequence", "codec")
+    runs = frames.runs(rows, whole) if whole else staged(frames.runs(staged(rows, "hinted")), "runs")
     kept = runs.join(pieces.select("evidence_id", F.col("start").alias("span_id"), "bounded_by"), ["evidence_id", "span_id"])
     cut = holes.select("evidence_id").distinct().withColumn("__cut", F.lit("T4"))
     kept = kept.join(cut, "evidence_id", "left").withColumn("tier", F.coalesce("__cut", F.lit("T3")))
-    order = ["offset", "run"]
-    kept = sweeps.swept(sweeps.dealt(kept.withColumn("__one", F.lit(1)), ["evidence_id"], order), ["evidence_id"], order, position=("sum", "__one"))
+    keys, order = ["evidence_id"], ["offset", "run"]
+    kept = kept.withColumn("__one", F.lit(1))
+    kept = sweeps.swept(kept if whole else sweeps.dealt(kept, keys, order), keys, order, position=("sum", "__one"))
     what = [F.col(c) for c in ("frame_count", "channel", "start_us", "keyframes")]
     made = kept.withColumns({"confidence": frames.confidence(*what), "confidence_note": frames.confidence_note(*what)})
     return notes(made).select(

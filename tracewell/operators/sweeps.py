@@ -46,11 +46,12 @@ def ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return staged(fixed.repartitionByRange(parts, *by).withColumn(PART, F.spark_partition_id()), "ranges")
 
 
-def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df, in ranges if a key is hot, else in shares of whole keys."""
+def dealt(df: DataFrame, keys: list[str], order: list[str], size: tuple[int, int] | None = None) -> DataFrame:
+    """df, in ranges if a key is hot, else in shares of whole keys. size: the rows of the largest key and of all, where they
+    are known; else df is counted, which evaluates it once more: stage what is dear."""
     if PART in df.columns:
         return df
-    most, rows = counted(df, keys)
+    most, rows = size or counted(df, keys)
     if most > HOT:
         return ranges(df, keys, order)
     return shared_out(df, keys, rows) if rows else df
